@@ -103,6 +103,7 @@ def add_row_number(
     hot_rows: int = HOT_ROWS,
     cuts: int = 64,
     accuracy: int = SKETCH_ACCURACY,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each group by ``value`` descending, NULL last, then
     ``tie`` ascending.
@@ -111,10 +112,12 @@ def add_row_number(
     other in that order. A row's number is its number within its piece plus the
     sizes of the pieces before. A value that is a cut itself gets a piece of
     its own, which is cut again along ``tie``, and so do NULL values: one value
-    held by very many rows is split too.
+    held by very many rows is split too. ``sizes`` may pass in the groups with
+    their row count ``_n`` where the caller has them already.
     """
     steps = [(i + 1) / (cuts + 1) for i in range(cuts)]
-    hot = hot_groups(df, [by], hot_rows)
+    sizes = df.groupBy(by).agg(F.count("*").alias("_n")) if sizes is None else sizes
+    hot = sizes.filter(F.col("_n") > hot_rows)
     cut_points = (
         df.join(F.broadcast(hot.select(by)), by, "left_semi")
         .groupBy(by)

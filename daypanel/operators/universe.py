@@ -138,12 +138,12 @@ def add_ranks(
 ) -> DataFrame:
     """Both cross-sectional ranks of every row and the size of its day."""
     key.check_date(history)
+    sizes = history.groupBy(key.date).agg(F.count("*").alias("_n"))  # at most one row per calendar day
     with_orders = history.withColumns({"_cap": names("dlycap"), "_adv": adv_order()})
-    by_cap = add_row_number(with_orders, key.date, "_cap", key.entity, "market_cap_rank", hot_rows)
-    by_adv = add_row_number(by_cap, key.date, "_adv", key.entity, "adv20_rank", hot_rows)
-    # At most one row per calendar day.
-    sizes = history.groupBy(key.date).agg(F.count("*").alias("n_common_equity_candidates"))
-    return by_adv.drop("_cap", "_adv").join(F.broadcast(sizes), key.date)
+    by_cap = add_row_number(with_orders, key.date, "_cap", key.entity, "market_cap_rank", hot_rows, sizes=sizes)
+    by_adv = add_row_number(by_cap, key.date, "_adv", key.entity, "adv20_rank", hot_rows, sizes=sizes)
+    counted = by_adv.drop("_cap", "_adv").join(F.broadcast(sizes), key.date)
+    return counted.withColumnRenamed("_n", "n_common_equity_candidates")
 
 
 def universe_keys(

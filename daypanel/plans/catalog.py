@@ -45,12 +45,19 @@ SAMPLE_MB = 0.5
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to ``digits`` decimals; -0.0 becomes 0.0."""
+    """Doubles to ``digits`` decimals.
+
+    Spelled with floor, since engines disagree on where ``round`` sends a tie;
+    the extra thousandth of a step sends ties up even when the engines differ
+    in a last bit.
+    """
+    step = 10.0**digits
+
+    def nearest(name: str):
+        return (F.floor(F.col(name) * step + 0.501) / step).alias(name)
+
     return df.select(
-        *[
-            (F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
+        *[nearest(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields]
     )
 
 
@@ -125,13 +132,6 @@ def report_csv_roundtrip(spark, sf):
     return readers.read_raw_csv(spark, path)
 
 
-def schema_listing(spark, sf):
-    from daypanel.schema import columns_of
-
-    scanned = readers.scan_raw(spark, f"{sf}/lineitem.parquet")
-    return columns_of(scanned.drop("source_file", "raw_row_id"))
-
-
 def typed_cast(spark, sf):
     return rounded(ingest.apply_types(fixture.raw_text(spark, sf), RAW))
 
@@ -198,8 +198,8 @@ def missing_return_without_flag(spark, sf):
 
 
 def open_only_missing(spark, sf):
-    """Rows of orders and their panel twin have no lone missing open, so the
-    condition is checked on a panel whose open is dropped on delisting days."""
+    """The derived panel lacks OHLC as a block, so its open is taken away on
+    delisting days for this query."""
     odd = panel(spark, sf).withColumn("dlyopen", F.when(F.col("dlydelflg") == "N", F.col("dlyopen")))
     return rounded(examples.listing(odd, examples.open_only_missing(), [*ROW, "dlyhigh", "dlylow", "dlyclose"]))
 
@@ -218,8 +218,7 @@ def quote_missing_rows(spark, sf):
 
 
 def retained_return_flag_rows(spark, sf):
-    odd = panel(spark, sf).filter(universe.F.col("dlyret").isNull())
-    return summaries.retained_return_flag_rows(odd).select(*ROW, "dlyretmissflg")
+    return summaries.retained_return_flag_rows(panel(spark, sf)).select(*ROW, "dlyretmissflg")
 
 
 def panel_label_join(spark, sf):
@@ -359,7 +358,9 @@ def rolling_history(spark, sf):
 
 
 def cross_section_ranks(spark, sf):
-    ranked = universe.add_ranks(history(spark, sf))
+    # Read more than once, so written once, as the pipeline does.
+    stored = sinks.stored(history(spark, sf).select(*KEY, "dlycap", "adv20"), "history")
+    ranked = universe.add_ranks(stored)
     return ranked.select(*KEY, "market_cap_rank", "adv20_rank", "n_common_equity_candidates")
 
 
@@ -377,8 +378,8 @@ def label_layout(spark, sf):
 
 
 def target_winsor(spark, sf):
-    complete = label_table(spark, sf).select(*KEY, "target_5d_raw_complete_only")
-    return rounded(targets.winsorize_by(complete, "target_5d_raw_complete_only", "target_5d"))
+    stored = sinks.stored(label_table(spark, sf).select(*KEY, "target_5d_raw_complete_only"), "labels")
+    return rounded(targets.winsorize_by(stored, "target_5d_raw_complete_only", "target_5d"))
 
 
 def target_zscore(spark, sf):
@@ -426,7 +427,7 @@ def sample_abnormal(spark, sf):
 
 
 def sample_nonmissing(spark, sf):
-    return rounded(examples.nonmissing_examples(panel(spark, sf), "delactiontype").select(*ROW, "prc"))
+    return rounded(examples.nonmissing_examples(panel(spark, sf), "shareclass").select(*ROW, "prc"))
 
 
 def sample_ohlc_missing(spark, sf):
@@ -470,7 +471,6 @@ QUERIES: dict[str, Query] = {
     "raw_scan_with_provenance": raw_scan_with_provenance,
     "partitioned_scan": partitioned_scan,
     "report_csv_roundtrip": report_csv_roundtrip,
-    "schema_listing": schema_listing,
     "typed_cast": typed_cast,
     "cast_failure_flags": cast_failure_flags,
     "cast_failed_columns": cast_failed_columns,
@@ -533,7 +533,12 @@ QUERIES: dict[str, Query] = {
         label_table, lambda d: summaries.label_flag_counts(d, "target_first_missing_return_flag")
     ),
     "panel_daily_summary": over(model_panel, summaries.panel_daily_summary),
-    "panel_yearly_summary": over(model_panel, summaries.panel_yearly_summary),
+    "panel_yearly_summary": over(
+        lambda spark, sf: sinks.stored(
+            model_panel(spark, sf).select(*KEY, "year", "target_5d_raw_complete_only", "target_5d_cs_zscore"), "model"
+        ),
+        summaries.panel_yearly_summary,
+    ),
     "recent_label_availability": over(joined, summaries.recent_label_availability),
     "dedup_ready_base": dedup_ready_base,
     "dedup_core": dedup_core,

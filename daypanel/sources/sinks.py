@@ -46,3 +46,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     root = shared or tempfile.mkdtemp(prefix="daypanel-")
     return f"{root.rstrip('/')}/daypanel/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The DataFrame written once and read back: for a result that is read
+    several times, and with a lineage that ends at files other executors see."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
