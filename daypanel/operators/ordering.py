@@ -50,7 +50,7 @@ def exact_quantiles(
         .agg(F.percentile("_v", probabilities).alias("_q"))
         .select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(quantiles)])
     )
-    large = _selected_quantiles(rows.join(F.broadcast(hot), by), by, quantiles, accuracy)
+    large = _selected_quantiles(rows.join(F.broadcast(hot), by), by, quantiles, min(accuracy, hot_rows))
     both = ordinary.unionByName(large)
     return both.drop("_all")
 
@@ -63,6 +63,8 @@ def _selected_quantiles(rows: DataFrame, by: list[str], quantiles: dict[str, flo
     lower end, so equal values are added up in the map tasks and the cumulative
     counts run over the few values inside the brackets only.
     """
+    # The sketch is off by at most n / accuracy ranks. With n >= accuracy a
+    # margin of four such steps leaves the two ranks next to a quantile inside.
     margin = 4.0 / accuracy
     ends = [e for p in quantiles.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", ends, accuracy).alias("_ends"))
@@ -131,14 +133,15 @@ def add_row_number(
     points = F.coalesce(F.array_distinct("_cuts").cast("array<double>"), none)
     below = F.size(F.filter(points, lambda x: x < v))
     upto = F.size(F.filter(points, lambda x: x <= v))
-    piece = F.when(v.isNull(), 1).otherwise(-(below + upto))
+    is_hot = F.col("_cuts").isNotNull()
+    piece = F.when(~is_hot, 0).when(v.isNull(), 1).otherwise(-(below + upto))
     tie_points = F.coalesce(F.array_distinct("_ties").cast("array<double>"), none)
     shared = v.isNull() | (below != upto)
-    part = F.when(shared, F.size(F.filter(tie_points, lambda x: x <= t))).otherwise(0)
+    part = F.when(is_hot & shared, F.size(F.filter(tie_points, lambda x: x <= t))).otherwise(0)
 
     cut = (
         df.join(F.broadcast(cut_points), by, "left")
-        .withColumns({"_piece": piece, "_part": part, "_hot": F.col("_cuts").isNotNull()})
+        .withColumns({"_piece": piece, "_part": part, "_hot": is_hot})
         .drop("_cuts", "_ties")
     )
     pieces = [by, "_piece", "_part"]

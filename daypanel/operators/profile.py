@@ -1,8 +1,9 @@
-"""Missing and abnormal values of every variable, in one pass."""
+"""Missing and abnormal values of every variable."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,43 +13,65 @@ from daypanel.functions.rules import CORE_RULES, OHLC_RULE_NAME, Rule, rules_for
 from daypanel.schema import DEFAULT_KEY, PanelKey, PanelSchema, require_columns
 
 CROSS_COLUMN = "cross_column_rule"
+PER_PASS = 16
+
+
+def _counts(df: DataFrame, types: Mapping[str, str], rules: Mapping[str, Rule]) -> DataFrame:
+    """One aggregate over the given variables, its one row turned into lines."""
+    totals = df.agg(
+        F.count(F.lit(1)).alias("n_total"),
+        *[F.count(c).alias(f"n_{c}") for c in types if types[c] != CROSS_COLUMN],
+        *[F.count_if(rules[c].hit()).alias(f"bad_{c}") for c in types if c in rules],
+    )
+
+    def line(name, kind):
+        present = F.lit(None).cast("bigint") if kind == CROSS_COLUMN else F.col(f"n_{name}")
+        rule = rules.get(name)
+        return F.struct(
+            F.lit(name).alias("variable"),
+            F.lit(kind).alias("type"),
+            F.col("n_total"),
+            (F.col("n_total") - present).alias("missing_count"),
+            (F.col(f"bad_{name}") if rule else F.lit(0).cast("bigint")).alias("abnormal_count"),
+            F.lit(rule.predicate if rule else "").alias("abnormal_rule"),
+        )
+
+    return totals.select(F.inline(F.array(*[line(c, t) for c, t in types.items()])))
 
 
 def profile(
-    df: DataFrame, schema: PanelSchema | None = None, registry: Mapping[str, Rule] = CORE_RULES
+    df: DataFrame,
+    schema: PanelSchema | None = None,
+    registry: Mapping[str, Rule] = CORE_RULES,
+    per_pass: int = PER_PASS,
 ) -> DataFrame:
     """One row per variable: how many values are missing or abnormal.
 
     Variables and their types come from the dictionary, or from the table's
-    own schema. All counts are one aggregate over one scan; its single row is
-    then turned into one row per variable. Rules over several columns follow
-    as rows of their own, with NULL missing counts.
+    own schema. Rules over several columns follow as lines of their own, with
+    NULL missing counts.
+
+    ``per_pass`` variables share an aggregate. A pass reads only its own
+    columns of a columnar table, so all passes together read it once; an
+    aggregate over all variables at once would grow past what the JIT compiles.
+    Store a table that is costly to compute before profiling it.
     """
     types = dict(schema) if schema else {f.name: f.dataType.simpleString() for f in df.schema.fields}
     require_columns(df, types)
     rules = {r.variable: r for r in rules_for(df, registry) if r.cross_column or r.variable in types}
-    cross = [r for r in rules.values() if r.cross_column]
+    lines = list((types | {name: CROSS_COLUMN for name, r in rules.items() if r.cross_column}).items())
+    passes = [_counts(df, dict(lines[i : i + per_pass]), rules) for i in range(0, len(lines), per_pass)]
+    return with_rates(reduce(DataFrame.unionAll, passes))
 
-    counts = [F.count(F.lit(1)).alias("n_total")]
-    counts += [F.count(c).alias(f"n_{c}") for c in types]
-    counts += [F.count_if(r.hit()).alias(f"bad_{name}") for name, r in rules.items()]
-    totals = df.agg(*counts)
 
-    def line(name, kind, missing):
-        rule = rules.get(name)
-        return F.struct(
-            F.lit(name).alias("variable"),
-            F.lit(kind).alias("type"),
-            F.col("n_total"),
-            missing.alias("missing_count"),
-            (F.col(f"bad_{name}") if rule else F.lit(0).cast("bigint")).alias("abnormal_count"),
-            F.lit(rule.predicate if rule else "").alias("abnormal_rule"),
-        )
+def cross_column_profile(df: DataFrame, registry: Mapping[str, Rule] = CORE_RULES) -> DataFrame:
+    """The lines of the rules over several columns alone."""
+    rules = {r.variable: r for r in rules_for(df, registry) if r.cross_column}
+    return with_rates(_counts(df, dict.fromkeys(rules, CROSS_COLUMN), rules))
+
 
-    lines = [line(c, t, F.col("n_total") - F.col(f"n_{c}")) for c, t in types.items()]
-    lines += [line(r.variable, CROSS_COLUMN, F.lit(None).cast("bigint")) for r in cross]
-    report = totals.select(F.inline(F.array(*lines)))
-    return report.select(
+def with_rates(lines: DataFrame) -> DataFrame:
+    return lines.select(
         "variable",
         "type",
         "n_total",

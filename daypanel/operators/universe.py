@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daypanel.functions.derived import add_derived, dollar_volume
-from daypanel.functions.quality import add_quality_flags, all_of
+from daypanel.functions.quality import FLAG_GROUPS, add_quality_flags, all_of
 from daypanel.operators.keys import dedup_first
 from daypanel.operators.ordering import HOT_ROWS, add_row_number, keep_top
 from daypanel.schema import DEFAULT_KEY, STANDARD_NAMES, Names, PanelKey
@@ -65,13 +65,26 @@ def prepare_all(core: DataFrame, names: Names = STANDARD_NAMES) -> DataFrame:
     return add_derived(add_quality_flags(core, names=names), names)
 
 
-def is_ready():
-    return all_of(F.col(name) == value for name, value in READY.items())
+def is_ready(names: Names = STANDARD_NAMES) -> Column:
+    """The conditions behind the READY flags, straight from the columns, so
+    that they reach the scan as filters."""
+    conditions: dict[str, Column] = {}
+    for group in ("status", "price", "size", "return", "meta"):
+        conditions |= FLAG_GROUPS[group](names)
+    met = {name: F.coalesce(conditions[name], F.lit(False)) for name in READY}
+    return all_of(met[name] if wanted else ~met[name] for name, wanted in READY.items())
 
 
-def ready_base(prepared: DataFrame, key: PanelKey = DEFAULT_KEY) -> DataFrame:
+def ready_rows(core: DataFrame, key: PanelKey = DEFAULT_KEY, names: Names = STANDARD_NAMES) -> DataFrame:
     """Tradable rows, one per security and day, with the number they replace."""
-    return dedup_first(prepared.filter(is_ready()), key, count_as="n_rows_same_stock_day")
+    return dedup_first(core.filter(is_ready(names)), key, count_as="n_rows_same_stock_day")
+
+
+def ready_base(core: DataFrame, key: PanelKey = DEFAULT_KEY, names: Names = STANDARD_NAMES) -> DataFrame:
+    """The ready rows with flags and derived variables. These depend on their
+    own row alone, so they are added after the shuffle that finds the first row
+    of a key and not carried through it."""
+    return prepare_all(ready_rows(core, key, names), names)
 
 
 def terminal_events(prepared: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def prepared(spark, sf):
 
 
 def base(spark, sf):
-    return universe.ready_base(prepared(spark, sf))
+    return universe.ready_base(panel(spark, sf))
 
 
 def candidates(spark, sf):
@@ -79,7 +79,8 @@ def candidates(spark, sf):
 
 
 def in_universe(spark, sf):
-    return universe.daily_universe(base(spark, sf), PARAMS)
+    # Flags depend on their row alone: added to the rows that are left.
+    return universe.prepare_all(universe.daily_universe(universe.ready_rows(panel(spark, sf)), PARAMS))
 
 
 def core_dedup(spark, sf):
@@ -233,21 +234,19 @@ def duplicate_rows_detail(spark, sf):
 
 def profile_core(spark, sf):
     core = panel(spark, sf)
-    logical = [(n, t) for n, t in DAILY_STOCK if n in core.columns]
-    extra = [("dlyprc_negative_flag", "bool"), ("prc", "decimal")]
-    schema = dict(logical + extra)
+    logical = {n: t for n, t in DAILY_STOCK if n in core.columns}
+    schema = logical | {"dlyprc_negative_flag": "bool", "prc": "decimal"}
     report = profile.profile(core, schema)
     return rounded(report.filter(F.col("type") != profile.CROSS_COLUMN).drop("abnormal_rule"), 8)
 
 
 def profile_universe(spark, sf):
-    report = profile.profile(in_universe(spark, sf), registry=UNIVERSE_RULES)
+    report = profile.profile(sinks.stored(in_universe(spark, sf), "universe"), registry=UNIVERSE_RULES)
     return rounded(report.drop("type", "abnormal_rule"), 8)
 
 
 def profile_cross_column(spark, sf):
-    report = profile.profile(panel(spark, sf))
-    return rounded(report.filter(F.col("type") == profile.CROSS_COLUMN).drop("abnormal_rule"), 8)
+    return rounded(profile.cross_column_profile(panel(spark, sf)).drop("abnormal_rule"), 8)
 
 
 def duplicate_summary(spark, sf):

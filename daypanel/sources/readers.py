@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from daypanel.operators.ingest import normalise_names
 from daypanel.schema import PanelSchema
@@ -36,6 +37,7 @@ def scan_raw(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def scan_panel(spark: SparkSession, path: str) -> DataFrame:
+def scan_panel(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """A stage table; ``year`` comes from the directories and prunes them."""
-    return spark.read.parquet(path)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
