@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daypanel.functions.quality import all_of
 from daypanel.functions.rules import column_rule
-from daypanel.operators.ordering import HOT_ROWS, exact_quantiles
+from daypanel.operators.ordering import HOT_ROWS, table_quantiles
 from daypanel.schema import require_columns
 
 # ---- fixed values: default groups, the population of regular rows, sentinels ----
@@ -103,11 +103,9 @@ def numeric_summary(
         columns = [F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)]
         found = df.agg(*frame, sketch).select("n_total", "n_missing", "min_value", *columns, "max_value")
         return found
-    # Both sides are one row, or none where every value is missing.
-    found = exact_quantiles(df, [], variable, quantiles, hot_rows).withColumn("_one", F.lit(1))
-    totals = df.agg(*frame).withColumn("_one", F.lit(1))
-    return totals.join(F.broadcast(found), "_one", "left").select(
-        "n_total", "n_missing", "min_value", *quantiles, "max_value"
+    found = table_quantiles(df, variable, quantiles, hot_rows).select(F.struct(*quantiles).alias("q"))
+    return df.agg(*frame).withColumn("q", found.scalar()).select(
+        "n_total", "n_missing", "min_value", *[F.col(f"q.{n}").alias(n) for n in quantiles], "max_value"
     )
 
 

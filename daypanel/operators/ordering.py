@@ -38,47 +38,63 @@ def exact_quantiles(
     """Interpolated quantiles of the non-NULL values of each group, one column
     per entry of ``quantiles``. Grouping columns must not be NULL.
     """
-    by = list(by) or ["_all"]
-    rows = df if by != ["_all"] else df.withColumn("_all", F.lit(0))
-    rows = rows.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    by, accuracy = list(by), min(accuracy, hot_rows)
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     hot = hot_groups(rows, by, hot_rows)
-
-    probabilities = list(quantiles.values())
     ordinary = (
         rows.join(F.broadcast(hot), by, "left_anti")
         .groupBy(*by)
-        .agg(F.percentile("_v", probabilities).alias("_q"))
+        .agg(F.percentile("_v", list(quantiles.values())).alias("_q"))
         .select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(quantiles)])
     )
-    large = _selected_quantiles(rows.join(F.broadcast(hot), by), by, quantiles, min(accuracy, hot_rows))
-    both = ordinary.unionByName(large)
-    return both.drop("_all")
+    large = rows.join(F.broadcast(hot), by)
+    sketch = large.groupBy(*by).agg(_bracket_ends(quantiles, accuracy).alias("_ends"))
+    return ordinary.unionByName(_narrowed(large.join(F.broadcast(sketch), by), by, quantiles))
+
+
+def table_quantiles(
+    df: DataFrame,
+    value: str,
+    quantiles: dict[str, float],
+    hot_rows: int = HOT_ROWS,
+    accuracy: int = SKETCH_ACCURACY,
+) -> DataFrame:
+    """The same for a whole table: one row, or none where no value is present."""
+    accuracy = min(accuracy, hot_rows)
+    rows = df.select(F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    extremes = F.flatten(F.array_repeat(F.array(F.min("_v"), F.max("_v")), len(quantiles)))
+    ends = F.when(F.count("*") > hot_rows, _bracket_ends(quantiles, accuracy)).otherwise(extremes)
+    stats = rows.agg(F.struct(F.count("*").alias("n"), ends.alias("ends")).alias("stats"))
+    attached = rows.withColumn("_s", stats.scalar()).select("_v", F.col("_s.n").alias("_n"), F.col("_s.ends").alias("_ends"))
+    return _narrowed(attached, [], quantiles)
 
 
-def _selected_quantiles(rows: DataFrame, by: list[str], quantiles: dict[str, float], accuracy: int) -> DataFrame:
-    """Quantiles of large groups by narrowing down.
+def _bracket_ends(quantiles: dict[str, float], accuracy: int) -> Column:
+    """Two values around each quantile, from a sketch.
 
-    A sketch brackets each quantile between two values that surely enclose it.
-    Values inside a bracket are kept, values below one are counted onto its
-    lower end, so equal values are added up in the map tasks and the cumulative
-    counts run over the few values inside the brackets only.
+    The sketch is off by at most n / accuracy ranks. With n >= accuracy a
+    margin of four such steps leaves the two ranks next to a quantile inside.
     """
-    # The sketch is off by at most n / accuracy ranks. With n >= accuracy a
-    # margin of four such steps leaves the two ranks next to a quantile inside.
     margin = 4.0 / accuracy
     ends = [e for p in quantiles.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", ends, accuracy).alias("_ends"))
-    rows = rows.join(F.broadcast(sketch), by)
+    return F.percentile_approx("_v", ends, accuracy)
 
+
+def _narrowed(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Quantiles of groups of ``_n`` rows within the brackets ``_ends``.
+
+    Values inside a bracket are kept and values below one are counted onto its
+    lower end. Equal values add up in the map tasks, and the cumulative counts
+    run over the few values inside the brackets only.
+    """
     v, ends_of = F.col("_v"), F.col("_ends")
     brackets = [(ends_of[2 * i], ends_of[2 * i + 1]) for i in range(len(quantiles))]
     inside = F.lit(False)
     for low, high in brackets:
         inside = inside | v.between(low, high)
     next_low = F.array_min(F.array(*[F.when(low > v, low) for low, _ in brackets]))
-    slot = F.when(inside, v).otherwise(next_low)
     counts = (
-        rows.select(*by, "_n", slot.alias("_slot"))
+        rows.select(*by, "_n", F.when(inside, v).otherwise(next_low).alias("_slot"))
         .filter("_slot IS NOT NULL")
         .groupBy(*by, "_n", "_slot")
         .agg(F.count("*").alias("_c"))

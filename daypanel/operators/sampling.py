@@ -11,6 +11,7 @@ from daypanel.schema import DEFAULT_KEY, PanelKey
 
 ESTIMATE_ROWS = 10_000
 MEGABYTE = 1024 * 1024
+ABOVE_ALL_DRAWS = "g"  # hashes are hexadecimal
 
 
 def csv_bytes(df: DataFrame) -> Column:
@@ -41,28 +42,29 @@ def sample_to_size(
     """As many random rows as make about ``megabytes`` of CSV.
 
     Rows are taken in the order of a hash of their key. Its first 16 bits put
-    rows into 65,536 even bins; the bins that fit whole are passed through
-    where they are, and only the one bin that the limit cuts is put in order.
-    So a sample of any size is taken without sorting the table.
+    rows into 65,536 even bins; counting those finds the bin in which the
+    sample ends, and ordering that one bin finds the last hash to take. The
+    sample itself is then a filter, whatever its size.
     """
-    target = F.lit(megabytes * MEGABYTE)
     wanted = average_row_bytes(df, estimate_rows, seed, key).select(
-        F.floor(target / F.col("avg_bytes_per_row")).cast("bigint")
+        F.floor(F.lit(megabytes * MEGABYTE) / F.col("avg_bytes_per_row")).cast("bigint")
     )
-    drawn = df.withColumn("_draw", draw_order(key, seed)).withColumn("_bin", F.substring("_draw", 1, 4))
+    draws = df.select(draw_order(key, seed).alias("_draw")).withColumn("_bin", F.substring("_draw", 1, 4))
+    # One task over at most 65,536 bins, and one over the rows of a single bin.
     running = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    # One task, over at most 65,536 bins.
-    bins = drawn.groupBy("_bin").agg(F.count("*").alias("_rows")).withColumn("_upto", F.sum("_rows").over(running))
-    cut = (
+    bins = draws.groupBy("_bin").agg(F.count("*").alias("_rows")).withColumn("_upto", F.sum("_rows").over(running))
+    last_bin = (
         bins.withColumn("_wanted", wanted.scalar())
-        .filter("_upto - _rows < _wanted")
-        .select("_bin", F.least(F.col("_rows"), F.col("_wanted") - (F.col("_upto") - F.col("_rows"))).alias("_take"), "_rows")
+        .filter("_upto - _rows < _wanted AND _wanted <= _upto")
+        .select(F.struct("_bin", (F.col("_wanted") - F.col("_upto") + F.col("_rows")).alias("_take")))
     )
-    kept = drawn.join(F.broadcast(cut), "_bin")
-    whole = kept.filter("_take = _rows")
-    in_bin = Window.partitionBy("_bin").orderBy("_draw")
-    partial = kept.filter("_take < _rows").withColumn("_nth", F.row_number().over(in_bin)).filter("_nth <= _take")
-    return whole.select(*df.columns).unionByName(partial.select(*df.columns))
+    in_bin = draws.withColumn("_last", last_bin.scalar()).filter("_bin = _last._bin")
+    nth = F.row_number().over(Window.orderBy("_draw"))
+    last_draw = in_bin.withColumn("_nth", nth).filter("_nth = _last._take").select("_draw")
+    # Without such a bin the sample is the whole table, or nothing.
+    everything = F.when(wanted.scalar() > 0, ABOVE_ALL_DRAWS)
+    cut = F.coalesce(last_draw.scalar(), everything)
+    return df.withColumn("_draw", draw_order(key, seed)).filter(F.col("_draw") <= cut).drop("_draw")
 
 
 def sample_summary(sample: DataFrame, megabytes: float, key: PanelKey = DEFAULT_KEY) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daypanel.functions.derived import add_derived, dollar_volume
-from daypanel.functions.quality import FLAG_GROUPS, add_quality_flags, all_of
+from daypanel.functions.quality import ACTIVE, add_quality_flags
 from daypanel.operators.keys import dedup_first
 from daypanel.operators.ordering import HOT_ROWS, add_row_number, keep_top
 from daypanel.schema import DEFAULT_KEY, STANDARD_NAMES, Names, PanelKey
@@ -66,13 +66,21 @@ def prepare_all(core: DataFrame, names: Names = STANDARD_NAMES) -> DataFrame:
 
 
 def is_ready(names: Names = STANDARD_NAMES) -> Column:
-    """The conditions behind the READY flags, straight from the columns, so
-    that they reach the scan as filters."""
-    conditions: dict[str, Column] = {}
-    for group in ("status", "price", "size", "return", "meta"):
-        conditions |= FLAG_GROUPS[group](names)
-    met = {name: F.coalesce(conditions[name], F.lit(False)) for name in READY}
-    return all_of(met[name] if wanted else ~met[name] for name, wanted in READY.items())
+    """What the READY flags say together, as plain comparisons that a Parquet
+    scan can use. An active status rules out the halted and delisted ones, and
+    a positive price a settlement at zero."""
+    c = names
+    return (
+        (c("tradingstatusflg") == ACTIVE)
+        & ~c("dlydelflg").eqNullSafe("Y")
+        & (c("prc") > 0)
+        & (c("dlyvol") > 0)
+        & (c("dlycap") > 0)
+        & c("dlyret").isNotNull()
+        & c("securitytype").isNotNull()
+        & c("sharetype").isNotNull()
+        & (c("shrout") > 0)
+    )
 
 
 def ready_rows(core: DataFrame, key: PanelKey = DEFAULT_KEY, names: Names = STANDARD_NAMES) -> DataFrame:

@@ -494,7 +494,10 @@ QUERIES: dict[str, Query] = {
     "quote_missing_rows": quote_missing_rows,
     "retained_return_flag_rows": retained_return_flag_rows,
     "panel_label_join": panel_label_join,
-    "universe_yearly_summary": over(in_universe, summaries.universe_yearly_summary),
+    "universe_yearly_summary": over(
+        lambda spark, sf: sinks.stored(in_universe(spark, sf).select(*KEY, "year"), "universe"),
+        summaries.universe_yearly_summary,
+    ),
     "duplicate_rows_detail": duplicate_rows_detail,
     "panel_coverage_summary": over(joined, summaries.panel_coverage_summary),
     "profile_core": profile_core,

@@ -11,6 +11,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daypanel.functions import casting, derived, quality, rules
+from daypanel.operators import universe
 from daypanel.schema import DAILY_STOCK, Names, PanelKey, PanelSchema, columns_of, require_columns
 
 TEXT = (
@@ -138,3 +139,19 @@ def test_rule_registry(spark):
     df = spark.createDataFrame([(None,), (3.0,), (-1.0,)], "prc double")
     hits = [r.h for r in df.select(rules.column_rule("prc").hit().alias("h")).collect()]
     assert hits == [False, False, True]
+
+
+def test_ready_condition_is_the_flags(spark):
+    changes = [{}] + [
+        {column: value}
+        for column, values in {
+            "tradingstatusflg": ["D", "H", None], "dlydelflg": ["Y", None], "dlyprcflg": ["DA", None],
+            "prc": [0.0, -1.0, None], "dlyvol": [0.0, None], "dlycap": [-1.0, None], "dlyret": [None],
+            "securitytype": [None], "sharetype": [None], "shrout": [0, None], "shradrflg": [None],
+        }.items()
+        for value in values
+    ]
+    df = quality.add_quality_flags(rows(spark, *changes))
+    by_flags = quality.all_of(F.col(name) == value for name, value in universe.READY.items())
+    both = df.select(F.coalesce(universe.is_ready(), F.lit(False)).alias("a"), by_flags.alias("b")).collect()
+    assert all(r.a == r.b for r in both) and sum(r.a for r in both) == 5

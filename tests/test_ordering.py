@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from daypanel.operators.ordering import add_row_number, exact_quantiles, keep_top
+from daypanel.operators.ordering import add_row_number, exact_quantiles, keep_top, table_quantiles
 
 SLOW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -40,7 +40,7 @@ def test_quantiles_of_split_groups(spark, hot_rows):
 def test_quantiles_of_a_whole_table(spark):
     df = skewed(spark)
     for hot_rows in (10**9, 100):
-        row = exact_quantiles(df, [], "v", {"p50": 0.5, "p95": 0.95}, hot_rows, accuracy=2000).first()
+        row = table_quantiles(df, "v", {"p50": 0.5, "p95": 0.95}, hot_rows, accuracy=2000).first()
         plain = df.agg(F.percentile("v", [0.5, 0.95]).alias("q")).first().q
         assert [row.p50, row.p95] == pytest.approx(plain, abs=1e-12)
 
