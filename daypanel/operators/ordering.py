@@ -145,21 +145,19 @@ def add_row_number(
         )
     )
     v, t = F.col(value), F.col(tie)
-    none = F.array().cast("array<double>")
-    points = F.coalesce(F.array_distinct("_cuts").cast("array<double>"), none)
-    below = F.size(F.filter(points, lambda x: x < v))
-    upto = F.size(F.filter(points, lambda x: x <= v))
     is_hot = F.col("_cuts").isNotNull()
-    piece = F.when(~is_hot, 0).when(v.isNull(), 1).otherwise(-(below + upto))
-    tie_points = F.coalesce(F.array_distinct("_ties").cast("array<double>"), none)
-    shared = v.isNull() | (below != upto)
-    part = F.when(is_hot & shared, F.size(F.filter(tie_points, lambda x: x <= t))).otherwise(0)
-
-    cut = (
-        df.join(F.broadcast(cut_points), by, "left")
-        .withColumns({"_piece": piece, "_part": part, "_hot": is_hot})
-        .drop("_cuts", "_ties")
+    # Looked up once per row; NULL where the group is not cut.
+    located = df.join(F.broadcast(cut_points), by, "left").withColumns(
+        {
+            "_below": F.size(F.filter("_cuts", lambda x: x < v)),
+            "_upto": F.size(F.filter("_cuts", lambda x: x <= v)),
+            "_tie": F.size(F.filter("_ties", lambda x: x <= t)),
+        }
     )
+    piece = F.when(~is_hot, 0).when(v.isNull(), 1).otherwise(-(F.col("_below") + F.col("_upto")))
+    shared = v.isNull() | (F.col("_below") != F.col("_upto"))
+    part = F.when(is_hot & shared, F.col("_tie")).otherwise(0)
+    cut = located.select(*df.columns, piece.alias("_piece"), part.alias("_part"), is_hot.alias("_hot"))
     pieces = [by, "_piece", "_part"]
     before = Window.partitionBy(by).orderBy("_piece", "_part").rowsBetween(Window.unboundedPreceding, -1)
     # At most (2 cuts + 1) + (cuts + 1) (cuts + 1) pieces per hot group.
