@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daypanel.llm import bpe, exact_dedup
+from pyspark.sql import functions as F
+
+from daypanel.llm import bpe, chat, exact_dedup, toxicity
 from daypanel.llm.common import read
 
 
@@ -24,8 +26,33 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_turns(rows))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.fit(docs, labels, remainder != 1)
+    return toxicity.score(docs, model, out="score").select(
+        "doc_id",
+        (remainder == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.col("is_toxic").alias("toxic_for_language"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_bpe)
+    f.__name__: f for f in (op1_exact_dedup, op3_bpe, op5_chat, op9_toxicity)
 }
 
 ORACLE: dict[str, str] = {
