@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from daypanel.llm import bpe, chat, exact_dedup, toxicity
+from daypanel.llm import bpe, chat, exact_dedup, licences, pii, toxicity
 from daypanel.llm.common import read
 
 
@@ -38,6 +38,21 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end")))
+    return found.select(
+        "doc_id",
+        *(F.size(F.array_remove(F.transform("base", lambda s: s["kind_no"] == F.lit(i)), False)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)),
+        F.sha2(pii.written(plain), 256).alias("base_sha256"),
+        pii.written(pii.all_spans()).alias("spans"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -52,7 +67,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_bpe, op5_chat, op9_toxicity)
+    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op5_chat, op6_pii, op9_toxicity)
 }
 
 ORACLE: dict[str, str] = {
