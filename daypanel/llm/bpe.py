@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from daypanel.llm.common import chunks, map_arrow, ship, whole
 
 #: words whose ids a worker keeps; memory only, results do not depend on it
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 # Fixed values of the vocabulary's own text rules: what counts as white space, and how texts are cut into words.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -51,9 +51,9 @@ class WordBpe:
         self.id_of |= self.special
         self.token_of = {i: t for t, i in self.id_of.items()}
         self.end = model["end_of_word_suffix"] or ""
-        # pair of ids -> (rank, id of the merged token)
+        # pair of ids -> rank and id of the merged token; both pairs are packed into one number of 32 bits a part
         self.merges = {
-            (self.id_of[a], self.id_of[b]): (rank, self.id_of[a + b])
+            self.id_of[a] << 32 | self.id_of[b]: rank << 32 | self.id_of[a + b]
             for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         }
         letters = byte_alphabet()
@@ -88,61 +88,79 @@ class WordBpe:
         inner, last, merges = self.inner, self.last, self.merges
         for word in words:
             raw = word.encode()
-            symbols = [inner[b] for b in raw[:-1]] + [last[raw[-1]]]
+            symbols = [inner[b] for b in raw]
+            symbols[-1] = last[raw[-1]]
             if -1 in symbols:
                 symbols = [s for s in symbols if s >= 0]
-            starts.append(len(ids) if symbols else -1)
             if symbols:
-                after += range(len(ids) + 1, len(ids) + len(symbols))
-                after.append(-1)
+                at = len(ids)
+                starts.append(at)
                 ids += symbols
+                after += range(at + 1, len(ids))
+                after.append(-1)
+            else:
+                starts.append(-1)
         before = [-1] * len(ids)
+        # The index: rank and merged id of an active pair -> its places; pair_of has the pair itself.
         places: dict[int, list[int]] = {}
-        pair_of: dict[int, tuple[int, int, int]] = {}
+        pair_of: dict[int, int] = {}
+        find, at_rank = merges.get, places.get
         for i, j in enumerate(after):
             if j >= 0:
                 before[j] = i
-                found = merges.get((ids[i], ids[j]))
+                pair = ids[i] << 32 | ids[j]
+                found = find(pair)
                 if found is not None:
-                    if (at := places.get(found[0])) is None:
-                        places[found[0]] = [i]
-                        pair_of[found[0]] = (ids[i], ids[j], found[1])
+                    at = at_rank(found)
+                    if at is None:
+                        places[found] = [i]
+                        pair_of[found] = pair
                     else:
                         at.append(i)
         active = list(places)
         heapq.heapify(active)
+        low = (1 << 32) - 1
         while active:
             rank = heapq.heappop(active)
             todo = places.pop(rank, None)
             if todo is None:
                 continue
-            a, b, both = pair_of[rank]
+            a, b, both = pair_of[rank] >> 32, pair_of[rank] & low, rank & low
             todo.sort()
             for n, i in enumerate(todo):
+                if ids[i] != a:
+                    continue  # merged meanwhile
                 j = after[i]
-                if ids[i] != a or j < 0 or ids[j] != b:
-                    continue  # one of the two has been merged meanwhile
+                if j < 0 or ids[j] != b:
+                    continue
                 ids[i] = both
                 ids[j] = -1
                 k = after[i] = after[j]
                 lower = False
                 if k >= 0:
                     before[k] = i
+                    found = find(pair := both << 32 | ids[k])
+                    if found is not None:
+                        at = at_rank(found)
+                        if at is None:
+                            places[found] = [i]
+                            pair_of[found] = pair
+                            heapq.heappush(active, found)
+                        else:
+                            at.append(i)
+                        lower = found < rank
                 h = before[i]
-                for left in ((h, i) if k >= 0 else (h,)):
-                    if left < 0:
-                        continue
-                    x, y = ids[left], ids[after[left]]
-                    found = merges.get((x, y))
+                if h >= 0:
+                    found = find(pair := ids[h] << 32 | both)
                     if found is not None:
-                        new = found[0]
-                        if new in places:
-                            places[new].append(left)
+                        at = at_rank(found)
+                        if at is None:
+                            places[found] = [h]
+                            pair_of[found] = pair
+                            heapq.heappush(active, found)
                         else:
-                            places[new] = [left]
-                            pair_of[new] = (x, y, found[1])
-                            heapq.heappush(active, new)
-                        lower |= new < rank
+                            at.append(h)
+                        lower = lower or found < rank
                 if lower and n + 1 < len(todo):  # a lower rank has come up: it goes first
                     places[rank] = todo[n + 1 :]
                     heapq.heappush(active, rank)
@@ -162,22 +180,34 @@ class WordBpe:
 
 
 class Encoder:
-    """Encodes texts, remembering words; also keeps each word's ids and decoded tokens as text."""
+    """Encodes texts, remembering words: for each its ids and its decoded tokens, as text with spaces between them."""
 
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
-        self.known: dict[str | int, tuple[list[int], str, str]] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known = {i: ([i], str(i), self.bpe.decode([i])) for i in self.bpe.special.values()}
+        special = self.bpe.special.values()
+        self.ids: dict[str | int, str] = {i: str(i) for i in special}
+        self.tokens: dict[str | int, str] = {i: self.bpe.decode([i]) for i in special}
+        self.silent: set[str | int] = set()  # words without a token
 
     def learn(self, texts: list[list[str | int]]) -> None:
-        if len(self.known) > REMEMBERED:
+        """Encodes the words of ``texts`` that are not known."""
+        if len(self.ids) > REMEMBERED:
             self.forget()
-        new = list({w for words in texts for w in words if w not in self.known})
+        new = list(set().union(*texts).difference(self.ids))
         for word, ids in zip(new, self.bpe.encode_words(new), strict=True):
-            self.known[word] = (ids, " ".join(map(str, ids)), self.bpe.decode(ids))
+            if not ids:
+                self.silent.add(word)
+            self.ids[word] = " ".join(map(str, ids))
+            self.tokens[word] = self.bpe.decode(ids)
+
+    def written(self, words: list[str | int]) -> tuple[str, str]:
+        """The ids of a text and its decoding; all words are known."""
+        if self.silent:
+            words = [w for w in words if w not in self.silent]
+        return " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.tokens.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -230,23 +260,22 @@ def _mapped(docs: DataFrame, path: str, text_col: str, keep: tuple[str, ...], di
         [("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>"), ("decoded", "string")]
     )
 
-    def sha(parts: list[str]) -> str:
-        return hashlib.sha256(" ".join(parts).encode()).hexdigest()
+    def sha(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value)
-        for batch in chunks(batches, 512):
+        for batch in chunks(batches, 1024):
             texts = [encoder.bpe.pieces(t) for t in batch.column(len(keep)).to_pylist()]
             encoder.learn(texts)
-            known = encoder.known
-            rows = [[e for w in words if (e := known[w])[0]] for words in texts]
-            n = pa.array([sum(len(e[0]) for e in r) for r in rows], pa.int64())
+            rows = [encoder.written(words) for words in texts]
+            n = pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in rows], pa.int64())
             if digests:
-                more = [pa.array([sha([e[i] for e in r]) for r in rows], pa.string()) for i in (1, 2)]
+                more = [pa.array([sha(r[i]) for r in rows], pa.string()) for i in (0, 1)]
             else:
                 more = [
-                    pa.array([[i for e in r for i in e[0]] for r in rows], pa.list_(pa.int32())),
-                    pa.array([" ".join([e[2] for e in r]) for r in rows], pa.string()),
+                    pa.array([[int(i) for i in ids.split()] for ids, _ in rows], pa.list_(pa.int32())),
+                    pa.array([decoded for _, decoded in rows], pa.string()),
                 ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n, *more], [name for name, _ in schema])
 
