@@ -6,7 +6,7 @@ The first pass hashes every text to two bits of one block of the filter and keep
 The second pass looks every row up: where one of its bits was hit once, no other row has its text, and it passes
 straight through. Only the other rows are shuffled, and an exact comparison of SHA-256 digests decides on them.
 
-The filter has ``BITS_PER_ROW`` bits a row up to ``max_filter_mb``, so what is broadcast has a fixed bound. Beyond it
+The filter has ``bloom.BITS_PER_ROW`` bits a row up to ``max_filter_mb``, so what is broadcast has a fixed bound. Beyond it
 the filter gets fuller and more rows take the exact way; results are the same at any size.
 
 Defined cases: an empty table gives an empty result; of rows with equal text the largest id stays, a null id being the
@@ -15,18 +15,14 @@ smallest; of rows that share text and id exactly one stays; other columns are ca
 
 from __future__ import annotations
 
-import math
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daypanel.llm.bloom import mark_possible_repeats
 from daypanel.llm.common import free_name, saved, whole
 
-BITS_PER_ROW = 16
-#: bits of one bitmap of bitmap_construct_agg
-BLOCK_BITS = 32768
-
 
 def folded(text: Column | str) -> Column:
     """The text with A-Z lower-cased and nothing else changed. ``lower`` does that to plain ASCII and is the faster."""
@@ -38,42 +34,6 @@ def digest(text: Column | str) -> Column:
     return F.sha2(F.encode(folded(text), "UTF-8"), 256)
 
 
-def _places(key: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a key's hash and its two bits there."""
-    h = F.xxhash64(key)
-    return h.bitwiseAND(F.lit(blocks - 1)), [F.shiftright(h, n).bitwiseAND(F.lit(BLOCK_BITS - 1)) for n in (24, 40)]
-
-
-def repeated_bits(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """``(_block, _bits)``: for each block of the filter a bitmap of the bits that two rows or more hit. Hits are
-    counted before they are shuffled, so a key with many rows costs two counts a task."""
-    block, bits = _places(F.col(key), blocks)
-    hit = keys.select(block.alias("_block"), F.explode(F.array_distinct(F.array(*bits))).alias("_bit"))
-    often = hit.groupBy("_block", "_bit").agg(F.count("*").alias("_n")).filter("_n >= 2")
-    return often.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-
-
-def blocks_for(rows: int, max_filter_mb: int) -> int:
-    """A power of two: the blocks of a filter for so many rows."""
-    most = max_filter_mb * 2**20 * 8 // BLOCK_BITS
-    return 2 ** min(math.ceil(math.log2(max(1, rows * BITS_PER_ROW / BLOCK_BITS))), int(math.log2(most)))
-
-
-def mark_possible_repeats(df: DataFrame, key: str, out: str, max_filter_mb: int = 64) -> DataFrame:
-    """``df`` with a boolean ``out``: whether another row may have the same ``key``. Never false where one has. The
-    filter, at most ``max_filter_mb``, is broadcast; ``df`` is not shuffled."""
-    blocks = blocks_for(df.count(), max_filter_mb)
-    filled = saved(repeated_bits(df.select(key), key, blocks))
-    block, bits = _places(F.col(key), blocks)
-
-    def hit(bit: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
-
-    joined = df.withColumn("_at", block).join(F.broadcast(filled), F.col("_at") == F.col("_block"), "left")
-    return joined.withColumn(out, hit(bits[0]) & hit(bits[1])).drop("_at", "_block", "_bits")
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: int = 64) -> DataFrame:
     """One row for each row of ``docs``: the id, ``keep_id`` (id of the row of equal text that stays), ``group_size``,
     ``kept`` and ``text_sha256`` of the folded text. Only the id and the digest are carried through the work."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from daypanel.llm import bpe, chat, exact_dedup, licences, pii, toxicity
+from daypanel.llm import bpe, chat, exact_dedup, licences, near_join, pii, toxicity
 from daypanel.llm.common import read
 
 
@@ -53,6 +53,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.similar_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -67,7 +71,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op5_chat, op6_pii, op9_toxicity)
+    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op5_chat, op6_pii, op8_near_join, op9_toxicity)
 }
 
 ORACLE: dict[str, str] = {
