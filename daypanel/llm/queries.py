@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from daypanel.llm import bpe, chat, decontaminate, exact_dedup, licences, near_join, pii, toxicity
+from daypanel.llm import bpe, chat, decontaminate, exact_dedup, licences, near_join, pii, suffix_dedup, toxicity
 from daypanel.llm.common import read
 
 
@@ -74,8 +74,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op8_near_join, op9_toxicity)
+    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op8_near_join, op9_toxicity, op10_suffix_dedup)
 }
 
 ORACLE: dict[str, str] = {
