@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from daypanel.llm import bpe, chat, decontaminate, exact_dedup, licences, near_join, pii, suffix_dedup, toxicity
+from daypanel.llm import bpe, chat, decontaminate, exact_dedup, licences, near_join, pii, quality, suffix_dedup, toxicity
 from daypanel.llm.common import read
 
 
@@ -57,6 +57,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.similar_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -79,7 +83,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op8_near_join, op9_toxicity, op10_suffix_dedup)
+    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op7_quality, op8_near_join, op9_toxicity, op10_suffix_dedup)
 }
 
 ORACLE: dict[str, str] = {
