@@ -227,8 +227,7 @@ def _vocabulary(docs: DataFrame, path: str):
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, ``ids`` (array<int>), ``n_tokens`` and ``decoded``. ``path`` names the vocabulary file
-    on the driver."""
+    """The columns ``keep``, ``n_tokens`` and ``ids`` (array<int>). ``path`` names the vocabulary file on the driver."""
     return _mapped(docs, path, text_col, keep, digests=False)
 
 
@@ -257,7 +256,7 @@ def _mapped(docs: DataFrame, path: str, text_col: str, keep: tuple[str, ...], di
     own = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(kept)), whole(F.col(f"`{text_col}`")).alias("t"))
     schema = [(f"k{i}", own.schema[f"k{i}"].dataType.simpleString()) for i in range(len(keep))]
     schema += [("n_tokens", "bigint")] + (
-        [("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>"), ("decoded", "string")]
+        [("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>")]
     )
 
     def sha(text: str) -> str:
@@ -273,10 +272,7 @@ def _mapped(docs: DataFrame, path: str, text_col: str, keep: tuple[str, ...], di
             if digests:
                 more = [pa.array([sha(r[i]) for r in rows], pa.string()) for i in (0, 1)]
             else:
-                more = [
-                    pa.array([[int(i) for i in ids.split()] for ids, _ in rows], pa.list_(pa.int32())),
-                    pa.array([decoded for _, decoded in rows], pa.string()),
-                ]
+                more = [pa.array([[int(i) for i in ids.split()] for ids, _ in rows], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n, *more], [name for name, _ in schema])
 
     mapped = map_arrow(own, run, ", ".join(f"{name} {kind}" for name, kind in schema))

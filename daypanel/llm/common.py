@@ -22,11 +22,15 @@ def saved(df: DataFrame) -> DataFrame:
     all executors share too, takes its place."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/.checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, else one in the warehouse: all executors share both."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints"
+
+
 def whole(text: Column | str) -> Column:
     """The text, the empty one for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
