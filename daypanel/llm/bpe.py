@@ -276,4 +276,4 @@ def _mapped(docs: DataFrame, path: str, text_col: str, keep: tuple[str, ...], di
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n, *more], [name for name, _ in schema])
 
     mapped = map_arrow(own, run, ", ".join(f"{name} {kind}" for name, kind in schema))
-    return mapped.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return mapped.toDF(*keep, *(name for name, _ in schema[len(keep) :]))

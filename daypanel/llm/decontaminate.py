@@ -238,5 +238,5 @@ def drop_leaking(
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(clean, pa.bool_()))
 
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema if f.name != mark)
-        docs = map_arrow(plain, run, fields).withColumnsRenamed({x: c for c, x in names.items()})
+        docs = map_arrow(plain, run, fields).toDF(*names)
     return docs

@@ -1,4 +1,4 @@
-"""The queries of this subpackage over the given tables, and their SQL where SQL can express them."""
+"""The queries of this subpackage over the given tables; ``ORACLE`` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from daypanel.llm import bpe, chat, decontaminate, exact_dedup, licences, near_join, pii, quality, suffix_dedup, toxicity
 from daypanel.llm.common import read
+from daypanel.llm.oracle import ORACLE as ORACLE
 
 
 def vocabulary_path() -> str:
@@ -85,18 +86,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op7_quality, op8_near_join, op9_toxicity, op10_suffix_dedup)
 }
-
-ORACLE: dict[str, str] = {
-    "op1_exact_dedup": """
-        WITH t AS (
-            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
-            FROM documents
-        )
-        SELECT doc_id,
-               max(doc_id) OVER same AS keep_id,
-               count(*) OVER same AS group_size,
-               doc_id = max(doc_id) OVER same AS kept,
-               text_sha256
-        FROM t WINDOW same AS (PARTITION BY text_sha256)
-    """,
-}
