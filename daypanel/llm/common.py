@@ -51,11 +51,15 @@ def chunks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+BATCH_SETTING, SPARK_BATCH_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, so that their Python workers can import it."""
+    """Sends this package to the executors once a session, so that their Python workers can import it. Texts are long
+    rows: where the session leaves the size of Arrow batches as Spark has it, it becomes ``BATCH_ROWS``."""
+    if spark.conf.get(BATCH_SETTING) == SPARK_BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

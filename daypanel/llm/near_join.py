@@ -64,7 +64,7 @@ class Shingler:
     def _hash(self, word: bytes) -> int:
         h = self.known.get(word)
         if h is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             h = self.known[word] = xxhash.xxh3_64_intdigest(word)
         return h
