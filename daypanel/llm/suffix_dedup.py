@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ class Settings:
     filter_mb: int = 64  # of the Bloom filter of repeated anchors, at most
     texts_a_shard: int = 1000  # whose anchors are counted together, about
     texts_a_bin: int = 8000  # whose keys are merged together, about
-    buffer: int = 16_000_000  # bytes of text a task holds at once, about
+    buffer: int = 10_000_000  # bytes of text a task holds at once, about
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -90,7 +91,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (own[1:] != own[:-1])]))
     last = np.append(first[1:], len(s)) - 1
     doc = own[first]
-    return h[a[first]], doc, a[first] - starts[doc], s[first] - starts[doc], s[last] - starts[doc]
+    # Mixed anew: the smallest hashes of their strings are small, and shards are told apart by the upper bits.
+    return h[a[first]] * _ODD[1], doc, a[first] - starts[doc], s[first] - starts[doc], s[last] - starts[doc]
 
 
 def _blocks(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
@@ -125,6 +127,12 @@ def _twice(values: np.ndarray) -> np.ndarray:
     return values[keep]
 
 
+def _slots(low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the lower half of a hash in a bitmap of ``width`` bits."""
+    low = low.astype(np.uint64)
+    return (low % np.uint64(width)).astype(np.int64), ((low * _ODD[0] >> np.uint64(31)) % np.uint64(width)).astype(np.int64)
+
+
 def _shard(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -161,14 +169,15 @@ def repeated_anchors(texts: DataFrame, rows: int, s: Settings):
     sent = map_arrow(texts, send, "shard bigint, hashes binary").repartition("shard").sortWithinPartitions("shard")
     found = saved(map_arrow(sent, count, "shard bigint, hashes binary, n bigint"))
     total = found.agg(F.sum("n")).first()[0] or 0
-    width = min(12 * total, s.filter_mb * 2**23) // 2**bits // 8 * 8 + 8
+    width = min(16 * total, s.filter_mb * 2**23) // 2**bits // 8 * 8 + 8
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps = []
             for hashes in batch.column(1).to_pylist():
                 table = np.zeros(width, bool)
-                table[np.frombuffer(hashes, "<u4") % width] = True
+                for slots in _slots(np.frombuffer(hashes, "<u4"), width):
+                    table[slots] = True
                 maps.append(np.packbits(table).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["shard", "map"])
 
@@ -198,7 +207,7 @@ RUN = ("bin bigint", "lcp binary", "size binary", "tails binary", "ids binary",
 
 def make_run(keys: list[bytes], ids: list[int], holders: list[list[tuple[int, int]]], names: list[bytes]) -> tuple[bytes, ...]:
     """Sorted keys, front-coded: the length each has in common with the one before, and the rest. ``holders``: for each
-    key the (text, place of the anchor) pairs that hold it; ``names`` of the texts have 16 bytes."""
+    key the (text, place of the anchor) pairs that hold it; ``names`` of the texts have 16 bytes. Columns are compressed."""
     size = np.array([len(k) for k in keys], np.int64)
     wide = np.frombuffer(b"".join(k.ljust(128, b"\0") for k in keys), np.uint8).reshape(len(keys), 128)
     lcp = np.zeros(len(keys), np.int64)
@@ -208,10 +217,15 @@ def make_run(keys: list[bytes], ids: list[int], holders: list[list[tuple[int, in
     tails = b"".join([k[n:] for k, n in zip(keys, lcp.tolist(), strict=True)])
     flat = np.array([(i, doc, at) for i, h in enumerate(holders) for doc, at in h], np.int64)
     used, doc = np.unique(flat[:, 1], return_inverse=True)
-    return (
+    columns = (
         lcp.astype(np.uint8).tobytes(), size.astype(np.uint8).tobytes(), tails, np.array(ids, "<i8").tobytes(),
         flat[:, 0].astype("<u4").tobytes(), doc.astype("<u4").tobytes(), flat[:, 2].astype("<u4").tobytes(), b"".join(names[i] for i in used.tolist()),
     )
+    return tuple(map(zstandard.ZstdCompressor(3).compress, columns))
+
+
+def read_run(columns: tuple[bytes, ...]) -> tuple[bytes, ...]:
+    return tuple(map(zstandard.ZstdDecompressor().decompress, columns))
 
 
 class LoserTree:
@@ -367,8 +381,9 @@ def sort_task(rows: list[tuple[int, bytes, bytes]], bits: int, filled: np.ndarra
         h, doc, place, low, high = anchors(block)
         if not len(h):
             continue
-        slot = (h & np.uint64(2**32 - 1)).astype(np.int64) % width
-        keep = np.flatnonzero(filled[_shard(h, bits), slot >> 3] >> (7 - (slot & 7)) & 1)
+        one, two = _slots(h & np.uint64(2**32 - 1), width)
+        bitmap = _shard(h, bits)
+        keep = np.flatnonzero(filled[bitmap, one >> 3] >> (7 - (one & 7)) & filled[bitmap, two >> 3] >> (7 - (two & 7)) & 1)
         where = (h[keep] >> np.uint64(20)) % np.uint64(bins)
         for d, a, x, y, b in zip(doc[keep].tolist(), place[keep].tolist(), low[keep].tolist(), high[keep].tolist(), where.tolist(), strict=True):
             text = block[d]
@@ -437,20 +452,22 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if local:
                 found = _ranges(local)
                 none = pa.nulls(found.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * found.num_rows, pa.int64()), *[none] * 5, none, found.column(1), found.column(0)], names)
-
-    runs = saved(map_arrow(texts, sort, ", ".join(RUN)))
+                # What is known already goes along with the runs, spread over as many bins below zero.
+                bin_ = pa.array([-1 - name[0] % bins for name in local], pa.int64())
+                yield pa.RecordBatch.from_arrays([bin_, *[none] * 6, found.column(1), found.column(0)], names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _grouped(batches):
-            found = repeats(own)
-            if found:
+        for bin_, own in _grouped(batches):
+            if bin_ < 0:
+                found: dict[bytes, list] = {}
+                for row in own:
+                    found.setdefault(row[7], []).append(row[6])
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([b"".join(r) for r in found.values()], pa.binary())], ["name", "ranges"])
+            elif found := repeats([read_run(r) for r in own]):
                 yield _ranges(found)
 
-    dealt = runs.filter("bin >= 0").repartition("bin").sortWithinPartitions("bin")
-    across = map_arrow(dealt, merge, "name binary, ranges binary")
-    within = runs.filter("bin < 0").select(F.col("docs").alias("name"), F.col("holder_at").alias("ranges"))
-    ranges = across.unionByName(within).groupBy("name").agg(F.collect_list("ranges").alias("ranges"))
+    dealt = map_arrow(texts, sort, ", ".join(RUN)).repartition("bin").sortWithinPartitions("bin")
+    ranges = map_arrow(dealt, merge, "name binary, ranges binary").groupBy("name").agg(F.collect_list("ranges").alias("ranges"))
     return rows, saved(ranges), copies
 
 
