@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daypanel.functions.quality import all_of
 from daypanel.functions.rules import column_rule
-from daypanel.operators.ordering import HOT_ROWS, table_quantiles
+from daypanel.operators.ordering import table_quantiles
 from daypanel.schema import require_columns
 
 # ---- fixed values: default groups, the population of regular rows, sentinels ----
@@ -85,9 +85,7 @@ def nonmissing_values(df: DataFrame, variable: str, top: int = 50) -> DataFrame:
     return value_counts(regular_rows(df), variable, F.col(variable).isNotNull(), top=top)
 
 
-def numeric_summary(
-    df: DataFrame, variable: str, exact: bool = True, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def numeric_summary(df: DataFrame, variable: str, exact: bool = True) -> DataFrame:
     """Size, missing values, range and five quantiles of a variable; one row."""
     require_columns(df, [variable])
     quantiles = {"p01": 0.01, "p05": 0.05, "p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -103,7 +101,7 @@ def numeric_summary(
         columns = [F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)]
         found = df.agg(*frame, sketch).select("n_total", "n_missing", "min_value", *columns, "max_value")
         return found
-    found = table_quantiles(df, variable, quantiles, hot_rows).select(F.struct(*quantiles).alias("q"))
+    found = table_quantiles(df, variable, quantiles).select(F.struct(*quantiles).alias("q"))
     return df.agg(*frame).withColumn("q", found.scalar()).select(
         "n_total", "n_missing", "min_value", *[F.col(f"q.{n}").alias(n) for n in quantiles], "max_value"
     )

@@ -43,6 +43,11 @@ class LabelParams:
     flag_codes: tuple[str, ...] = FLAG_CODES
     delisting_codes: tuple[str, ...] = DELISTING_CODES
 
+    def __post_init__(self):
+        names = [self.stressed(p) for p in self.penalties]
+        if len(set(names)) < len(names):
+            raise ValueError(f"penalties share a column name: {names}")
+
     @property
     def steps(self) -> range:
         return range(1, self.horizon + 1)
@@ -56,7 +61,8 @@ class LabelParams:
         return f"bt_{self.horizon}d_return_zero_after_missing"
 
     def stressed(self, penalty: float) -> str:
-        return f"bt_{self.horizon}d_return_delist_stress_{round(penalty * 100)}"
+        percent = f"{penalty * 100:.10g}".replace(".", "p")
+        return f"bt_{self.horizon}d_return_delist_stress_{percent}"
 
 
 DEFAULT_LABELS = LabelParams()

@@ -1,13 +1,9 @@
 """Order statistics of groups of any size: quantiles, row numbers, top rows.
 
 Spark's exact ``percentile`` and ``row_number`` gather a group in one task.
-That is right for groups of ordinary size. A group above ``hot_rows`` is
-handled here in pieces that are cut by value, so that no task sees the whole
-of it; results are the same either way.
-
-Hot groups number at most (rows of the table / hot_rows), so their cut points
-make a table small enough to broadcast: 10^12 rows in groups above two million
-are at most 500,000 groups.
+Here a group is cut by value, so that no task sees the whole of it. Quantiles
+take one path at every size; row numbers are the same however many pieces a
+group is cut into.
 """
 
 from __future__ import annotations
@@ -16,68 +12,74 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 2_000_000
 SKETCH_ACCURACY = 10_000
 SALTS = 1024
 
 
-def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:
-    """Groups with more rows than ``hot_rows``, with their size ``_n``."""
-    return df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-
-
 def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
-    hot_rows: int = HOT_ROWS,
-    accuracy: int = SKETCH_ACCURACY,
+    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], accuracy: int = SKETCH_ACCURACY
 ) -> DataFrame:
     """Interpolated quantiles of the non-NULL values of each group, one column
-    per entry of ``quantiles``. Grouping columns must not be NULL.
+    per entry of ``quantiles``, equal to Spark's ``percentile``. Groups are
+    calendar days, years and the like: their statistics, one row a group, are
+    broadcast. NULL is a group like any other.
     """
-    by, accuracy = list(by), min(accuracy, hot_rows)
+    by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    hot = hot_groups(rows, by, hot_rows)
-    ordinary = (
-        rows.join(F.broadcast(hot), by, "left_anti")
-        .groupBy(*by)
-        .agg(F.percentile("_v", list(quantiles.values())).alias("_q"))
-        .select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(quantiles)])
-    )
-    large = rows.join(F.broadcast(hot), by)
-    sketch = large.groupBy(*by).agg(_bracket_ends(quantiles, accuracy).alias("_ends"))
-    return ordinary.unionByName(_narrowed(large.join(F.broadcast(sketch), by), by, quantiles))
+    sketched = _attached(rows, rows.groupBy(*by).agg(*_sketch(quantiles, accuracy)), by)
+    sure = _attached(rows, sketched.groupBy(*by, "_n", "_low", "_high", "_ends").agg(*_ranks(quantiles)), by)
+    return _narrowed(sure.withColumn("_ends", _checked(quantiles)), by, quantiles)
 
 
-def table_quantiles(
-    df: DataFrame,
-    value: str,
-    quantiles: dict[str, float],
-    hot_rows: int = HOT_ROWS,
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
+def table_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """The same for a whole table: one row, or none where no value is present."""
-    accuracy = min(accuracy, hot_rows)
-    rows = df.select(F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    extremes = F.flatten(F.array_repeat(F.array(F.min("_v"), F.max("_v")), len(quantiles)))
-    ends = F.when(F.count("*") > hot_rows, _bracket_ends(quantiles, accuracy)).otherwise(extremes)
-    stats = rows.agg(F.struct(F.count("*").alias("n"), ends.alias("ends")).alias("stats"))
-    attached = rows.withColumn("_s", stats.scalar()).select("_v", F.col("_s.n").alias("_n"), F.col("_s.ends").alias("_ends"))
-    return _narrowed(attached, [], quantiles)
+    return exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, quantiles, accuracy).drop("_all")
 
 
-def _bracket_ends(quantiles: dict[str, float], accuracy: int) -> Column:
-    """Two values around each quantile, from a sketch.
+def _attached(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """The values with the statistics of their group."""
+    renamed = {c: f"_g_{c}" for c in by}
+    same = [F.col(c).eqNullSafe(F.col(g)) for c, g in renamed.items()]
+    return rows.join(F.broadcast(stats.withColumnsRenamed(renamed)), same).drop(*renamed.values())
 
-    The sketch is off by at most n / accuracy ranks. With n >= accuracy a
-    margin of four such steps leaves the two ranks next to a quantile inside.
-    """
+
+def _sketch(quantiles: dict[str, float], accuracy: int) -> list[Column]:
+    """Number, extremes and two values around each quantile. The sketch is off
+    by n / accuracy ranks; the margin is four times as wide."""
     margin = 4.0 / accuracy
     ends = [e for p in quantiles.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    return F.percentile_approx("_v", ends, accuracy)
+    return [
+        F.count("*").alias("_n"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+        F.percentile_approx("_v", ends, accuracy).alias("_ends"),
+    ]
+
+
+def _positions(quantiles: dict[str, float]) -> list[tuple[str, Column]]:
+    return [(name, (F.col("_n") - 1) * F.lit(p)) for name, p in quantiles.items()]
+
+
+def _ranks(quantiles: dict[str, float]) -> list[Column]:
+    """How many values lie below each bracket and up to its end."""
+    v, ends = F.col("_v"), F.col("_ends")
+    out = []
+    for i in range(len(quantiles)):
+        out += [F.count_if(v < ends[2 * i]).alias(f"_below{i}"), F.count_if(v <= ends[2 * i + 1]).alias(f"_upto{i}")]
+    return out
+
+
+def _checked(quantiles: dict[str, float]) -> Column:
+    """The brackets that are known to hold their two ranks; in place of one
+    that does not, all values of the group."""
+    ends = []
+    for i, (_, position) in enumerate(_positions(quantiles)):
+        holds = (F.col(f"_below{i}") <= F.floor(position)) & (F.col(f"_upto{i}") >= F.ceil(position) + 1)
+        ends += [F.when(holds, F.col("_ends")[2 * i]).otherwise(F.col("_low")), F.when(holds, F.col("_ends")[2 * i + 1]).otherwise(F.col("_high"))]
+    return F.array(*ends)
 
 
 def _narrowed(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
@@ -103,15 +105,27 @@ def _narrowed(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> Da
     cumulated = counts.withColumn("_cum", F.sum("_c").over(upto))
 
     picks, columns = [], []
-    for name, p in quantiles.items():
-        position = (F.col("_n") - 1) * F.lit(p)
+    for name, position in _positions(quantiles):
         for end, rank in (("lo", F.floor(position) + 1), ("hi", F.ceil(position) + 1)):
             picks.append(F.min(F.when(F.col("_cum") >= rank, F.col("_slot"))).alias(f"_{name}_{end}"))
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        columns.append((low + (high - low) * (position - F.floor(position))).alias(name))
+        # Equal ends need no weights, which an infinite value could not bear.
+        between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+        columns.append(F.when(low == high, low).otherwise(between).alias(name))
     return cumulated.groupBy(*by, "_n").agg(*picks).select(*by, *columns)
 
 
+def _image(df: DataFrame, column: str) -> Column:
+    """A number that grows with the column in Spark's order, for cut points:
+    for text, its first seven bytes."""
+    c, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
 def add_row_number(
     df: DataFrame,
     by: str,
@@ -124,9 +138,9 @@ def add_row_number(
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each group by ``value`` descending, NULL last, then
-    ``tie`` ascending.
+    ``tie`` ascending; both may be of any type that has an order.
 
-    A large group is cut at about ``cuts`` values into pieces that follow each
+    A group above ``hot_rows`` is cut at about ``cuts`` values into pieces that follow each
     other in that order. A row's number is its number within its piece plus the
     sizes of the pieces before. A value that is a cut itself gets a piece of
     its own, which is cut again along ``tie``, and so do NULL values: one value
@@ -135,23 +149,25 @@ def add_row_number(
     """
     steps = [(i + 1) / (cuts + 1) for i in range(cuts)]
     sizes = df.groupBy(by).agg(F.count("*").alias("_n")) if sizes is None else sizes
-    hot = sizes.filter(F.col("_n") > hot_rows)
+    hot = sizes.filter(F.col("_n") > hot_rows).select(by)
+    image = {"_v": _image(df, value), "_t": _image(df, tie)}
     cut_points = (
-        df.join(F.broadcast(hot.select(by)), by, "left_semi")
+        df.join(hot, by, "left_semi")
+        .select(by, *(c.alias(name) for name, c in image.items()))
         .groupBy(by)
         .agg(
-            F.percentile_approx(value, steps, accuracy).alias("_cuts"),
-            F.percentile_approx(tie, steps, accuracy).alias("_ties"),
+            F.percentile_approx("_v", steps, accuracy).alias("_cuts"),
+            F.percentile_approx("_t", steps, accuracy).alias("_ties"),
         )
     )
-    v, t = F.col(value), F.col(tie)
+    v, t = F.col("_v"), F.col("_t")
     is_hot = F.col("_cuts").isNotNull()
     # Looked up once per row; NULL where the group is not cut.
-    located = df.join(F.broadcast(cut_points), by, "left").withColumns(
+    located = df.withColumns(image).join(cut_points, by, "left").withColumns(
         {
             "_below": F.size(F.filter("_cuts", lambda x: x < v)),
             "_upto": F.size(F.filter("_cuts", lambda x: x <= v)),
-            "_tie": F.size(F.filter("_ties", lambda x: x <= t)),
+            "_tie": F.when(t.isNull(), cuts + 1).otherwise(F.size(F.filter("_ties", lambda x: x <= t))),
         }
     )
     piece = F.when(~is_hot, 0).when(v.isNull(), 1).otherwise(-(F.col("_below") + F.col("_upto")))

@@ -85,10 +85,12 @@ def with_rates(lines: DataFrame) -> DataFrame:
 
 def evidence_text(df: DataFrame, column: str):
     """A value as text; doubles with six decimals, so that the text does not
-    depend on how an engine spells a double."""
+    depend on how an engine spells a double. What has no such form, an infinity
+    or a huge number, stands as Spark writes it."""
+    plain = F.col(column).cast("string")
     if isinstance(df.schema[column].dataType, T.DoubleType):
-        return F.col(column).cast("decimal(38,6)").cast("string")
-    return F.col(column).cast("string")
+        return F.coalesce(F.col(column).try_cast("decimal(38,6)").cast("string"), plain)
+    return plain
 
 
 def ohlc_evidence(df: DataFrame):

@@ -16,11 +16,15 @@ ABOVE_ALL_DRAWS = "g"  # hashes are hexadecimal
 
 def csv_bytes(df: DataFrame) -> Column:
     """Bytes of a row as a CSV line: its values, separators and line end.
-    Doubles are measured with ten decimals."""
+    Doubles are measured with ten decimals, or as Spark writes them where they
+    have no such form."""
 
     def text(f: T.StructField) -> Column:
         c = F.col(f.name)
-        return (c.cast("decimal(38,10)") if isinstance(f.dataType, T.DoubleType) else c).cast("string")
+        plain = c.cast("string")
+        if isinstance(f.dataType, T.DoubleType):
+            return F.coalesce(c.try_cast("decimal(38,10)").cast("string"), plain)
+        return plain
 
     lengths = [F.coalesce(F.octet_length(text(f)), F.lit(0)) for f in df.schema.fields]
     return sum(lengths, F.lit(len(lengths)))

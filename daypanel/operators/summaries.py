@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from daypanel.operators.examples import listing
 from daypanel.operators.groups import value_counts
 from daypanel.operators.labels import DEFAULT_LABELS, LabelParams
-from daypanel.operators.ordering import HOT_ROWS, exact_quantiles
+from daypanel.operators.ordering import exact_quantiles
 from daypanel.schema import DEFAULT_KEY, PanelKey
 
 # ---- fixed values: preview columns and labels ----
@@ -77,7 +77,16 @@ def universe_yearly_summary(universe: DataFrame, key: PanelKey = DEFAULT_KEY) ->
         F.min(n).alias("min_daily_universe_size"),
         F.max(n).alias("max_daily_universe_size"),
     )
-    return sizes.join(names, "year").orderBy("year")
+    return _by_year(sizes, names)
+
+
+def _by_year(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Aggregates of years side by side; every year of the first stays, and the
+    rows without a year are one more."""
+    for other in others:
+        renamed = other.withColumnRenamed("year", "_year")
+        first = first.join(renamed, F.col("year").eqNullSafe(F.col("_year")), "left").drop("_year")
+    return first.orderBy("year")
 
 
 def missing_return_summary(core: DataFrame) -> DataFrame:
@@ -176,7 +185,7 @@ def panel_daily_summary(panel: DataFrame, params: LabelParams = DEFAULT_LABELS,
 
 
 def panel_yearly_summary(
-    panel: DataFrame, params: LabelParams = DEFAULT_LABELS, key: PanelKey = DEFAULT_KEY, hot_rows: int = HOT_ROWS
+    panel: DataFrame, params: LabelParams = DEFAULT_LABELS, key: PanelKey = DEFAULT_KEY
 ) -> DataFrame:
     t, raw = f"target_{params.horizon}d", params.complete
     sizes = panel.groupBy("year").agg(
@@ -187,8 +196,8 @@ def panel_yearly_summary(
     )
     days = panel.groupBy("year").agg(F.count_distinct(key.date).alias("n_days"))
     names = panel.groupBy("year").agg(F.count_distinct(key.entity).alias("n_unique_permnos"))
-    medians = exact_quantiles(panel, ["year"], raw, {f"median_{t}_raw": 0.5}, hot_rows)
-    return sizes.join(days, "year").join(names, "year").join(medians, "year").orderBy("year")
+    medians = exact_quantiles(panel, ["year"], raw, {f"median_{t}_raw": 0.5})
+    return _by_year(sizes, days, names, medians)
 
 
 def recent_label_availability(

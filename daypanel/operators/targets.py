@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daypanel.operators.labels import DEFAULT_LABELS, LabelParams, label_columns
-from daypanel.operators.ordering import HOT_ROWS, exact_quantiles
+from daypanel.operators.ordering import exact_quantiles
 from daypanel.schema import DEFAULT_KEY, PanelKey
 
 LOW, HIGH = 0.01, 0.99
@@ -28,7 +28,6 @@ def winsorize_by(
     low: float = LOW,
     high: float = HIGH,
     key: PanelKey = DEFAULT_KEY,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Clip a value to its own day's quantiles, for days of any size.
 
@@ -36,7 +35,7 @@ def winsorize_by(
     """
     key.check_date(df)
     names = {f"{prefix}_p01": low, f"{prefix}_p99": high}
-    limits = exact_quantiles(df.filter(F.col(key.date).isNotNull()), [key.date], value, names, hot_rows)
+    limits = exact_quantiles(df.filter(F.col(key.date).isNotNull()), [key.date], value, names)
     bounded = df.join(F.broadcast(limits), key.date, "left")
     clipped = clip(F.col(value), F.col(f"{prefix}_p01"), F.col(f"{prefix}_p99"))
     return bounded.withColumn(f"{prefix}_winsor", clipped).select(*df.columns, *names, f"{prefix}_winsor")
@@ -69,28 +68,12 @@ def complete_rows(joined: DataFrame, params: LabelParams = DEFAULT_LABELS) -> Da
 def normalise_target(
     complete: DataFrame, params: LabelParams = DEFAULT_LABELS, key: PanelKey = DEFAULT_KEY
 ) -> DataFrame:
-    """Winsorised and standardised label of *universe* rows.
-
-    The universe holds at most ``max_market_cap_rank`` rows a day, so a day
-    fits one task and plain windows do: one shuffle, no second read. For rows
-    without that bound use ``winsorize_by`` and ``zscore_by``.
-    """
+    """Winsorised and standardised label. The statistics of a day come from the
+    date and the label alone and are joined back, so a day's wide rows are
+    never gathered."""
     t = f"target_{params.horizon}d"
-    raw = F.col(params.complete)
-    day = Window.partitionBy(key.date)
-    limits = complete.withColumn("_q", F.percentile(raw, [LOW, HIGH]).over(day)).withColumns(
-        {f"{t}_p01": F.col("_q")[0], f"{t}_p99": F.col("_q")[1]}
-    )
-    winsor = limits.drop("_q").withColumn(f"{t}_winsor", clip(raw, F.col(f"{t}_p01"), F.col(f"{t}_p99")))
-    scored = winsor.withColumns(
-        {
-            f"{t}_winsor_mean": F.avg(f"{t}_winsor").over(day),
-            f"{t}_winsor_sd": F.stddev_samp(f"{t}_winsor").over(day),
-            "n_cross_section": F.count(F.lit(1)).over(day),
-        }
-    )
-    z = standardise(F.col(f"{t}_winsor"), F.col(f"{t}_winsor_mean"), F.col(f"{t}_winsor_sd"))
-    return scored.withColumn(f"{t}_cs_zscore", z)
+    bounded = winsorize_by(complete, params.complete, t, key=key)
+    return zscore_by(bounded, f"{t}_winsor", f"{t}_cs_zscore", key)
 
 
 def model_panel(

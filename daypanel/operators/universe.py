@@ -210,4 +210,6 @@ def daily_universe(
     narrow = candidates.select(*key.pair, *[names(c) for c in standard])
     keys = universe_keys(add_history(narrow, params, key, names), params, key, names)
     added = [c for c in keys.columns if c not in narrow.columns]
-    return base.join(keys.select(*key.pair, *added), key.pair).withColumns(params.stamp())
+    # The thresholds that need no history are filters of the wide side too, and so reach its scan.
+    wide = candidates.filter(names("prc") >= params.min_price)
+    return wide.join(keys.select(*key.pair, *added), key.pair).withColumns(params.stamp())

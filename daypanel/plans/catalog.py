@@ -8,6 +8,7 @@ operators, so that results of two engines can be compared value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 KEY = ["permno", "dlycaldt"]
 ROW = [*KEY, "source_file", "raw_row_id"]
 RAW = PanelSchema.parse(fixture.RAW_VARIABLES)
-# The rank limits are absolute, so they thin out more on larger tables.
+# Limits that most candidates pass; one query has tight ones, where cutting is what it shows.
 PARAMS = universe.UniverseParams(
-    min_price=500.0, min_adv20=40_000.0, min_history_obs=126, max_market_cap_rank=6, max_adv20_rank=7
+    min_price=500.0, min_adv20=40_000.0, min_history_obs=126, max_market_cap_rank=3000, max_adv20_rank=4000
 )
+TIGHT = replace(PARAMS, max_market_cap_rank=6, max_adv20_rank=7)
 SAMPLE_MB = 0.5
 
 
@@ -78,9 +80,9 @@ def candidates(spark, sf):
     return universe.common_equity(base(spark, sf), PARAMS)
 
 
-def in_universe(spark, sf):
+def in_universe(spark, sf, params=PARAMS):
     # Flags depend on their row alone: added to the rows that are left.
-    return universe.prepare_all(universe.daily_universe(universe.ready_rows(panel(spark, sf)), PARAMS))
+    return universe.prepare_all(universe.daily_universe(universe.ready_rows(panel(spark, sf)), params))
 
 
 def core_dedup(spark, sf):
@@ -105,6 +107,7 @@ def raw_csv_scan(spark, sf):
     path = sinks.scratch_path(spark, "raw-csv")
     source = fixture.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     sinks.write_report(source, path)
+    sinks.remove_at_end(spark, path)
     return readers.read_raw_csv(spark, path)
 
 
@@ -116,6 +119,7 @@ def raw_scan_with_provenance(spark, sf):
 def partitioned_scan(spark, sf):
     path = sinks.scratch_path(spark, "panel")
     sinks.write_panel(panel(spark, sf).select(*ROW, "year", "prc", "dlyret"), path)
+    sinks.remove_at_end(spark, path)
     back = readers.scan_panel(spark, path)
     return rounded(
         back.groupBy("year").agg(
@@ -130,6 +134,7 @@ def report_csv_roundtrip(spark, sf):
     path = sinks.scratch_path(spark, "report")
     counts = groups.value_counts(fixture.table(spark, sf, "orders"), "o_orderpriority", count_name="n_rows")
     sinks.write_report(counts, path, single_file=True)
+    sinks.remove_at_end(spark, path)
     return readers.read_raw_csv(spark, path)
 
 
@@ -186,12 +191,16 @@ def common_equity_candidates(spark, sf):
     return rounded(candidates(spark, sf).select(*ROW, "primaryexch", "securitytype", "prc"))
 
 
-def daily_universe(spark, sf):
+def daily_universe(spark, sf, params=PARAMS):
     columns = [
         *ROW, "ticker", "prc", "dollar_volume_for_universe", "adv20", "avg_volume_20d", "hist_ret_obs_252",
-        "trading_age_obs", "market_cap_rank", "adv20_rank", "n_common_equity_candidates", *PARAMS.stamp(),
+        "trading_age_obs", "market_cap_rank", "adv20_rank", "n_common_equity_candidates", *params.stamp(),
     ]
-    return rounded(in_universe(spark, sf).select(*columns), 4)
+    return rounded(in_universe(spark, sf, params).select(*columns), 4)
+
+
+def daily_universe_tight(spark, sf):
+    return daily_universe(spark, sf, TIGHT)
 
 
 def missing_return_without_flag(spark, sf):
@@ -487,6 +496,7 @@ QUERIES: dict[str, Query] = {
     "terminal_events": terminal_events,
     "common_equity_candidates": common_equity_candidates,
     "daily_universe": daily_universe,
+    "daily_universe_tight": daily_universe_tight,
     "missing_return_without_flag": missing_return_without_flag,
     "open_only_missing": open_only_missing,
     "ohlc_inconsistent_rows": ohlc_inconsistent_rows,

@@ -161,11 +161,13 @@ RANKED = """SELECT *,
     row_number() OVER (PARTITION BY dlycaldt ORDER BY round(adv20, 4) DESC NULLS LAST, permno) AS adv20_rank,
     count(*) OVER (PARTITION BY dlycaldt) AS n_common_equity_candidates
   FROM history"""
-UNIVERSE = """SELECT *, 1 AS in_universe_flag, 'N,Q,A' AS universe_exchange_set, 500e0 AS universe_min_price,
-    40000e0 AS universe_min_adv20, 126 AS universe_min_history_obs, 6 AS universe_max_market_cap_rank,
-    7 AS universe_max_adv20_rank
+def universe(by_cap: int, by_volume: int) -> str:
+    return f"""SELECT *, 1 AS in_universe_flag, 'N,Q,A' AS universe_exchange_set, 500e0 AS universe_min_price,
+    40000e0 AS universe_min_adv20, 126 AS universe_min_history_obs,
+    {by_cap} AS universe_max_market_cap_rank, {by_volume} AS universe_max_adv20_rank
   FROM ranked
-  WHERE prc >= 500 AND adv20 >= 40000 AND hist_ret_obs_252 >= 126 AND market_cap_rank <= 6 AND adv20_rank <= 7"""
+  WHERE prc >= 500 AND adv20 >= 40000 AND hist_ret_obs_252 >= 126 AND market_cap_rank <= {by_cap}
+    AND adv20_rank <= {by_volume}"""
 
 
 # ---- labels ----
@@ -254,7 +256,8 @@ STAGES = {
         AND usincflg = 'Y' AND shradrflg = 'N' AND primaryexch IN ('N', 'Q', 'A')""",
     "history": HISTORY,
     "ranked": RANKED,
-    "universe": UNIVERSE,
+    "universe": universe(3000, 4000),
+    "tight_universe": universe(6, 7),
     "core_dedup": f"SELECT * EXCLUDE (n_rows_same_stock_day) FROM ({first_per_key('panel')})",
     "leads": leads(),
     "reasons": reasons(),
@@ -266,7 +269,8 @@ STAGES = {
 }
 NEEDS = {
     "prepared": ["panel"], "base": ["prepared"], "candidates": ["base"], "history": ["candidates"],
-    "ranked": ["history"], "universe": ["ranked"], "core_dedup": ["panel"], "leads": ["core_dedup"],
+    "ranked": ["history"], "universe": ["ranked"], "tight_universe": ["ranked"],
+    "core_dedup": ["panel"], "leads": ["core_dedup"],
     "reasons": ["leads"], "firsts": ["reasons"], "labels": ["firsts"], "joined": ["universe", "labels"],
     "complete": ["joined"], "model": ["complete"],
 }
@@ -519,6 +523,11 @@ ORACLE: dict[str, str] = {
         market_cap_rank, adv20_rank, n_common_equity_candidates, in_universe_flag, universe_exchange_set,
         universe_min_price, universe_min_adv20, universe_min_history_obs, universe_max_market_cap_rank,
         universe_max_adv20_rank FROM universe"""),
+    "daily_universe_tight": over("tight_universe", f"""SELECT {cols(ROW)}, ticker,
+        {rs(['prc', 'dollar_volume_for_universe', 'adv20', 'avg_volume_20d'], 4)}, hist_ret_obs_252, trading_age_obs,
+        market_cap_rank, adv20_rank, n_common_equity_candidates, in_universe_flag, universe_exchange_set,
+        universe_min_price, universe_min_adv20, universe_min_history_obs, universe_max_market_cap_rank,
+        universe_max_adv20_rank FROM tight_universe"""),
     "missing_return_without_flag": over("core_dedup", f"SELECT {cols(ROW)}, ticker, tradingstatusflg FROM core_dedup "
                                                       f"WHERE dlyret IS NULL AND dlyretmissflg IS NULL"),
     "open_only_missing": over("panel", f"""SELECT {cols(ROW)}, {rs(['dlyhigh', 'dlylow', 'dlyclose'])}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +14,22 @@ from daypanel.operators.ingest import normalise_names
 from daypanel.schema import PanelSchema
 
 
-def read_raw_csv(spark: SparkSession, path: str | Sequence[str], schema: PanelSchema | None = None) -> DataFrame:
+def read_raw_csv(
+    spark: SparkSession, path: str | Sequence[str], schema: PanelSchema | None = None, multi_line: bool = False
+) -> DataFrame:
     """Every column as text: inference would damage identifiers. With a schema
-    the header is not even read to find the names."""
-    reader = spark.read.option("header", True).option("inferSchema", False)
+    the header is not even read to find the names. A quote within quotes is
+    doubled and a backslash is a character like any other. ``multi_line`` lets
+    quoted values hold line breaks; each file is then read by one task."""
+    reader = (
+        spark.read.option("header", True)
+        .option("inferSchema", False)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )
     if schema is not None:
         reader = reader.schema(schema.raw_struct()).option("enforceSchema", False)
     return reader.csv(path if isinstance(path, str) else list(path))
@@ -26,13 +40,20 @@ def scan_raw(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     file and the position in the file of every row.
 
     The position comes with the scan: no sort, no shuffle, and the same number
-    whenever the file is read.
+    whenever the file is read. The file's name is its path below the scanned
+    folder, or below what several scanned folders share, so that equal names in
+    different folders stay apart.
     """
     paths = [path] if isinstance(path, str) else list(path)
+    above = paths[0] if len(paths) == 1 else posixpath.commonpath([p.rstrip("/") for p in paths])
+    plain = re.sub(r"^[a-zA-Z0-9]+:/*(?=/)", "", above).rstrip("/")
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    below = F.substring_index(full, f"{plain}/", -1)
+    name = F.when(F.endswith(full, F.lit(plain)), F.col("_metadata.file_name")).otherwise(below)
     parts = spark.read.option("mergeSchema", True).parquet(*paths)
     return normalise_names(
         parts.select(
-            F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("raw_row_id"), "*"
+            name.alias("source_file"), F.col("_metadata.row_index").alias("raw_row_id"), "*"
         )
     )
 

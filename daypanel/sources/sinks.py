@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,23 +33,42 @@ def write_panel(df: DataFrame, path: str, by: str = "year", rows_per_file: int =
 
 
 def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header. ``single_file`` is for reports of a few rows."""
+    """CSV with a header, quotes doubled within quotes and text as it is; NULL
+    is an empty field and empty text a quoted one. ``single_file`` is for
+    reports of a few rows."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    (
+        out.write.mode("overwrite")
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("emptyValue", '""')
+        .option("nullValue", "")
+        .csv(path)
+    )
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for intermediate data, in the shared folder the cluster names
-    in ``spark.checkpoint.dir``; only a session without one, as in tests, gets
-    a temporary folder."""
+    in ``spark.checkpoint.dir``; in a session without one, as in tests, in the
+    warehouse, which all executors share too."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = shared or tempfile.mkdtemp(prefix="daypanel-")
+    root = shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/.scratch"
     return f"{root.rstrip('/')}/daypanel/{name}-{uuid.uuid4().hex}"
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Marks a written path to be removed when the session ends."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The DataFrame written once and read back: for a result that is read
     several times, and with a lineage that ends at files other executors see."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
