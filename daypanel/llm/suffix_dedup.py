@@ -372,6 +372,22 @@ def _ranges(found: dict[bytes, list[tuple[int, int]]]) -> pa.RecordBatch:
     )
 
 
+def _by_bucket(found: dict[bytes, bytes], buckets: int) -> pa.RecordBatch:
+    """The ranges of texts, packed: a row for each bucket of texts, since a text's anchors lie in very many bins."""
+    packed: dict[int, list[bytes]] = {}
+    for name in found:
+        packed.setdefault(int.from_bytes(name[:8], "big") % buckets, []).append(name)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(list(packed), pa.int64()),
+            pa.array([b"".join(names) for names in packed.values()], pa.binary()),
+            pa.array([np.array([len(found[n]) for n in names], "<u4").tobytes() for names in packed.values()], pa.binary()),
+            pa.array([b"".join(found[n] for n in names) for names in packed.values()], pa.binary()),
+        ],
+        ["bucket", "names", "sizes", "ranges"],
+    )
+
+
 def sort_task(rows: list[tuple[int, bytes, bytes]], bits: int, filled: np.ndarray, width: int, bins: int):
     """``rows``: (id, name, text). Gives the runs by bin, and the repeats that are known already."""
     known: dict[bytes, list] = {}
@@ -459,15 +475,26 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bin_, own in _grouped(batches):
             if bin_ < 0:
-                found: dict[bytes, list] = {}
+                found: dict[bytes, list[bytes]] = {}
                 for row in own:
                     found.setdefault(row[7], []).append(row[6])
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([b"".join(r) for r in found.values()], pa.binary())], ["name", "ranges"])
+                yield _by_bucket({n: b"".join(r) for n, r in found.items()}, bins)
             elif found := repeats([read_run(r) for r in own]):
-                yield _ranges(found)
+                yield _by_bucket({n: np.array(r, "<i4").tobytes() for n, r in found.items()}, bins)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _grouped(batches):
+            found: dict[bytes, list[bytes]] = {}
+            for names, sizes, ranges in own:
+                end = 0
+                for k, size in enumerate(np.frombuffer(sizes, "<u4").tolist()):
+                    found.setdefault(names[16 * k : 16 * k + 16], []).append(ranges[end : end + size])
+                    end += size
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([b"".join(r) for r in found.values()], pa.binary())], ["name", "ranges"])
 
     dealt = map_arrow(texts, sort, ", ".join(RUN)).repartition("bin").sortWithinPartitions("bin")
-    ranges = map_arrow(dealt, merge, "name binary, ranges binary").groupBy("name").agg(F.collect_list("ranges").alias("ranges"))
+    merged = map_arrow(dealt, merge, "bucket bigint, names binary, sizes binary, ranges binary")
+    ranges = map_arrow(merged.repartition("bucket").sortWithinPartitions("bucket"), gather, "name binary, ranges binary")
     return rows, saved(ranges), copies
 
 
@@ -475,10 +502,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the bytes that are left (a
     cut may fall inside a character), with ``digests`` their ``kept_sha256`` instead. Texts without a repeat are not shuffled."""
     rows, ranges, copies = find_repeats(docs, id_col, text_col, settings)
-    what = saved(ranges.select("name", "ranges", F.lit(False).alias("copy")).unionByName(copies.select("name", F.array().cast("array<binary>").alias("ranges"), F.lit(True).alias("copy"))))
+    what = saved(ranges.select("name", "ranges", F.lit(False).alias("copy")).unionByName(copies.select("name", F.lit(None).cast("binary").alias("ranges"), F.lit(True).alias("copy"))))
     marked = mark_possible_members(rows, what, "name", "_may").select("_id", "name", "t", "_may")
     hit = marked.filter("_may").join(what, "name", "left").select("_id", "t", "ranges", "copy")
-    clean = marked.filter("NOT _may").select("_id", "t", F.lit(None).cast("array<binary>").alias("ranges"), F.lit(False).alias("copy"))
+    clean = marked.filter("NOT _may").select("_id", "t", F.lit(None).cast("binary").alias("ranges"), F.lit(False).alias("copy"))
     last = ("kept_sha256", "string") if digests else ("kept", "binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +516,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if copy:
                     spans = [(0, len(text))] if len(text) >= LENGTH else []
                 elif ranges:
-                    spans = covered(len(text), np.frombuffer(b"".join(ranges), "<i4").reshape(-1, 2))
+                    spans = covered(len(text), np.frombuffer(ranges, "<i4").reshape(-1, 2))
                 ends = [0, *(x for span in spans for x in span), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest() if digests else kept))
