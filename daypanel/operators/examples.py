@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daypanel.functions.quality import ohlc_absent, ohlc_disagrees
 from daypanel.functions.rules import column_rule
 from daypanel.operators.groups import regular_rows
+from daypanel.operators.ordering import head
 from daypanel.schema import DEFAULT_KEY, STANDARD_NAMES, Names, PanelKey, require_columns
 
 SEED = 9527
@@ -37,7 +38,8 @@ def sample_rows(
 ) -> DataFrame:
     """All rows that meet a condition if there are at most ``n``, else ``n`` of
     them at random, in key order. Every task keeps its best ``n`` rows."""
-    drawn = df.filter(condition).orderBy(draw_order(key, seed)).limit(n)
+    drawn = df.filter(condition).orderBy(draw_order(key, seed))
+    drawn = head(drawn, n)
     return drawn.orderBy(*[F.asc_nulls_last(c) for c in [key.date, key.entity, *key.order]])
 
 
@@ -69,8 +71,8 @@ def listing(df: DataFrame, condition: Column, columns: Sequence[str] | None = No
     return rows.orderBy(F.asc_nulls_last(key.date), F.asc_nulls_last(key.entity))
 
 
-def first_rows(listed: DataFrame, n: int) -> DataFrame:
-    return listed.limit(n)
+def first_rows(listed: DataFrame, n: int | None) -> DataFrame:
+    return head(listed, n)
 
 
 def return_without_flag(c: Names = STANDARD_NAMES) -> Column:
@@ -98,8 +100,8 @@ def ohlc_missing_sample(df: DataFrame, n: int = 50, seed: int = SEED) -> DataFra
     return sample_rows(df, ohlc_absent(STANDARD_NAMES), n, seed)
 
 
-def invalid_quote_rows(df: DataFrame, n: int = 100) -> DataFrame:
-    return listing(df, quote_invalid(), QUOTE_LISTING).limit(n)
+def invalid_quote_rows(df: DataFrame, n: int | None = 100) -> DataFrame:
+    return head(listing(df, quote_invalid(), QUOTE_LISTING), n)
 
 
 def spread_missing_reasons(df: DataFrame, c: Names = STANDARD_NAMES) -> DataFrame:

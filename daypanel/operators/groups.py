@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daypanel.functions.quality import all_of
 from daypanel.functions.rules import column_rule
-from daypanel.operators.ordering import table_quantiles
+from daypanel.operators.ordering import head, table_quantiles
 from daypanel.schema import require_columns
 
 # ---- fixed values: default groups, the population of regular rows, sentinels ----
@@ -26,35 +26,36 @@ def regular_rows(df: DataFrame) -> DataFrame:
 
 
 def pattern_by_group(
-    df: DataFrame, condition: Column, name: str, groups: Sequence[str] = GROUP_COLUMNS, top: int = TOP_GROUPS
+    df: DataFrame, condition: Column, name: str, groups: Sequence[str] = GROUP_COLUMNS, top: int | None = TOP_GROUPS
 ) -> DataFrame:
-    """Groups by how many of their rows meet a condition, largest first."""
+    """Groups by how many of their rows meet a condition, largest first; the
+    first ``top`` of them, or all for None."""
     require_columns(df, groups)
     n, rate = f"n_{name}", f"{name}_rate"
     met = F.coalesce(condition, F.lit(False))
-    return (
+    ordered = (
         df.groupBy(*groups)
         .agg(F.count("*").alias("n_rows"), F.count_if(met).alias(n))
         .filter(F.col(n) > 0)
         .withColumn(rate, F.col(n) / F.col("n_rows"))
         .orderBy(F.desc(n), *[F.asc_nulls_last(g) for g in groups])
-        .limit(top)
     )
+    return head(ordered, top)
 
 
-def missing_by_group(df: DataFrame, variable: str, groups=GROUP_COLUMNS, top: int = TOP_GROUPS) -> DataFrame:
+def missing_by_group(df: DataFrame, variable: str, groups=GROUP_COLUMNS, top: int | None = TOP_GROUPS) -> DataFrame:
     require_columns(df, [variable])
     return pattern_by_group(df, F.col(variable).isNull(), "missing", groups, top)
 
 
-def nonmissing_by_group(df: DataFrame, variable: str, groups=GROUP_COLUMNS, top: int = TOP_GROUPS) -> DataFrame:
+def nonmissing_by_group(df: DataFrame, variable: str, groups=GROUP_COLUMNS, top: int | None = TOP_GROUPS) -> DataFrame:
     """Over the regular rows."""
     require_columns(df, [variable])
     return pattern_by_group(regular_rows(df), F.col(variable).isNotNull(), "nonmissing", groups, top)
 
 
 def abnormal_by_group(
-    df: DataFrame, variable: str, predicate: str | None = None, groups=GROUP_COLUMNS, top: int = TOP_GROUPS
+    df: DataFrame, variable: str, predicate: str | None = None, groups=GROUP_COLUMNS, top: int | None = TOP_GROUPS
 ) -> DataFrame:
     rule = column_rule(variable, predicate)
     require_columns(df, rule.columns)
@@ -78,7 +79,7 @@ def value_counts(
         value = F.coalesce(value, F.lit(null_label))
     counts = rows.groupBy(value.alias(as_name)).agg(F.count("*").alias(count_name))
     ordered = counts.orderBy(F.desc(count_name), F.asc_nulls_last(as_name))
-    return ordered if top is None else ordered.limit(top)
+    return head(ordered, top)
 
 
 def nonmissing_values(df: DataFrame, variable: str, top: int = 50) -> DataFrame:

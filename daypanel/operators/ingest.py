@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daypanel.functions.casting import cast_failed, failed_names, typed
 from daypanel.functions.quality import any_of
+from daypanel.operators.ordering import head
 from daypanel.schema import DAILY_STOCK, DEFAULT_KEY, PanelKey, PanelSchema, require_columns
 
 
@@ -33,7 +34,7 @@ def quarantine(raw: DataFrame, schema: PanelSchema = DAILY_STOCK) -> DataFrame:
 
 def quarantine_sample(quarantined: DataFrame, n: int = 200, key: PanelKey = DEFAULT_KEY) -> DataFrame:
     order = list(key.order)
-    return quarantined.select(*order, "failed_columns").orderBy(*order).limit(n)
+    return head(quarantined.select(*order, "failed_columns").orderBy(*order), n)
 
 
 def apply_types(raw: DataFrame, schema: PanelSchema = DAILY_STOCK) -> DataFrame:

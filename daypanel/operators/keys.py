@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daypanel.functions.quality import all_of
-from daypanel.operators.ordering import HOT_ROWS
+from daypanel.operators.ordering import HOT_ROWS, head
 from daypanel.schema import DEFAULT_KEY, PanelKey
 
 ROWS = "n_rows"
@@ -169,7 +169,7 @@ def duplicate_difference_rate(
 
 def duplicate_rows(
     df: DataFrame,
-    n: int = 500,
+    n: int | None = 500,
     key: PanelKey = DEFAULT_KEY,
     row_id: str = "raw_row_id",
     columns: Sequence[str] | None = None,
@@ -177,11 +177,14 @@ def duplicate_rows(
     """The first ``n`` rows, by date, entity and row id, of keys with several rows.
 
     Each such key brings at least two rows, so the first ``n`` rows come from
-    the first ``(n + 1) // 2`` keys: a bounded list, broadcast to the scan.
+    the first ``(n + 1) // 2`` keys: a bounded list, broadcast to the scan. None
+    lists the rows of all keys, joined as the planner sees fit.
     """
     order = [F.asc_nulls_last(key.date), F.asc_nulls_last(key.entity)]
-    keys = rows_per_key(df, key).filter(F.col(ROWS) > 1).orderBy(*order).limit((n + 1) // 2)
-    rows = df.join(F.broadcast(keys.select(*key.pair)), key.pair, "left_semi")
+    keys = rows_per_key(df, key).filter(F.col(ROWS) > 1).select(*key.pair)
+    if n is not None:
+        keys = F.broadcast(keys.orderBy(*order).limit((n + 1) // 2))
+    rows = df.join(keys, key.pair, "left_semi")
     if columns is not None:
         rows = rows.select(*[c for c in columns if c in df.columns])
-    return rows.orderBy(*order, F.asc_nulls_last(row_id)).limit(n)
+    return head(rows.orderBy(*order, F.asc_nulls_last(row_id)), n)

@@ -19,6 +19,12 @@ SKETCH_ACCURACY = 10_000
 SALTS = 1024
 
 
+def head(rows: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows, or all of them for None: listings show a number of
+    rows by default and are whole on request."""
+    return rows if n is None else rows.limit(n)
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], accuracy: int = SKETCH_ACCURACY
 ) -> DataFrame:

@@ -100,26 +100,33 @@ def ohlc_evidence(df: DataFrame):
 
 def abnormal_examples(
     df: DataFrame,
-    n: int = 20,
+    n: int | None = 20,
     registry: Mapping[str, Rule] = CORE_RULES,
     key: PanelKey = DEFAULT_KEY,
     label: str = "ticker",
 ) -> DataFrame:
-    """Up to ``n`` rows per rule that breaks it: variable, key and value.
+    """Up to ``n`` rows per rule that breaks it, all for None: variable, key and
+    value.
 
-    One scan tests all rules; a row yields one line per rule it breaks. The
-    ``row_number <= n`` cut happens in every map task first, so a rule that
-    most rows break ships ``n`` lines per task.
+    One scan tests all rules, and rows that break none go at once. Names of
+    rules are exploded and cut to ``n`` a rule, in every map task first; only
+    what is left gets its evidence.
     """
-    lines = []
-    for rule in rules_for(df, registry):
-        text = ohlc_evidence(df) if rule.variable == OHLC_RULE_NAME else evidence_text(df, rule.variable)
-        lines.append(F.when(rule.hit(), F.struct(F.lit(rule.variable).alias("variable"), text.alias("value"))))
+    rules = rules_for(df, registry)
+    broken = F.array_compact(F.array(*[F.when(r.hit(), F.lit(r.variable)) for r in rules]))
     order = [key.date, key.entity, *key.order]
-    hits = df.select(*dict.fromkeys([*order, label]), F.explode(F.array_compact(F.array(*lines))).alias("_hit"))
-    first = Window.partitionBy("_hit.variable").orderBy(*[F.asc_nulls_last(c) for c in order])
-    return (
-        hits.withColumn("_nth", F.row_number().over(first))
-        .filter(F.col("_nth") <= n)
-        .select("_hit.variable", key.entity, key.date, label, "_hit.value")
+    own = [r.variable for r in rules if r.variable != OHLC_RULE_NAME]
+    ohlc = [c for c in ("dlyopen", "dlyhigh", "dlylow", "dlyclose") if c in df.columns]
+    hits = (
+        df.withColumn("_rules", broken)
+        .filter(F.size("_rules") > 0)
+        .select(*dict.fromkeys([*order, label, *own, *ohlc]), F.explode("_rules").alias("_rule"))
     )
+    if n is not None:
+        first = Window.partitionBy("_rule").orderBy(*[F.asc_nulls_last(c) for c in order])
+        hits = hits.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= n)
+    texts = [
+        F.when(F.col("_rule") == r.variable, ohlc_evidence(df) if r.variable == OHLC_RULE_NAME else evidence_text(df, r.variable))
+        for r in rules
+    ]
+    return hits.select(F.col("_rule").alias("variable"), key.entity, key.date, label, F.coalesce(*texts).alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from daypanel.operators.examples import listing
 from daypanel.operators.groups import value_counts
 from daypanel.operators.labels import DEFAULT_LABELS, LabelParams
-from daypanel.operators.ordering import exact_quantiles
+from daypanel.operators.ordering import exact_quantiles, head
 from daypanel.schema import DEFAULT_KEY, PanelKey
 
 # ---- fixed values: preview columns and labels ----
@@ -38,7 +38,7 @@ def latest_rows(df: DataFrame, columns, n: int, second: str, date: str = "dlycal
     """The last days first, then by the second column; ``n`` rows."""
     order = [F.desc_nulls_last(date), F.asc_nulls_last(second), F.asc_nulls_last(entity)]
     rows = df if columns is None else df.select(*[c for c in columns if c in df.columns])
-    return rows.orderBy(*order).limit(n)
+    return head(rows.orderBy(*order), n)
 
 
 def stage_row_counts(stages: Mapping[str, DataFrame]) -> DataFrame:
@@ -151,8 +151,8 @@ def label_flag_counts(labels: DataFrame, column: str) -> DataFrame:
     return value_counts(labels, column, null_label=NO_MISSING_LABEL, as_name=column)
 
 
-def missing_label_examples(labels: DataFrame, n: int = 200) -> DataFrame:
-    return listing(labels, F.col("target_has_missing_return") == 1).limit(n)
+def missing_label_examples(labels: DataFrame, n: int | None = 200) -> DataFrame:
+    return head(listing(labels, F.col("target_has_missing_return") == 1), n)
 
 
 def panel_coverage_summary(joined: DataFrame, params: LabelParams = DEFAULT_LABELS) -> DataFrame:
@@ -201,11 +201,11 @@ def panel_yearly_summary(
 
 
 def recent_label_availability(
-    joined: DataFrame, n: int = 15, params: LabelParams = DEFAULT_LABELS, date: str = "dlycaldt"
+    joined: DataFrame, n: int | None = 15, params: LabelParams = DEFAULT_LABELS, date: str = "dlycaldt"
 ) -> DataFrame:
     gone = F.col(params.complete).isNull()
     h = params.horizon
-    return (
+    days = (
         joined.groupBy(date)
         .agg(
             F.count("*").alias("n_universe_rows"),
@@ -213,9 +213,9 @@ def recent_label_availability(
             share(gone).alias(f"missing_complete_{h}d_label_rate"),
         )
         .orderBy(F.desc_nulls_last(date))
-        .limit(n)
     )
+    return head(days, n)
 
 
-def dropped_label_examples(joined: DataFrame, n: int = 500, params: LabelParams = DEFAULT_LABELS) -> DataFrame:
+def dropped_label_examples(joined: DataFrame, n: int | None = 500, params: LabelParams = DEFAULT_LABELS) -> DataFrame:
     return latest_rows(joined.filter(F.col(params.complete).isNull()), None, n, "permno")

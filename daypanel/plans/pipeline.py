@@ -101,6 +101,8 @@ class PanelPipeline:
         core, prepared, base = self.table("core"), self.table("prepared"), self.table("base")
         uni, dedup, lab, panel = (self.table(n) for n in ("universe", "core_dedup", "labels", "model_panel"))
         stages = {n: self.table(n) for n in ("core", "prepared", "base", "terminal_events")}
+        # Rows without a key are kept beside the core table, so the counts add up to what was read.
+        stages["core_without_key"] = self.spark.read.parquet(self.path("core_without_key"))
         joined = targets.join_labels(uni, lab, self.label_params, self.key)
         p = self.label_params
         small = {
@@ -126,7 +128,7 @@ class PanelPipeline:
             "universe_ohlc_by_price_flag": examples.ohlc_missing_by_price_flag(uni),
             "universe_ohlc_missing": examples.ohlc_missing_sample(uni),
             "universe_spread_reasons": examples.spread_missing_reasons(uni),
-            "universe_invalid_quotes": examples.invalid_quote_rows(uni),
+            "universe_invalid_quotes": examples.invalid_quote_rows(uni, None),
             "universe_return_flags": summaries.retained_return_flags(uni),
             "labels": summaries.label_summary(lab, p, self.key),
             "labels_yearly": summaries.label_yearly_summary(lab, p),
