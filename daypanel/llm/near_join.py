@@ -206,7 +206,10 @@ def _links(docs: DataFrame, text_col: str, signed: DataFrame, s: Settings) -> Da
     classes = saved(signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("txt").alias("txt"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     keys = classes.select("cls", F.explode("bands").alias("band"))
     several = saved(keys.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).filter("n >= 2").drop("n"))
-    edges = keys.join(several, "band").filter("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+    # A class is tied to the smallest of its leads, of which it has one a band at most, and that one to the others: leads
+    # are few where many classes share bands, so a large group costs an edge a class rather than one a band.
+    leads = saved(keys.join(several, "band").groupBy("cls").agg(F.collect_set("lead").alias("leads")).withColumn("low", F.array_min("leads")))
+    edges = leads.select(F.col("cls").alias("a"), F.col("low").alias("b")).unionByName(leads.select(F.col("low").alias("a"), F.explode("leads").alias("b")).distinct())
     field = components(edges)
     sizes = saved(field.groupBy("root").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")))
     placed = saved(
