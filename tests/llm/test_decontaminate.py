@@ -63,3 +63,37 @@ def test_empty_tables(table, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.find_leaks(table(docs()), none).count() == 0
     assert dc.drop_leaking(table(docs()), none).count() == len(docs())
+
+
+def test_no_leak_is_missed():
+    """Against the full table of every text and item: words changed, left out and put in at any place, few words."""
+    rng, s = random.Random(5), dc.Settings()
+    some = [f"w{k}" for k in range(60)]
+    items = [[rng.choice(some) for _ in range(rng.randint(3, 24))] for _ in range(25)]
+    index = dc.Index([(k, " ".join(x)) for k, x in enumerate(items)], s)
+    n = 0
+    for _ in range(150):
+        text = [rng.choice(some) for _ in range(rng.randint(0, 30))]
+        step, edits = rng.randint(2, 6), rng.sample(("change", "drop", "add"), rng.randint(1, 3))
+        for k, w in enumerate(rng.choice(items)):
+            edit = rng.choice(edits) if k % step == step - 1 else ""
+            text += {"change": ["x"], "drop": [], "add": [w, "x"]}.get(edit, [w])
+        text += [rng.choice(some) for _ in range(rng.randint(0, 30))]
+        want = {k: full_score(x, text, s) / (s.match * len(x)) for k, x in enumerate(items)}
+        got = dc.leaks_of(index.numbers(" ".join(text)), index)
+        assert {k: v for k, v, _, _ in got} == {k: v for k, v in want.items() if v >= s.least}
+        for k, v, first, size in got:
+            assert full_score(items[k], text[first : first + size], s) / (s.match * len(items[k])) == v
+        n += len(got)
+    assert n > 100
+
+
+def test_edited_copies_alone_and_beside_verbatim_ones(table, spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"v{rng.randrange(400)}" for _ in range(40))) for k in range(30)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    edited = [(1000 * step + k, " ".join(f"new{j}" if j % step == step - 1 else w for j, w in enumerate(t.split()))) for step in (3, 4, 5, 6) for k, t in items]
+    for verbatim in ([], [(k, f"some {t} more") for k, t in items]):
+        got = {(r.doc_id, r.item_id) for r in dc.find_leaks(table(edited + verbatim), benchmark).collect()}
+        assert got == {(d, d % 1000) for d, _ in edited + verbatim}
+        assert dc.drop_leaking(table(edited + verbatim), benchmark).count() == 0
