@@ -1,13 +1,13 @@
-"""Personal data, and the terms beside it that give it away; built-in functions only.
+"""Personal data, and the terms of its documents that give it away; built-in functions only.
 
 Emails, IP addresses, card and phone numbers are found by pattern, leftmost and without overlap within a kind, and
 checked (parts of an address, Luhn sum, number of digits); a match that fails the check is dropped.
 
-Every value so found is a protected entity. Terms within ``reach`` characters of it are weighed by what the whole
+Every value so found is a protected entity. All terms of the documents that hold it are weighed by what the whole
 corpus says of them: with document frequencies n(e), n(t) and n(e, t) over N documents, a term's pointwise mutual
 information log(N n(e, t) / (n(e) n(t))) as a share of the entity's own information log(N / n(e)) is its disclosure: 1
 means that the term never occurs without the entity. Terms with ``support`` common documents or more are generalised
-from a disclosure of ``generalise`` on and removed from ``remove`` on.
+from a disclosure of ``generalise`` on and removed from ``remove`` on, wherever they stand in a document that holds the entity and outside its spans.
 
 Spans are pairs of code points, the end exclusive. Defined cases: null and empty texts have no spans; rows with equal
 id and text, repeated ones too, have the same spans; an entity that is in all documents gives nothing away; an empty
@@ -36,7 +36,6 @@ TERM = r"\p{L}+"
 
 @dataclass(frozen=True)
 class Settings:
-    reach: int = 60  # characters on either side of an entity whose terms are weighed
     support: int = 3  # documents that a term and an entity must share
     generalise: float = 0.8
     remove: float = 0.95
@@ -115,26 +114,17 @@ def _name(value: Column, kind_no: Column) -> Column:
     return F.concat(kind_no.cast("string"), F.lit(":"), plain)
 
 
-def _terms_beside(text: Column, spans: Column, reach: int) -> Column:
-    """Array of (entity, term, start, end): whole words within ``reach`` of a span, on either side, and in no span."""
+def _words(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def beside(span: Column) -> Column:
-        low = F.greatest(span["start"] - reach, F.lit(0))
-        left, right = F.substring(text, low + 1, span["start"] - low), F.substring(text, span["end"] + 1, F.lit(reach))
 
-        def placed(words: Column, at: Column) -> Column:
-            return F.transform(words, lambda x: F.struct(
-                _name(span["value"], span["kind_no"]).alias("entity"), F.lower(x["value"]).alias("term"),
-                (at + x["start"]).alias("start"), (at + x["end"]).alias("end"),
-            ))
-
-        # A word at the far edge may be cut, so it does not count unless the text ends there.
-        before = F.filter(matches(left, TERM), lambda x: (x["start"] > 0) | (low == 0))
-        behind = F.filter(matches(right, TERM), lambda x: (x["end"] < F.char_length(right)) | (F.char_length(right) < reach))
-        return F.concat(placed(before, low), placed(behind, span["end"]))
-
-    near = F.array_distinct(F.flatten(F.transform(spans, beside)))
-    return F.filter(near, lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+def _marked(text: Column, spans: Column, told: Column) -> Column:
+    """Array of (start, end, disclosure): all words of a text that ``told`` (a map from term to disclosure) names and that
+    lie in no span."""
+    named = F.filter(matches(text, TERM), lambda w: F.map_contains_key(told, F.lower(w["value"])))
+    outside = F.filter(named, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
+    return F.transform(outside, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at(told, F.lower(w["value"])).alias("disclosure")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -143,42 +133,40 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     t = whole(text_col)
     key = F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("\n"), t), 256)
     # Exploded, so that later steps read the spans as a column and do not search again.
-    base = docs.select(F.col(id_col), key.alias("key"), t.alias("t"), F.explode(F.array(entities(t))).alias("base"))
-    near = F.when(F.size("base") > 0, _terms_beside(F.col("t"), F.col("base"), settings.reach))
-    rows = saved(base.select(id_col, "key", "base", near.alias("near")))
-    beside = rows.filter("near IS NOT NULL").select("key", F.inline("near"))
+    base = docs.select(id_col, key.alias("key"), t.alias("t"), F.explode(F.array(entities(t))).alias("base"))
+    rows = saved(base.select(id_col, "key", "base", F.when(F.size("base") > 0, F.col("t")).alias("t")))
     total = rows.count()
-    pairs = beside.select("key", "entity", "term").distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= settings.support)
-    of_entity = (
-        rows.filter(F.size("base") > 0)
-        .select("key", F.explode("base").alias("b"))
-        .select("key", _name(F.col("b.value"), F.col("b.kind_no")).alias("entity"))
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count("*").alias("with_entity"))
-    )
-    # Rows of equal id and text count once on both sides.
-    words = F.array_distinct(F.split(F.lower(t), r"[^\p{L}]+"))
-    of_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     n = F.lit(float(total))
+    holding = rows.filter(F.size("base") > 0)
+    named = F.array_distinct(F.transform("base", lambda b: _name(b["value"], b["kind_no"])))
+    holders = holding.select("key", F.explode(named).alias("entity")).distinct()
+    of_entity = holders.groupBy("entity").agg(F.count("*").alias("with_entity")).filter(F.col("with_entity") < total)
+    of_term = docs.select(F.explode(_words(t)).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    terms = holding.select("key", F.explode(_words(F.col("t"))).alias("term")).distinct().join(of_term, "term")
+    # At most n(e) of n(t) documents have both, so a term more frequent than this cannot reach the disclosure.
+    share = settings.generalise
+    may = F.col("with_term") <= F.pow("with_entity", F.lit(share)) * F.pow(n, F.lit(1 - share)) * (1 + 1e-9)
+    pairs = saved(holders.join(of_entity, "entity").join(terms, "key").filter(may).select("key", "entity", "term", "with_entity", "with_term"))
     information = F.log(n / F.col("with_entity"))
     shared = F.log(n * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    told = saved(
-        together.join(of_entity, "entity").join(of_term, "term")
-        .filter(F.col("with_entity") < total)
+    told = (
+        pairs.groupBy("entity", "term", "with_entity", "with_term")
+        .agg(F.count("*").alias("both"))
+        .filter(F.col("both") >= settings.support)
         .select("entity", "term", (shared / information).alias("disclosure"))
         .filter(F.col("disclosure") >= settings.generalise)
-    )
+    )
     extra = (
-        beside.join(told, ["entity", "term"])
-        .groupBy("key", "start", "end")
+        pairs.join(told, ["entity", "term"])
+        .groupBy("key", "term")
         .agg(F.max("disclosure").alias("disclosure"))
         .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
     )
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
-    return rows.drop("near").join(extra, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    marked = F.when(F.col("told").isNotNull(), _marked(F.col("t"), F.col("base"), F.col("told"))).otherwise(none)
+    own = holding.join(extra, "key", "left").select(id_col, "key", "base", marked.alias("terms"))
+    return own.unionByName(rows.filter(F.size("base") == 0).select(id_col, "key", "base", none.alias("terms")))
 
 
 def written(spans: Column) -> Column:

@@ -78,3 +78,12 @@ def test_spans_as_text(table):
 def test_empty_table(table):
     assert pii.find(table([])).count() == 0
     assert pii.sanitise(table([])).count() == 0
+
+
+def test_terms_anywhere_in_the_document(table):
+    far = [(k, f"Zorbulon {'filler ' * 60}mail zed@q.org {'filler ' * 60}zorbulon") for k in range(5)]
+    rows = {r.doc_id: r for r in pii.find(table(far + OTHERS), settings=pii.Settings(support=3, generalise=0.6)).collect()}
+    for k, text in far:
+        assert [text[s.start : s.end] for s in rows[k].terms] == ["Zorbulon", "zorbulon"]
+    # Counted over whole documents on both sides: in five of five, whatever lies between.
+    assert all(abs(s.disclosure - 1) < 1e-9 for k, _ in far for s in rows[k].terms)
