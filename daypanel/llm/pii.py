@@ -6,8 +6,12 @@ checked (parts of an address, Luhn sum, number of digits); a match that fails th
 Every value so found is a protected entity. All terms of the documents that hold it are weighed by what the whole
 corpus says of them: with document frequencies n(e), n(t) and n(e, t) over N documents, a term's pointwise mutual
 information log(N n(e, t) / (n(e) n(t))) as a share of the entity's own information log(N / n(e)) is its disclosure: 1
-means that the term never occurs without the entity. Terms with ``support`` common documents or more are generalised
-from a disclosure of ``generalise`` on and removed from ``remove`` on, wherever they stand in a document that holds the entity and outside its spans.
+means that the term never occurs without the entity. A term counts from a disclosure of ``generalise`` on, and then
+only if the disclosure also reaches that with the lower confidence bound (Wilson, ``trust`` standard errors) of
+n(e, t) / n(t) in its place: of few documents more is asked, but none is too few. From ``remove`` on a term is removed,
+else generalised, wherever it stands in a document that holds the entity and outside its spans. A value is weighed by
+its own name and by a coarser one that pools it with others: domain of an address, first three parts of an IP address,
+first six digits of a card, a phone number without its last four digits.
 
 Spans are pairs of code points, the end exclusive. Defined cases: null and empty texts have no spans; rows with equal
 id and text, repeated ones too, have the same spans; an entity that is in all documents gives nothing away; an empty
@@ -36,7 +40,8 @@ TERM = r"\p{L}+"
 
 @dataclass(frozen=True)
 class Settings:
-    support: int = 3  # documents that a term and an entity must share
+    support: int = 1  # documents that a term and an entity must share; 1 leaves none out
+    trust: float = 1.2816  # standard errors below the estimate that must still reach ``generalise``; this is 90 %
     generalise: float = 0.8
     remove: float = 0.95
 
@@ -114,6 +119,24 @@ def _name(value: Column, kind_no: Column) -> Column:
     return F.concat(kind_no.cast("string"), F.lit(":"), plain)
 
 
+def _coarse(value: Column, kind_no: Column) -> Column:
+    """The name an entity shares with others of its kind."""
+    digits = _digits(value)
+    plain = (
+        F.when(kind_no == KINDS.index("email"), F.lower(F.substring_index(value, "@", -1)))
+        .when(kind_no == KINDS.index("ip"), F.substring_index(value, ".", 3))
+        .when(kind_no == KINDS.index("card"), F.substring(digits, 1, 6))
+        .otherwise(F.substring(digits, F.lit(1), F.char_length(digits) - 4))
+    )
+    return F.concat(kind_no.cast("string"), F.lit("~"), plain)
+
+
+def _low(both: Column, of: Column, trust: float) -> Column:
+    """Lower end of the Wilson interval of a share."""
+    p, z = both / of, F.lit(trust * trust)
+    return (p + z / (2 * of) - trust * F.sqrt(p * (1 - p) / of + z / (4 * of * of))) / (1 + z / of)
+
+
 def _words(text: Column) -> Column:
     """The different words of a text, in lower case."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
@@ -138,7 +161,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     total = rows.count()
     n = F.lit(float(total))
     holding = rows.filter(F.size("base") > 0)
-    named = F.array_distinct(F.transform("base", lambda b: _name(b["value"], b["kind_no"])))
+    fine, coarse = F.transform("base", lambda b: _name(b["value"], b["kind_no"])), F.transform("base", lambda b: _coarse(b["value"], b["kind_no"]))
+    named = F.array_distinct(F.concat(fine, coarse))
     holders = holding.select("key", F.explode(named).alias("entity")).distinct()
     of_entity = holders.groupBy("entity").agg(F.count("*").alias("with_entity")).filter(F.col("with_entity") < total)
     of_term = docs.select(F.explode(_words(t)).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
@@ -149,12 +173,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     pairs = saved(holders.join(of_entity, "entity").join(terms, "key").filter(may).select("key", "entity", "term", "with_entity", "with_term"))
     information = F.log(n / F.col("with_entity"))
     shared = F.log(n * F.col("both") / (F.col("with_entity") * F.col("with_term")))
+    sure = F.log(n * _low(F.col("both"), F.col("with_term"), settings.trust) / F.col("with_entity")) / information
     told = (
         pairs.groupBy("entity", "term", "with_entity", "with_term")
         .agg(F.count("*").alias("both"))
-        .filter(F.col("both") >= settings.support)
+        .filter((F.col("both") >= settings.support) & (sure >= settings.generalise))
         .select("entity", "term", (shared / information).alias("disclosure"))
-        .filter(F.col("disclosure") >= settings.generalise)
     )
     extra = (
         pairs.join(told, ["entity", "term"])

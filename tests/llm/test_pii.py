@@ -87,3 +87,13 @@ def test_terms_anywhere_in_the_document(table):
         assert [text[s.start : s.end] for s in rows[k].terms] == ["Zorbulon", "zorbulon"]
     # Counted over whole documents on both sides: in five of five, whatever lies between.
     assert all(abs(s.disclosure - 1) < 1e-9 for k, _ in far for s in rows[k].terms)
+
+
+def test_values_that_occur_once_or_twice(table):
+    others = [(100 + k, f"mail me here or not at all filler {k} ask") for k in range(400)]
+    one, two = [(1, "Quixnar mail one@a.org")], [(k, "Borvelt mail two@b.org") for k in (2, 3)]
+    pooled = [(10 + k, f"Mirvane mail person{'abcdef'[k]}@rare.example") for k in range(6)]
+    rows = {r.doc_id: r for r in pii.find(table(one + two + pooled + others)).collect()}
+    for k, text in one + two + pooled:
+        assert [text[s.start : s.end] for s in rows[k].terms] == [text.split()[0]]
+    assert all(not rows[k].terms for k, _ in others)
