@@ -71,4 +71,22 @@ def _licences() -> str:
     """
 
 
-ORACLE: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op2_licences": _licences(), "op5_chat": _chat()}
+FILL_IN_MIDDLE = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(t) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+    h AS (SELECT doc_id, t, n, [('0x' || substr(s, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS h FROM d),
+    c AS (
+        SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+               CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM h
+    ),
+    p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+    SELECT doc_id, n, form, CASE form WHEN 'plain' THEN NULL ELSE a END AS prefix_chars, CASE form WHEN 'plain' THEN NULL ELSE b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM p
+"""
+
+
+ORACLE: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op2_licences": _licences(), "op5_chat": _chat(), "op12_fill_in_middle": FILL_IN_MIDDLE}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from daypanel.llm import bpe, chat, decontaminate, exact_dedup, licences, near_join, pii, quality, suffix_dedup, toxicity
+from daypanel.llm import bpe, chat, decontaminate, exact_dedup, fim, licences, near_join, pii, quality, suffix_dedup, toxicity
 from daypanel.llm.common import read
 from daypanel.llm.oracle import ORACLE as ORACLE
 
@@ -83,6 +83,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), digests=True)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transform(read(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("fim_text"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op7_quality, op8_near_join, op9_toxicity, op10_suffix_dedup)
+    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op7_quality, op8_near_join, op9_toxicity, op10_suffix_dedup, op12_fill_in_middle)
 }
