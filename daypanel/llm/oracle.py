@@ -89,4 +89,33 @@ FILL_IN_MIDDLE = """
 """
 
 
-ORACLE: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op2_licences": _licences(), "op5_chat": _chat(), "op12_fill_in_middle": FILL_IN_MIDDLE}
+def _vector_codes(rounds: int = 4) -> str:
+    ctes = [
+        """k AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, label, embedding, len(embedding) // 4 AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """p AS MATERIALIZED (
+            SELECT r, i // w AS part, i % w AS pos, floor(1024 * embedding[i + 1]::DOUBLE)::BIGINT AS x
+            FROM (SELECT *, unnest(range(len(embedding))) AS i FROM k))""",
+        """b0 AS MATERIALIZED (
+            SELECT part, entry, pos, x FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 256) USING (r))""",
+    ]
+    for t in range(rounds + 1):
+        ctes.append(f"""a{t} AS MATERIALIZED (
+            SELECT r, part, min({{'d': d, 'e': entry}}) AS best
+            FROM (SELECT p.r, part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS d FROM p JOIN b{t} b USING (part, pos) GROUP BY ALL) GROUP BY ALL)""")
+        if t < rounds:
+            ctes.append(f"""b{t + 1} AS MATERIALIZED (
+                SELECT part, entry, pos, coalesce(m, b.x) AS x FROM b{t} b LEFT JOIN (
+                    SELECT part, best.e AS entry, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM p JOIN a{t} USING (r, part) GROUP BY ALL
+                ) USING (part, entry, pos))""")
+    return f"""
+    WITH {", ".join(ctes)},
+    c AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+    FROM k JOIN c USING (r)
+    """
+
+
+ORACLE: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op2_licences": _licences(), "op5_chat": _chat(), "op11_vector_codes": _vector_codes(), "op12_fill_in_middle": FILL_IN_MIDDLE}

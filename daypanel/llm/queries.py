@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from daypanel.llm import bpe, chat, decontaminate, exact_dedup, fim, licences, near_join, pii, quality, suffix_dedup, toxicity
+from daypanel.llm import bpe, chat, codes, decontaminate, exact_dedup, fim, licences, near_join, pii, quality, suffix_dedup, toxicity
 from daypanel.llm.common import read
 from daypanel.llm.oracle import ORACLE as ORACLE
 
@@ -83,6 +83,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), digests=True)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(read(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.lit(codes.books_text(books)), 256)
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fim.transform(read(spark, sf_dir, "documents"))
     return done.select(
@@ -93,5 +99,5 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op7_quality, op8_near_join, op9_toxicity, op10_suffix_dedup, op12_fill_in_middle)
+    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op7_quality, op8_near_join, op9_toxicity, op10_suffix_dedup, op11_vector_codes, op12_fill_in_middle)
 }
