@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from daypanel.llm import licences
 from daypanel.llm.chat import INSTRUCT
+from daypanel.llm.quality_rules import FUNCTION_WORDS
 
 
 def _text(value: str) -> str:
@@ -118,4 +119,65 @@ def _vector_codes(rounds: int = 4) -> str:
     """
 
 
-ORACLE: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op2_licences": _licences(), "op5_chat": _chat(), "op11_vector_codes": _vector_codes(), "op12_fill_in_middle": FILL_IN_MIDDLE}
+#: the rules' bad and good cases, written for this engine
+VOTES = (
+    ("n_words < 20", "n_words >= 50"),
+    ("100 * n_repeat_words > 30 * n_words", "n_words >= 20 AND 100 * n_repeat_words <= 5 * n_words"),
+    ("10 * n_dup_lines > 3 * n_lines", "n_lines > 1 AND n_dup_lines = 0"),
+    ("10 * n_symbols > n_words", "n_words > 0 AND 100 * n_symbols <= n_words"),
+    ("n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 10 * n_words)", "word_chars BETWEEN 4 * n_words AND 8 * n_words"),
+    ("n_letters >= 50 AND 10 * n_upper > 4 * n_letters", "n_letters >= 50 AND 10 * n_upper < n_letters"),
+    ("100 * n_letters < 80 * word_chars", "n_words > 0 AND 100 * n_letters >= 90 * word_chars"),
+    ("n_words >= 50 AND 100 * n_function < n_words", "n_words > 0 AND 100 * n_function >= 8 * n_words"),
+    ("n_words >= 50 AND n_distinct * n_distinct < 4 * n_words", "n_words >= 50 AND n_distinct * n_distinct > 20 * n_words"),
+    ("10 * n_exclamations > 3 * n_words", "n_words > 0 AND 100 * n_exclamations <= 5 * n_words"),
+    ("10 * n_lone > n_words", "n_words > 0 AND 100 * n_lone <= 2 * n_words"),
+    ("n_words >= 50 AND (n_ends = 0 OR 2 * n_ends > n_words)", "n_ends > 0 AND 100 * n_ends BETWEEN n_words AND 35 * n_words"),
+)
+
+
+def _quality_rules(rounds: int = 30) -> str:
+    votes = " || ".join(f"CASE WHEN {bad} THEN 'b' WHEN {good} THEN 'g' ELSE '-' END" for bad, good in VOTES)
+    space, known = "[ \\t-\\r]+", ", ".join(map(_text, FUNCTION_WORDS))
+    belief = []
+    for t in range(rounds):
+        belief.append(f"""e{t} AS MATERIALIZED (
+            SELECT votes, any_value(n) AS n, any_value(n) / (1 + exp(-(ln((1 - any_value(share)) / any_value(share)) + sum(ln(good / bad))))) AS good
+            FROM long JOIN b{t} USING (j, x) GROUP BY votes)""")
+        belief.append(f"""b{t + 1} AS MATERIALIZED (
+            SELECT j, x, (coalesce(sum(e.n - e.good), 0) + 2 * any_value(b0.bad)) / (any_value(tb) + 2) AS bad,
+                   (coalesce(sum(e.good), 0) + 2 * any_value(b0.good)) / (any_value(tg) + 2) AS good, (any_value(tb) + 0.4::DOUBLE) / (any_value(tb) + any_value(tg) + 2) AS share
+            FROM b0 LEFT JOIN long USING (j, x) LEFT JOIN e{t} e USING (votes), (SELECT sum(n - good) AS tb, sum(good) AS tg FROM e{t}) GROUP BY j, x)""")
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (
+        SELECT r, doc_id, t, list_filter(string_split_regex(t, '{space}'), lambda x: x <> '') AS ws,
+               list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS lines FROM d
+    ),
+    win AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+    often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM win) WHERE c > 1),
+    rep AS (SELECT r, sum(s)::BIGINT AS n FROM (SELECT r, least(8, i - lag(i, 1, -8) OVER (PARTITION BY r ORDER BY i)) AS s FROM often) GROUP BY r),
+    f AS MATERIALIZED (
+        SELECT r, doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+               len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(list_distinct(ws)) AS n_distinct,
+               len(list_filter(ws, lambda x: lower(x) IN ({known}))) AS n_function, len(list_filter(ws, lambda x: NOT regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) AS n_lone,
+               len(list_filter(ws, lambda x: right(x, 1) IN ('.', '!', '?'))) AS n_ends, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_exclamations,
+               length(regexp_replace(t, '\\P{{L}}', '', 'g')) AS n_letters, length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS n_upper
+        FROM w LEFT JOIN rep USING (r)
+    ),
+    v AS MATERIALIZED (SELECT *, {votes} AS votes FROM f),
+    pat AS MATERIALIZED (SELECT votes, count(*)::DOUBLE AS n FROM v GROUP BY votes),
+    long AS MATERIALIZED (SELECT votes, n, j, substr(votes, j::INT, 1) AS x FROM (SELECT votes, n, unnest(range(1, {len(VOTES) + 1})) AS j FROM pat)),
+    b0 AS MATERIALIZED (
+        SELECT j, x, bad, good, 0.2::DOUBLE AS share
+        FROM (SELECT unnest(range(1, {len(VOTES) + 1})) AS j), (VALUES ('b', 0.27::DOUBLE, 0.018::DOUBLE), ('g', 0.63::DOUBLE, 0.882::DOUBLE), ('-', 0.1::DOUBLE, 0.1::DOUBLE)) c(x, bad, good)
+    ),
+    {", ".join(belief)},
+    q AS (SELECT votes, 1 / (1 + exp(-(ln((1 - any_value(share)) / any_value(share)) + sum(ln(good / bad))))) AS quality FROM long JOIN b{rounds} USING (j, x) GROUP BY votes)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND quality >= 0.5 AS kept, votes, floor(quality * 1e6 + 0.501) / 1e6 AS quality
+    FROM v JOIN q USING (votes)
+    """
+
+
+ORACLE: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op2_licences": _licences(), "op5_chat": _chat(), "op11_vector_codes": _vector_codes(), "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_quality_rules": _quality_rules()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from daypanel.llm import bpe, chat, codes, decontaminate, exact_dedup, fim, licences, near_join, pii, quality, suffix_dedup, toxicity
+from daypanel.llm import bpe, chat, codes, decontaminate, exact_dedup, fim, licences, near_join, pii, quality, quality_rules, suffix_dedup, toxicity
 from daypanel.llm.common import read
 from daypanel.llm.oracle import ORACLE as ORACLE
 
@@ -98,6 +98,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"))
+    quality = (F.floor(F.col("quality") * 1e6 + 0.501) / 1e6).alias("quality")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", quality
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op7_quality, op8_near_join, op9_toxicity, op10_suffix_dedup, op11_vector_codes, op12_fill_in_middle)
+    f.__name__: f for f in (op1_exact_dedup, op2_licences, op3_bpe, op4_decontaminate, op5_chat, op6_pii, op7_quality, op8_near_join, op9_toxicity, op10_suffix_dedup, op11_vector_codes, op12_fill_in_middle, op13_quality_rules)
 }
