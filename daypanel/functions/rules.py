@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,16 +91,46 @@ CORE_RULES: dict[str, Rule] = {**expand(CORE_FAMILIES), OHLC_RULE_NAME: OHLC_CHE
 UNIVERSE_RULES: dict[str, Rule] = {**expand(CORE_FAMILIES + UNIVERSE_FAMILIES), OHLC_RULE_NAME: OHLC_CHECK}
 
 
-def column_rule(variable: str, predicate: str | None = None, registry=CORE_RULES) -> Rule:
+def column_rule(variable: str, predicate: str | None = None, registry=CORE_RULES, df: DataFrame | None = None) -> Rule:
     """The caller's predicate for a variable, else the registered one.
 
     As a filter the variable itself must be present: ``x IS NOT NULL AND (...)``.
+    With ``df`` the predicate is analysed over that table first, see
+    ``predicate_columns``.
     """
     if predicate is None:
         if variable not in registry:
             raise ValueError(f"no rule is registered for {variable}; pass a predicate")
         return registry[variable]
-    return Rule(variable, f"{variable} IS NOT NULL AND ({predicate})", (variable,))
+    columns = (variable,) if df is None else tuple(dict.fromkeys((variable, *predicate_columns(df, predicate))))
+    return Rule(variable, f"{variable} IS NOT NULL AND ({predicate})", columns)
+
+
+def predicate_columns(df: DataFrame, predicate: str) -> list[str]:
+    """The columns of a table that a predicate reads, in the table's order.
+
+    The predicate is analysed, not run: unknown columns and functions, text
+    that is no expression, what is not true or false, aggregates, windows and
+    generators, subqueries, and anything that may change from one run to the
+    next raise ``ValueError`` with the reason before any job starts. A rule is
+    about the values of one row, and a report of it can be repeated.
+    """
+    try:
+        plan = df.filter(F.expr(predicate))._jdf.queryExecution().analyzed()
+    except (AnalysisException, ParseException) as why:
+        reason = why.getMessage() if hasattr(why, "getMessage") else str(why)
+        raise ValueError(f"not a rule over this table: {predicate}: {reason}") from why
+    condition = plan.condition()
+    if not plan.subqueriesAll().isEmpty():
+        raise ValueError(f"a rule is about one row and may not hold a subquery: {predicate}")
+    if not condition.deterministic():
+        raise ValueError(f"a rule must give the same answer again: {predicate}")
+    names, read = set(), condition.references().iterator()
+    while read.hasNext():
+        names.add(read.next().name())
+    if not names:
+        raise ValueError(f"a rule must read a column: {predicate}")
+    return [c for c in df.columns if c in names]
 
 
 def rules_for(df: DataFrame, registry=CORE_RULES) -> list[Rule]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daypanel.functions.quality import ohlc_absent, ohlc_disagrees
-from daypanel.functions.rules import column_rule
+from daypanel.functions.rules import CORE_RULES, column_rule
 from daypanel.operators.groups import regular_rows
 from daypanel.operators.ordering import head
 from daypanel.schema import DEFAULT_KEY, STANDARD_NAMES, Names, PanelKey, require_columns
@@ -55,14 +55,23 @@ def nonmissing_examples(df: DataFrame, variable: str, n: int = 20, seed: int = S
 
 
 def abnormal_rows(
-    df: DataFrame, variable: str, n: int = 20, predicate: str | None = None, seed: int = SEED
+    df: DataFrame, variable: str, n: int = 20, predicate: str | None = None, seed: int = SEED, registry=CORE_RULES
 ) -> DataFrame:
-    """By the registered rule of the variable or by the caller's own."""
-    rule = column_rule(variable, predicate)
+    """By the registered rule of the variable or by the caller's own, which is
+    analysed before anything runs."""
+    require_columns(df, [variable])
+    rule = column_rule(variable, predicate, registry, df)
     require_columns(df, rule.columns)
     return sample_rows(df, rule.hit(), n, seed)
 
 
+def matches(df: DataFrame, condition: Column, n: int = 20) -> DataFrame:
+    """How many rows meet a condition, of how many, and whether ``n`` examples
+    of them are all or a draw; one row."""
+    met = F.count_if(F.coalesce(condition, F.lit(False)))
+    return df.agg(met.alias("n_matching"), F.count("*").alias("n_total"), F.least(met, F.lit(n)).alias("n_shown"), (met > n).alias("drawn"))
+
+
 def listing(df: DataFrame, condition: Column, columns: Sequence[str] | None = None, key: PanelKey = DEFAULT_KEY):
     """All rows that meet a condition, by date and entity."""
     rows = df.filter(condition)
@@ -71,10 +80,6 @@ def listing(df: DataFrame, condition: Column, columns: Sequence[str] | None = No
     return rows.orderBy(F.asc_nulls_last(key.date), F.asc_nulls_last(key.entity))
 
 
-def first_rows(listed: DataFrame, n: int | None) -> DataFrame:
-    return head(listed, n)
-
-
 def return_without_flag(c: Names = STANDARD_NAMES) -> Column:
     return c("dlyret").isNull() & c("dlyretmissflg").isNull()
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daypanel.functions.quality import all_of
-from daypanel.functions.rules import column_rule
+from daypanel.functions.rules import CORE_RULES, column_rule
 from daypanel.operators.ordering import head, table_quantiles
 from daypanel.schema import require_columns
 
@@ -55,9 +55,17 @@ def nonmissing_by_group(df: DataFrame, variable: str, groups=GROUP_COLUMNS, top:
 
 
 def abnormal_by_group(
-    df: DataFrame, variable: str, predicate: str | None = None, groups=GROUP_COLUMNS, top: int | None = TOP_GROUPS
+    df: DataFrame,
+    variable: str,
+    predicate: str | None = None,
+    groups=GROUP_COLUMNS,
+    top: int | None = TOP_GROUPS,
+    registry=CORE_RULES,
 ) -> DataFrame:
-    rule = column_rule(variable, predicate)
+    """By the registered rule of the variable or by the caller's own, which is
+    analysed before anything runs."""
+    require_columns(df, [variable])
+    rule = column_rule(variable, predicate, registry, df)
     require_columns(df, rule.columns)
     return pattern_by_group(df, rule.hit(), "abnormal", groups, top)
 

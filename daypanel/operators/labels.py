@@ -184,3 +184,55 @@ def forward_labels(
         *label_columns(params),
         *[c for c in per_step if c in labelled.columns],
     )
+
+
+def folded_labels(
+    core: DataFrame, params: LabelParams = DEFAULT_LABELS, key: PanelKey = DEFAULT_KEY, context: Sequence[str] = ()
+) -> DataFrame:
+    """The labels of ``forward_labels`` without a column per step, for horizons
+    of any length.
+
+    One frame holds the next rows of the security and one fold each makes a
+    label of them, so the plan is the same at 5 rows and at 63, and so are the
+    results, to the last bit. ``fwd_date_<horizon>`` is the day of the last row.
+    """
+    key.check_date(core)
+    h, series = params.horizon, Window.partitionBy(key.entity).orderBy(key.date)
+    row = F.struct(F.col(key.date).alias("day"), F.col("dlyret").alias("r"), F.col("dlyretmissflg").alias("flag"))
+    source = core.select(*dict.fromkeys([*key.pair, *[c for c in context if c in core.columns], "dlyret", "dlyretmissflg"]))
+    later = F.col("_later")
+    seen = source.withColumn("_later", F.collect_list(row).over(series.rowsBetween(1, h)))
+
+    # Why the return of each step is missing, NULL where it is there.
+    gone = F.transform(later, lambda x: F.when(x["r"].isNull(), F.coalesce(x["flag"], F.lit(NO_FLAG))))
+    ended = F.array_repeat(F.lit(NO_ROW), F.lit(h) - F.size(later))
+    flagged = seen.withColumn("_flags", F.concat(gone, ended))
+    flags = F.col("_flags")
+    at = F.array_min(F.transform(flags, lambda f, i: F.when(f.isNotNull(), i + 1)))
+    placed = flagged.withColumn("_at", at)
+    position = F.col("_at")
+    before = F.slice(later, F.lit(1), F.coalesce(position - 1, F.size(later)))
+    grown = placed.withColumn("_wealth", F.aggregate(before, F.lit(1.0), lambda whole, x: whole * (1 + x["r"])))
+    wealth, first = F.col("_wealth"), F.element_at(flags, position)
+    zero_after = F.when(position == 1, 0.0).otherwise(wealth - 1)
+    delisted = first.isin(*params.delisting_codes)
+
+    def stressed(penalty: float) -> Column:
+        loss = F.lit(-1.0) if penalty == 1.0 else F.when(position == 1, F.lit(-penalty)).otherwise(wealth * (1 - penalty) - 1)
+        return F.when(delisted, loss).otherwise(zero_after)
+
+    codes = F.array(*[F.lit(code) for code in params.flag_codes])
+    made = {
+        "target_1d_raw": F.when(F.size(later) > 0, later[0]["r"]),
+        params.complete: F.when(position.isNull(), wealth - 1),
+        params.zero_after: zero_after,
+        **{params.stressed(p): stressed(p) for p in params.penalties},
+        "target_has_missing_return": flag(position.isNotNull()),
+        "target_first_missing_return_pos": position,
+        "target_first_missing_return_flag": first,
+        "target_missing_return_flag_set": F.array_join(F.array_intersect(codes, flags), "|"),
+        "target_has_delisting_missing_flag": flag(F.exists(flags, lambda f: f.isin(*params.delisting_codes))),
+        "target_n_valid_forward_returns": F.size(F.filter(flags, lambda f: f.isNull())),
+        f"fwd_date_{h}": F.when(F.size(later) == h, later[h - 1]["day"]),
+    }
+    return grown.select(*key.pair, *[c for c in context if c in core.columns], *[c.alias(n) for n, c in made.items()])

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 HOT_ROWS = 2_000_000
 SKETCH_ACCURACY = 10_000
+#: of the KLL sketches behind exact quantiles: off by about one part in 800
+SKETCH_SIZE = 4096
 SALTS = 1024
 
 
@@ -25,100 +27,158 @@ def head(rows: DataFrame, n: int | None) -> DataFrame:
     return rows if n is None else rows.limit(n)
 
 
+def quantile_sketches(df: DataFrame, by: Sequence[str], value: str, k: int = SKETCH_SIZE) -> DataFrame:
+    """One row a group: a KLL sketch of its numbers and what a sketch does not
+    keep, for ``merged_sketches`` and ``exact_quantiles``. Store it to ask for
+    quantiles of days, years and the whole table from one read. NULL is a group
+    like any other; NaN counts above all numbers, as in Spark's order."""
+    v = F.col("_v")
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("_n"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+        F.kll_sketch_agg_double(F.when(F.isnan(v), float("inf")).otherwise(v), F.lit(k)).alias("_sketch"),
+    )
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str], k: int = SKETCH_SIZE) -> DataFrame:
+    """Sketches of coarser groups, ``by`` being some of the columns or none."""
+    return sketches.groupBy(*by).agg(
+        F.sum("_n").alias("_n"),
+        F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+        F.kll_merge_agg_double("_sketch", F.lit(k)).alias("_sketch"),
+    )
+
+
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], accuracy: int = SKETCH_ACCURACY
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    quantiles: dict[str, float],
+    sketches: DataFrame | None = None,
+    k: int = SKETCH_SIZE,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Interpolated quantiles of the non-NULL values of each group, one column
-    per entry of ``quantiles``, equal to Spark's ``percentile``. Groups are
-    calendar days, years and the like: their statistics, one row a group, are
-    broadcast. NULL is a group like any other.
+    per entry of ``quantiles``, equal to Spark's ``percentile``. NULL is a group
+    like any other.
+
+    The input is read twice, whatever the number of groups: for the sketches,
+    unless ``sketches`` of the same groups are passed in, and for the values
+    around each quantile, which are counted exactly. That count also shows
+    whether a sketch was so far off that a value lies outside what was counted;
+    only groups where one does are counted again, whole. ``few_groups`` says
+    that groups are bounded in number, as days are, and their statistics may be
+    broadcast; else the adaptive planner decides by their size.
     """
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    sketched = _attached(rows, rows.groupBy(*by).agg(*_sketch(quantiles, accuracy)), by)
-    sure = _attached(rows, sketched.groupBy(*by, "_n", "_low", "_high", "_ends").agg(*_ranks(quantiles)), by)
-    return _narrowed(sure.withColumn("_ends", _checked(quantiles)), by, quantiles)
+    found = quantile_sketches(df, by, value, k) if sketches is None else sketches
+    brackets = found.select(*by, "_n", "_low", "_high", _brackets(quantiles, k).alias("_ends"))
+    first = _counted(_attached(rows, brackets, by, few_groups), by, quantiles)
+    sure = F.lit(True)
+    for name in quantiles:
+        sure = sure & F.col(f"_sure_{name}")
+    # Hardly ever any: the adaptive planner drops the branch once it knows.
+    again = first.filter(~sure).select(*by, "_n", "_low", "_high")
+    ends = F.array(*[F.col(c) for _ in quantiles for c in ("_low", "_high")])
+    second = _counted(_attached(rows, again.withColumn("_ends", ends), by, few_groups), by, quantiles)
+    return first.filter(sure).unionByName(second).select(*by, *quantiles)
+
+
+def table_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], k: int = SKETCH_SIZE) -> DataFrame:
+    """The same for a whole table: one row, or none where no value is present."""
+    # One group, but not a literal one: joins keep a key to hash by.
+    rows = df.select(F.pmod(F.xxhash64(value), F.lit(1)).alias("_all"), value)
+    return exact_quantiles(rows, ["_all"], value, quantiles, k=k, few_groups=True).drop("_all")
 
 
-def table_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """The same for a whole table: one row, or none where no value is present."""
-    return exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, quantiles, accuracy).drop("_all")
+def column_quantiles(
+    df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]], few_groups: bool = False
+) -> DataFrame:
+    """Exact quantiles of several columns in the same two reads: ``wanted`` maps
+    an output name to ``(column, quantile)``. Groups without any value in all of
+    the columns are left out."""
+    by = list(by)
+    columns = dict.fromkeys(c for c, _ in wanted.values())
+    records = [F.struct(F.lit(c).alias("_variable"), F.col(c).cast("double").alias("_value")) for c in columns]
+    steps = {p: f"_q{i}" for i, p in enumerate(dict.fromkeys(p for _, p in wanted.values()))}
+    rows = df.select(*by, F.inline(F.array(*records)))
+    found = exact_quantiles(rows, [*by, "_variable"], "_value", {q: p for p, q in steps.items()}, few_groups=few_groups)
+    picks = [F.max(F.when(F.col("_variable") == c, F.col(steps[p]))).alias(out) for out, (c, p) in wanted.items()]
+    return found.groupBy(*by).agg(*picks)
 
 
-def _attached(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+def _attached(rows: DataFrame, stats: DataFrame, by: list[str], few: bool) -> DataFrame:
     """The values with the statistics of their group."""
     renamed = {c: f"_g_{c}" for c in by}
     same = [F.col(c).eqNullSafe(F.col(g)) for c, g in renamed.items()]
-    return rows.join(F.broadcast(stats.withColumnsRenamed(renamed)), same).drop(*renamed.values())
+    stats = stats.withColumnsRenamed(renamed)
+    return rows.join(F.broadcast(stats) if few else stats, same).drop(*renamed.values())
 
 
-def _sketch(quantiles: dict[str, float], accuracy: int) -> list[Column]:
-    """Number, extremes and two values around each quantile. The sketch is off
-    by n / accuracy ranks; the margin is four times as wide."""
-    margin = 4.0 / accuracy
-    ends = [e for p in quantiles.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    return [
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_low"),
-        F.max("_v").alias("_high"),
-        F.percentile_approx("_v", ends, accuracy).alias("_ends"),
-    ]
+def _brackets(quantiles: dict[str, float], k: int) -> Column:
+    """Two values around each quantile. A sketch of size ``k`` is off by about
+    2.3 / k ** 0.9 of the rows; the margin is wider. Groups of so few rows that
+    the margin is less than three of them are taken whole."""
+    margin = 4.0 / k**0.9
+    infinity = F.lit(float("inf"))
+    ends = []
+    for p in quantiles.values():
+        low, high = F.col("_low"), F.col("_high")
+        if p > margin:
+            low = F.kll_sketch_get_quantile_double("_sketch", F.lit(p - margin))
+        if p + margin < 1:
+            # NaN is an infinity to the sketch.
+            found = F.kll_sketch_get_quantile_double("_sketch", F.lit(p + margin))
+            high = F.when(found < infinity, found).otherwise(high)
+        for sketched, end in ((low, "_low"), (high, "_high")):
+            ends.append(F.when(F.col("_n") * margin < 3, F.col(end)).otherwise(sketched))
+    return F.array(*ends)
 
 
 def _positions(quantiles: dict[str, float]) -> list[tuple[str, Column]]:
     return [(name, (F.col("_n") - 1) * F.lit(p)) for name, p in quantiles.items()]
 
 
-def _ranks(quantiles: dict[str, float]) -> list[Column]:
-    """How many values lie below each bracket and up to its end."""
-    v, ends = F.col("_v"), F.col("_ends")
-    out = []
-    for i in range(len(quantiles)):
-        out += [F.count_if(v < ends[2 * i]).alias(f"_below{i}"), F.count_if(v <= ends[2 * i + 1]).alias(f"_upto{i}")]
-    return out
-
-
-def _checked(quantiles: dict[str, float]) -> Column:
-    """The brackets that are known to hold their two ranks; in place of one
-    that does not, all values of the group."""
-    ends = []
-    for i, (_, position) in enumerate(_positions(quantiles)):
-        holds = (F.col(f"_below{i}") <= F.floor(position)) & (F.col(f"_upto{i}") >= F.ceil(position) + 1)
-        ends += [F.when(holds, F.col("_ends")[2 * i]).otherwise(F.col("_low")), F.when(holds, F.col("_ends")[2 * i + 1]).otherwise(F.col("_high"))]
-    return F.array(*ends)
-
-
-def _narrowed(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Quantiles of groups of ``_n`` rows within the brackets ``_ends``.
+def _counted(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Quantiles of groups of ``_n`` rows within the brackets ``_ends``, and
+    ``_sure_<name>``: whether both ranks of a quantile lie within its bracket.
 
     Values inside a bracket are kept and values below one are counted onto its
-    lower end. Equal values add up in the map tasks, and the cumulative counts
-    run over the few values inside the brackets only.
+    lower end, those above all onto the largest value, apart from those that are
+    equal to it: a rank that falls among them was not found. Equal values add up in the map
+    tasks, and the cumulative counts run over the few values inside the brackets.
     """
     v, ends_of = F.col("_v"), F.col("_ends")
     brackets = [(ends_of[2 * i], ends_of[2 * i + 1]) for i in range(len(quantiles))]
     inside = F.lit(False)
     for low, high in brackets:
         inside = inside | v.between(low, high)
-    next_low = F.array_min(F.array(*[F.when(low > v, low) for low, _ in brackets]))
+    next_low = F.array_min(F.array(*[F.when(low > v, low) for low, _ in brackets], F.col("_high")))
+    group = [*by, "_n", "_low", "_high"]
     counts = (
-        rows.select(*by, "_n", F.when(inside, v).otherwise(next_low).alias("_slot"))
-        .filter("_slot IS NOT NULL")
-        .groupBy(*by, "_n", "_slot")
+        rows.select(*group, F.when(inside, v).otherwise(next_low).alias("_slot"), inside.alias("_inside"))
+        .groupBy(*group, "_slot", "_inside")
         .agg(F.count("*").alias("_c"))
     )
-    upto = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*by).orderBy("_slot", "_inside").rowsBetween(Window.unboundedPreceding, 0)
     cumulated = counts.withColumn("_cum", F.sum("_c").over(upto))
 
-    picks, columns = [], []
+    picks, columns, checks = [], [], []
     for name, position in _positions(quantiles):
         for end, rank in (("lo", F.floor(position) + 1), ("hi", F.ceil(position) + 1)):
-            picks.append(F.min(F.when(F.col("_cum") >= rank, F.col("_slot"))).alias(f"_{name}_{end}"))
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+            slot = F.when(F.col("_cum") >= rank, F.struct("_slot", "_inside"))
+            picks.append(F.min(slot).alias(f"_{name}_{end}"))
+        low, high = F.col(f"_{name}_lo._slot"), F.col(f"_{name}_hi._slot")
         # Equal ends need no weights, which an infinite value could not bear.
         between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
         columns.append(F.when(low == high, low).otherwise(between).alias(name))
-    return cumulated.groupBy(*by, "_n").agg(*picks).select(*by, *columns)
+        known = F.col(f"_{name}_lo._inside") & F.col(f"_{name}_hi._inside")
+        checks.append(F.coalesce(known, F.lit(False)).alias(f"_sure_{name}"))
+    return cumulated.groupBy(*group).agg(*picks).select(*group, *columns, *checks)
 
 
 def _image(df: DataFrame, column: str) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,55 +12,79 @@ from daypanel.functions.rules import CORE_RULES, OHLC_RULE_NAME, Rule, rules_for
 from daypanel.schema import DEFAULT_KEY, PanelKey, PanelSchema, require_columns
 
 CROSS_COLUMN = "cross_column_rule"
-PER_PASS = 16
+#: conditions in one long
+WORD = 63
+
+
+def _packed(conditions: Sequence[Column]) -> list[Column]:
+    """What holds of a row, a bit each, in as many longs as it takes."""
+
+    def either(bits: list[Column]) -> Column:
+        # Halved, not chained: an expression of a hundred levels is slow to plan.
+        half = len(bits) // 2
+        return bits[0] if len(bits) == 1 else either(bits[:half]).bitwiseOR(either(bits[half:]))
+
+    bits = [F.when(c, F.lit(1 << k % WORD).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in enumerate(conditions)]
+    return [either(bits[i : i + WORD]) for i in range(0, len(bits), WORD)]
+
+
+def _held(df: DataFrame, conditions: Sequence[Column]) -> DataFrame:
+    """One row with a map ``held``: for the number of each condition, how many
+    rows meet it, if any do.
+
+    Rows are alike when they meet the same conditions, so patterns are counted,
+    in every task first, and only then taken apart: one scan and one small
+    shuffle, whatever the number of conditions.
+    """
+    words = [f"w{k}" for k in range(-(-len(conditions) // WORD))]
+    patterns = df.select(*[c.alias(w) for w, c in zip(words, _packed(conditions), strict=True)]).groupBy(*words).agg(F.count("*").alias("n"))
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit("word", b) == 1)
+    bits = patterns.select("n", F.posexplode(F.array(*words)).alias("at", "word")).select("n", "at", F.explode(set_bits).alias("bit"))
+    counts = bits.groupBy((F.col("at") * WORD + F.col("bit")).alias("at")).agg(F.sum("n").alias("n"))
+    # At most one entry a condition.
+    return counts.agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("held"))
 
 
 def _counts(df: DataFrame, types: Mapping[str, str], rules: Mapping[str, Rule]) -> DataFrame:
-    """One aggregate over the given variables, its one row turned into lines."""
-    totals = df.agg(
-        F.count(F.lit(1)).alias("n_total"),
-        *[F.count(c).alias(f"n_{c}") for c in types if types[c] != CROSS_COLUMN],
-        *[F.count_if(rules[c].hit()).alias(f"bad_{c}") for c in types if c in rules],
-    )
-
-    def line(name, kind):
-        present = F.lit(None).cast("bigint") if kind == CROSS_COLUMN else F.col(f"n_{name}")
+    """The lines of the given variables."""
+    conditions = [F.lit(True)]
+    places: dict[tuple[str, str], int] = {}
+    for name, kind in types.items():
+        if kind != CROSS_COLUMN:
+            places["missing", name] = len(conditions)
+            conditions.append(F.col(name).isNull())
+        if name in rules:
+            places["abnormal", name] = len(conditions)
+            conditions.append(rules[name].hit())
+
+    def held(what: str, name: str) -> Column:
+        return F.coalesce(F.col("held")[places[what, name]], F.lit(0).cast("long"))
+
+    def line(name: str, kind: str) -> Column:
         rule = rules.get(name)
         return F.struct(
             F.lit(name).alias("variable"),
             F.lit(kind).alias("type"),
-            F.col("n_total"),
-            (F.col("n_total") - present).alias("missing_count"),
-            (F.col(f"bad_{name}") if rule else F.lit(0).cast("bigint")).alias("abnormal_count"),
+            F.coalesce(F.col("held")[0], F.lit(0).cast("long")).alias("n_total"),
+            (F.lit(None).cast("bigint") if kind == CROSS_COLUMN else held("missing", name)).alias("missing_count"),
+            (held("abnormal", name) if rule else F.lit(0).cast("bigint")).alias("abnormal_count"),
             F.lit(rule.predicate if rule else "").alias("abnormal_rule"),
         )
 
-    return totals.select(F.inline(F.array(*[line(c, t) for c, t in types.items()])))
+    return _held(df, conditions).select(F.inline(F.array(*[line(c, t) for c, t in types.items()])))
 
 
-def profile(
-    df: DataFrame,
-    schema: PanelSchema | None = None,
-    registry: Mapping[str, Rule] = CORE_RULES,
-    per_pass: int = PER_PASS,
-) -> DataFrame:
+def profile(df: DataFrame, schema: PanelSchema | None = None, registry: Mapping[str, Rule] = CORE_RULES) -> DataFrame:
     """One row per variable: how many values are missing or abnormal.
 
     Variables and their types come from the dictionary, or from the table's
     own schema. Rules over several columns follow as lines of their own, with
-    NULL missing counts.
-
-    ``per_pass`` variables share an aggregate. A pass reads only its own
-    columns of a columnar table, so all passes together read it once; an
-    aggregate over all variables at once would grow past what the JIT compiles.
-    Store a table that is costly to compute before profiling it.
+    NULL missing counts. All of it comes from one scan.
     """
     types = dict(schema) if schema else {f.name: f.dataType.simpleString() for f in df.schema.fields}
     require_columns(df, types)
     rules = {r.variable: r for r in rules_for(df, registry) if r.cross_column or r.variable in types}
-    lines = list((types | {name: CROSS_COLUMN for name, r in rules.items() if r.cross_column}).items())
-    passes = [_counts(df, dict(lines[i : i + per_pass]), rules) for i in range(0, len(lines), per_pass)]
-    return with_rates(reduce(DataFrame.unionAll, passes))
+    return with_rates(_counts(df, types | {name: CROSS_COLUMN for name, r in rules.items() if r.cross_column}, rules))
 
 
 def cross_column_profile(df: DataFrame, registry: Mapping[str, Rule] = CORE_RULES) -> DataFrame:
@@ -108,25 +131,21 @@ def abnormal_examples(
     """Up to ``n`` rows per rule that breaks it, all for None: variable, key and
     value.
 
-    One scan tests all rules, and rows that break none go at once. Names of
-    rules are exploded and cut to ``n`` a rule, in every map task first; only
-    what is left gets its evidence.
+    One scan tests all rules. Each broken rule becomes a small record, its name
+    and the value as text, and the records are exploded and cut to ``n`` a rule,
+    in every map task first; no other column of the table goes along.
     """
     rules = rules_for(df, registry)
-    broken = F.array_compact(F.array(*[F.when(r.hit(), F.lit(r.variable)) for r in rules]))
     order = [key.date, key.entity, *key.order]
-    own = [r.variable for r in rules if r.variable != OHLC_RULE_NAME]
-    ohlc = [c for c in ("dlyopen", "dlyhigh", "dlylow", "dlyclose") if c in df.columns]
-    hits = (
-        df.withColumn("_rules", broken)
-        .filter(F.size("_rules") > 0)
-        .select(*dict.fromkeys([*order, label, *own, *ohlc]), F.explode("_rules").alias("_rule"))
-    )
+
+    def record(rule: Rule):
+        value = ohlc_evidence(df) if rule.variable == OHLC_RULE_NAME else evidence_text(df, rule.variable)
+        return F.when(rule.hit(), F.struct(F.lit(rule.variable).alias("variable"), value.alias("value")))
+
+    broken = F.array_compact(F.array(*[record(r) for r in rules]))
+    hits = df.select(*dict.fromkeys([*order, label]), F.explode(broken).alias("_hit"))
+    hits = hits.select("*", F.col("_hit.variable").alias("variable"), F.col("_hit.value").alias("value"))
     if n is not None:
-        first = Window.partitionBy("_rule").orderBy(*[F.asc_nulls_last(c) for c in order])
+        first = Window.partitionBy("variable").orderBy(*[F.asc_nulls_last(c) for c in order])
         hits = hits.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= n)
-    texts = [
-        F.when(F.col("_rule") == r.variable, ohlc_evidence(df) if r.variable == OHLC_RULE_NAME else evidence_text(df, r.variable))
-        for r in rules
-    ]
-    return hits.select(F.col("_rule").alias("variable"), key.entity, key.date, label, F.coalesce(*texts).alias("value"))
+    return hits.select("variable", key.entity, key.date, label, "value")

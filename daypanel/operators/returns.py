@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import mul
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +24,11 @@ def add_trailing_returns(
     growth = 1 + F.col(value)
 
     def compounded(n: int):
-        # Oldest first, as an explicit product: a log would fail at -100%.
-        return reduce(mul, [F.lag(growth, k).over(series) for k in range(n - 1, 0, -1)] + [growth]) - 1
+        # Oldest first, as an explicit product: a log would fail at -100%. One
+        # frame and one fold, so the plan does not grow with n.
+        frame = F.collect_list(growth).over(series.rowsBetween(-(n - 1), 0))
+        product = F.aggregate(frame, F.lit(1.0), lambda whole, one: whole * one)
+        return F.when(F.size(frame) == n, product - 1)
 
     recent = series.rowsBetween(-(volatility_rows - 1), 0)
     enough = F.count(value).over(recent) == volatility_rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,8 @@ from daypanel.operators.examples import SEED, draw_order
 from daypanel.schema import DEFAULT_KEY, PanelKey
 
 ESTIMATE_ROWS = 10_000
+#: hexadecimal digits of a hash that are counted at a time, and how often
+DIGIT, LEVELS = 4, 2
 MEGABYTE = 1024 * 1024
 ABOVE_ALL_DRAWS = "g"  # hashes are hexadecimal
 
@@ -30,10 +32,42 @@ def csv_bytes(df: DataFrame) -> Column:
     return sum(lengths, F.lit(len(lengths)))
 
 
+def kth_draw(draws: DataFrame, wanted: Column) -> Column:
+    """The ``wanted``-th smallest of the ``_draw`` hashes, equal ones counted one
+    by one, as a scalar; NULL where there are fewer, or none is wanted.
+
+    Found digit by digit: counts of the first 16 bits tell in which of 65,536
+    bins it lies, counts of the next 16 bits of that bin's rows where in it, and
+    so on for ``LEVELS`` digits. What is left, one row in four thousand million
+    after two, is counted by whole hash. Each step is an aggregate whose result
+    is one row; nothing is sorted or gathered but its counts.
+    """
+    prefix, rest = F.lit(""), wanted
+    for level in range(LEVELS + 1):
+        last = level == LEVELS
+        width = DIGIT * (level + 1)
+        rows = draws if level == 0 else draws.filter(F.startswith(F.col("_draw"), prefix))
+        bins = rows.groupBy((F.col("_draw") if last else F.substring("_draw", 1, width)).alias("bin")).agg(F.count("*").alias("n"))
+        listed = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins")).select("bins", rest.alias("left"))
+        start = F.struct(F.lit(None).cast("string").alias("bin"), F.col("left").alias("left"))
+
+        def step(found: Column, one: Column) -> Column:
+            # Rows are counted off bin by bin until one holds those that are left.
+            holds = found["bin"].isNull() & (found["left"] <= one["n"]) & (found["left"] > 0)
+            passed = F.when(found["bin"].isNull() & ~holds, found["left"] - one["n"]).otherwise(found["left"])
+            return F.struct(F.when(holds, one["bin"]).otherwise(found["bin"]).alias("bin"), passed.alias("left"))
+
+        found = listed.select(F.aggregate("bins", start, step).alias("found")).scalar()
+        prefix, rest = found["bin"], found["left"]
+    return prefix
+
+
 def average_row_bytes(df: DataFrame, n: int = ESTIMATE_ROWS, seed: int = SEED, key: PanelKey = DEFAULT_KEY):
-    """One row: the mean CSV size over ``n`` random rows."""
-    sizes = df.select(draw_order(key, seed).alias("_draw"), csv_bytes(df).alias("_bytes"))
-    return sizes.orderBy("_draw").limit(n).agg(F.avg("_bytes").alias("avg_bytes_per_row"))
+    """One row: the mean CSV size over ``n`` random rows, and over all rows with
+    the last of their hashes; over the whole table where it has no more."""
+    drawn = df.select(draw_order(key, seed).alias("_draw"), csv_bytes(df).alias("_bytes"))
+    cut = F.coalesce(kth_draw(drawn.select("_draw"), F.lit(n).cast("bigint")), F.lit(ABOVE_ALL_DRAWS))
+    return drawn.filter(F.col("_draw") <= cut).agg(F.avg("_bytes").alias("avg_bytes_per_row"))
 
 
 def sample_to_size(
@@ -45,29 +79,16 @@ def sample_to_size(
 ) -> DataFrame:
     """As many random rows as make about ``megabytes`` of CSV.
 
-    Rows are taken in the order of a hash of their key. Its first 16 bits put
-    rows into 65,536 even bins; counting those finds the bin in which the
-    sample ends, and ordering that one bin finds the last hash to take. The
-    sample itself is then a filter, whatever its size.
+    Rows are taken in the order of a hash of their key. The last hash to take
+    is found by counting, so the sample itself is a filter, whatever its size.
     """
     wanted = average_row_bytes(df, estimate_rows, seed, key).select(
         F.floor(F.lit(megabytes * MEGABYTE) / F.col("avg_bytes_per_row")).cast("bigint")
     )
-    draws = df.select(draw_order(key, seed).alias("_draw")).withColumn("_bin", F.substring("_draw", 1, 4))
-    # One task over at most 65,536 bins, and one over the rows of a single bin.
-    running = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = draws.groupBy("_bin").agg(F.count("*").alias("_rows")).withColumn("_upto", F.sum("_rows").over(running))
-    last_bin = (
-        bins.withColumn("_wanted", wanted.scalar())
-        .filter("_upto - _rows < _wanted AND _wanted <= _upto")
-        .select(F.struct("_bin", (F.col("_wanted") - F.col("_upto") + F.col("_rows")).alias("_take")))
-    )
-    in_bin = draws.withColumn("_last", last_bin.scalar()).filter("_bin = _last._bin")
-    nth = F.row_number().over(Window.orderBy("_draw"))
-    last_draw = in_bin.withColumn("_nth", nth).filter("_nth = _last._take").select("_draw")
-    # Without such a bin the sample is the whole table, or nothing.
+    last = kth_draw(df.select(draw_order(key, seed).alias("_draw")), wanted.scalar())
+    # Without such a row the sample is the whole table, or nothing.
     everything = F.when(wanted.scalar() > 0, ABOVE_ALL_DRAWS)
-    cut = F.coalesce(last_draw.scalar(), everything)
+    cut = F.coalesce(last, everything)
     return df.withColumn("_draw", draw_order(key, seed)).filter(F.col("_draw") <= cut).drop("_draw")
 
 

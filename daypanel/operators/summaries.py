@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daypanel.operators.distinct import distinct_ids, distinct_pairs, has_bitmaps, id_bitmaps
 from daypanel.operators.examples import listing
 from daypanel.operators.groups import value_counts
 from daypanel.operators.labels import DEFAULT_LABELS, LabelParams
-from daypanel.operators.ordering import exact_quantiles, head
+from daypanel.operators.ordering import column_quantiles, exact_quantiles, head
 from daypanel.schema import DEFAULT_KEY, PanelKey
 
 # ---- fixed values: preview columns and labels ----
@@ -47,28 +48,39 @@ def stage_row_counts(stages: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def universe_daily_summary(universe: DataFrame, date: str = "dlycaldt") -> DataFrame:
-    """Size, medians and ranks per day. A day holds at most as many rows as the
-    rank limits of the universe allow, so its exact medians fit one task."""
-    return (
-        universe.groupBy(date, "year")
-        .agg(
-            F.count("*").alias("n_universe"),
-            F.min("prc").alias("min_prc"),
-            F.percentile("prc", 0.5).alias("median_prc"),
-            F.percentile("dlycap", 0.5).alias("median_mktcap"),
-            F.percentile("adv20", 0.5).alias("median_adv20"),
-            F.min("market_cap_rank").alias("best_market_cap_rank"),
-            F.max("market_cap_rank").alias("worst_market_cap_rank"),
-            F.min("adv20_rank").alias("best_adv20_rank"),
-            F.max("adv20_rank").alias("worst_adv20_rank"),
-        )
-        .orderBy(date)
+    """Size, medians and ranks per day, for days of any size."""
+    sizes = universe.groupBy(date, "year").agg(
+        F.count("*").alias("n_universe"),
+        F.min("prc").alias("min_prc"),
+        F.min("market_cap_rank").alias("best_market_cap_rank"),
+        F.max("market_cap_rank").alias("worst_market_cap_rank"),
+        F.min("adv20_rank").alias("best_adv20_rank"),
+        F.max("adv20_rank").alias("worst_adv20_rank"),
     )
+    medians = {"median_prc": ("prc", 0.5), "median_mktcap": ("dlycap", 0.5), "median_adv20": ("adv20", 0.5)}
+    return _with_days(sizes, universe, medians, date).select(
+        date, "year", "n_universe", "min_prc", *medians,
+        "best_market_cap_rank", "worst_market_cap_rank", "best_adv20_rank", "worst_adv20_rank",
+    ).orderBy(date)
+
+
+def _with_days(sizes: DataFrame, rows: DataFrame, wanted: dict[str, tuple[str, float]], date: str) -> DataFrame:
+    """Aggregates of days with exact quantiles of their rows beside them."""
+    found = column_quantiles(rows, [date, "year"], wanted, few_groups=True).withColumnsRenamed({date: "_date", "year": "_year"})
+    same = F.col(date).eqNullSafe(F.col("_date")) & F.col("year").eqNullSafe(F.col("_year"))
+    return sizes.join(found, same, "left").drop("_date", "_year")
 
 
 def universe_yearly_summary(universe: DataFrame, key: PanelKey = DEFAULT_KEY) -> DataFrame:
-    daily = universe.groupBy("year", key.date).agg(F.count("*").alias("n_daily"))
-    names = universe.groupBy("year").agg(F.count_distinct(key.entity).alias("n_unique_permnos"))
+    """Days, sizes and names of a year. One pass over the rows makes a line per
+    day and range of ids; everything else adds those up."""
+    if has_bitmaps(universe, key.entity):
+        parts = id_bitmaps(universe, ["year", key.date], key.entity, n=F.count("*"))
+        daily = parts.groupBy("year", key.date).agg(F.sum("n").alias("n_daily"))
+        names = distinct_ids(parts, ["year"], "n_unique_permnos")
+    else:
+        daily = universe.groupBy("year", key.date).agg(F.count("*").alias("n_daily"))
+        names = universe.groupBy("year").agg(F.count_distinct(key.entity).alias("n_unique_permnos"))
     n = F.col("n_daily")
     sizes = daily.groupBy("year").agg(
         F.sum(n).alias("n_rows"),
@@ -133,13 +145,18 @@ def _label_measures(params: LabelParams) -> dict[str, Column]:
 
 def label_summary(labels: DataFrame, params: LabelParams = DEFAULT_LABELS, key: PanelKey = DEFAULT_KEY) -> DataFrame:
     one_day = F.col("target_1d_raw").isNull()
-    return labels.agg(
-        F.count("*").alias("n_rows"),
-        F.count_distinct(*key.pair).alias("n_unique_stock_days"),
-        F.count_if(one_day).alias("n_missing_target_1d_raw"),
-        share(one_day).alias("missing_target_1d_rate"),
-        *[c.alias(n) for n, c in _label_measures(params).items()],
-    )
+    measures = [c.alias(n) for n, c in _label_measures(params).items()]
+    by_bits = has_bitmaps(labels, key.entity)
+    pairs = [] if by_bits else [F.count_distinct(*key.pair).alias("n_unique_stock_days")]
+    found = labels.agg(
+        F.count("*").alias("n_rows"), *pairs, F.count_if(one_day).alias("n_missing_target_1d_raw"),
+        share(one_day).alias("missing_target_1d_rate"), *measures,
+    )
+    if by_bits:
+        days = id_bitmaps(labels, [key.date], key.entity)
+        found = found.withColumn("n_unique_stock_days", distinct_pairs(days, [key.date]))
+    rest = [c for c in found.columns if c not in ("n_rows", "n_unique_stock_days")]
+    return found.select("n_rows", "n_unique_stock_days", *rest)
 
 
 def label_yearly_summary(labels: DataFrame, params: LabelParams = DEFAULT_LABELS) -> DataFrame:
@@ -167,21 +184,20 @@ def panel_coverage_summary(joined: DataFrame, params: LabelParams = DEFAULT_LABE
 
 
 def panel_daily_summary(panel: DataFrame, params: LabelParams = DEFAULT_LABELS, date: str = "dlycaldt") -> DataFrame:
-    """Per day; a panel day is no larger than its universe day."""
+    """Per day, for days of any size."""
     t, raw = f"target_{params.horizon}d", params.complete
-    return (
-        panel.groupBy(date, "year")
-        .agg(
-            F.count("*").alias("n_model_rows"),
-            F.percentile(raw, 0.01).alias(f"{t}_p01"),
-            F.percentile(raw, 0.50).alias(f"{t}_p50"),
-            F.percentile(raw, 0.99).alias(f"{t}_p99"),
-            F.avg(raw).alias(f"mean_{t}_raw"),
-            F.avg(f"{t}_cs_zscore").alias(f"mean_{t}_cs_zscore"),
-            F.stddev_samp(f"{t}_cs_zscore").alias(f"sd_{t}_cs_zscore"),
-        )
-        .orderBy(date)
+    sizes = panel.groupBy(date, "year").agg(
+        F.count("*").alias("n_model_rows"),
+        F.avg(raw).alias(f"mean_{t}_raw"),
+        F.avg(f"{t}_cs_zscore").alias(f"mean_{t}_cs_zscore"),
+        F.stddev_samp(f"{t}_cs_zscore").alias(f"sd_{t}_cs_zscore"),
     )
+    spread = {f"{t}_p01": (raw, 0.01), f"{t}_p50": (raw, 0.50), f"{t}_p99": (raw, 0.99)}
+    # The panel has limits of its own by these names; here they are those of its days as they stand.
+    found = _with_days(sizes, panel.select(date, "year", raw), spread, date)
+    return found.select(
+        date, "year", "n_model_rows", *spread, f"mean_{t}_raw", f"mean_{t}_cs_zscore", f"sd_{t}_cs_zscore"
+    ).orderBy(date)
 
 
 def panel_yearly_summary(
@@ -194,9 +210,14 @@ def panel_yearly_summary(
         F.avg(f"{t}_cs_zscore").alias(f"mean_{t}_cs_zscore"),
         F.stddev_samp(f"{t}_cs_zscore").alias(f"sd_{t}_cs_zscore"),
     )
-    days = panel.groupBy("year").agg(F.count_distinct(key.date).alias("n_days"))
-    names = panel.groupBy("year").agg(F.count_distinct(key.entity).alias("n_unique_permnos"))
-    medians = exact_quantiles(panel, ["year"], raw, {f"median_{t}_raw": 0.5})
+    if has_bitmaps(panel, key.entity):
+        parts = id_bitmaps(panel, ["year", key.date], key.entity)
+        days = parts.groupBy("year", key.date).agg(F.lit(1).alias("_one")).groupBy("year").agg(F.count(key.date).alias("n_days"))
+        names = distinct_ids(parts, ["year"], "n_unique_permnos")
+    else:
+        days = panel.groupBy("year").agg(F.count_distinct(key.date).alias("n_days"))
+        names = panel.groupBy("year").agg(F.count_distinct(key.entity).alias("n_unique_permnos"))
+    medians = exact_quantiles(panel, ["year"], raw, {f"median_{t}_raw": 0.5}, few_groups=True)
     return _by_year(sizes, days, names, medians)
 
 

@@ -35,7 +35,7 @@ def winsorize_by(
     """
     key.check_date(df)
     names = {f"{prefix}_p01": low, f"{prefix}_p99": high}
-    limits = exact_quantiles(df.filter(F.col(key.date).isNotNull()), [key.date], value, names)
+    limits = exact_quantiles(df.filter(F.col(key.date).isNotNull()), [key.date], value, names, few_groups=True)
     bounded = df.join(F.broadcast(limits), key.date, "left")
     clipped = clip(F.col(value), F.col(f"{prefix}_p01"), F.col(f"{prefix}_p99"))
     return bounded.withColumn(f"{prefix}_winsor", clipped).select(*df.columns, *names, f"{prefix}_winsor")
@@ -66,17 +66,40 @@ def complete_rows(joined: DataFrame, params: LabelParams = DEFAULT_LABELS) -> Da
 
 
 def normalise_target(
-    complete: DataFrame, params: LabelParams = DEFAULT_LABELS, key: PanelKey = DEFAULT_KEY
+    complete: DataFrame,
+    params: LabelParams = DEFAULT_LABELS,
+    key: PanelKey = DEFAULT_KEY,
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
-    """Winsorised and standardised label. The statistics of a day come from the
-    date and the label alone and are joined back, so a day's wide rows are
-    never gathered."""
-    t = f"target_{params.horizon}d"
-    bounded = winsorize_by(complete, params.complete, t, key=key)
-    return zscore_by(bounded, f"{t}_winsor", f"{t}_cs_zscore", key)
+    """Winsorised and standardised label. Both statistics of a day come from
+    the date and the label alone, and the wide rows are joined to them once, so
+    a day's wide rows are never gathered. ``narrow`` may pass in a stored table
+    of these two columns where ``complete`` is costly to compute."""
+    key.check_date(complete)
+    t, value = f"target_{params.horizon}d", params.complete
+    names = {f"{t}_p01": LOW, f"{t}_p99": HIGH}
+    winsor = clip(F.col(value), F.col(f"{t}_p01"), F.col(f"{t}_p99"))
+    narrow = (complete if narrow is None else narrow).select(key.date, value).filter(F.col(key.date).isNotNull())
+    limits = exact_quantiles(narrow, [key.date], value, names, few_groups=True)
+    days = (
+        narrow.join(F.broadcast(limits), key.date, "left")
+        .withColumn("_winsor", winsor)
+        .groupBy(key.date, *names)
+        .agg(
+            F.avg("_winsor").alias(f"{t}_winsor_mean"),
+            F.stddev_samp("_winsor").alias(f"{t}_winsor_sd"),
+            F.count("*").alias("n_cross_section"),
+        )
+    )
+    z = standardise(F.col(f"{t}_winsor"), F.col(f"{t}_winsor_mean"), F.col(f"{t}_winsor_sd"))
+    added = [*names, f"{t}_winsor", f"{t}_winsor_mean", f"{t}_winsor_sd", "n_cross_section", f"{t}_cs_zscore"]
+    with_days = complete.join(F.broadcast(days), key.date, "left").withColumn(f"{t}_winsor", winsor)
+    return with_days.withColumn(f"{t}_cs_zscore", z).select(*complete.columns, *added)
 
 
 def model_panel(
     universe: DataFrame, labels: DataFrame, params: LabelParams = DEFAULT_LABELS, key: PanelKey = DEFAULT_KEY
 ) -> DataFrame:
+    """Stage tables of the universe and of the labels: their join is read for the
+    statistics of days, by two columns, and for the rows themselves."""
     return normalise_target(complete_rows(join_labels(universe, labels, params, key), params), params, key)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,13 @@ from daypanel.functions.quality import add_quality_flags, flag_columns
 from daypanel.functions.derived import add_distribution_features, add_ohlc_features, distribution_kind
 from daypanel.functions.rules import UNIVERSE_RULES
 from daypanel.operators import (
+    distinct,
     examples,
     groups,
     ingest,
     keys,
     labels,
+    ordering,
     profile,
     returns,
     sampling,
@@ -38,12 +41,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 KEY = ["permno", "dlycaldt"]
 ROW = [*KEY, "source_file", "raw_row_id"]
 RAW = PanelSchema.parse(fixture.RAW_VARIABLES)
+CSV = PanelSchema.parse(fixture.CSV_VARIABLES)
 # Limits that most candidates pass; one query has tight ones, where cutting is what it shows.
 PARAMS = universe.UniverseParams(
     min_price=500.0, min_adv20=40_000.0, min_history_obs=126, max_market_cap_rank=3000, max_adv20_rank=4000
 )
 TIGHT = replace(PARAMS, max_market_cap_rank=6, max_adv20_rank=7)
 SAMPLE_MB = 0.5
+SERIES_BUCKETS = 8
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -98,19 +103,156 @@ def joined(spark, sf):
 
 
 def model_panel(spark, sf):
-    return targets.normalise_target(targets.complete_rows(joined(spark, sf)))
+    # Rows are read for the statistics of days and once more as they are: a stage table, as in the pipeline, of the
+    # columns that the queries over it show.
+    complete = targets.complete_rows(joined(spark, sf))
+    shown = [*KEY, "year", "market_cap_rank", *labels.label_columns()]
+    return targets.normalise_target(sinks.stored(complete.select(*shown), "complete"))
 
 
 # ---- queries ----
 def raw_csv_scan(spark, sf):
     """Customers as CSV and back, everything as text."""
     path = sinks.scratch_path(spark, "raw-csv")
-    source = fixture.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    source = fixture.table(spark, sf, "customer")
+    source = source.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
     sinks.write_report(source, path)
     sinks.remove_at_end(spark, path)
     return readers.read_raw_csv(spark, path)
 
 
+def csv_records(spark, sf):
+    """Lines of different lengths as the pipeline reads them: from text files
+    to raw parts, which are scanned like any others."""
+    text, parts = sinks.scratch_path(spark, "csv-lines"), sinks.scratch_path(spark, "csv-parts")
+    fixture.csv_lines(spark, sf).write.text(text)
+    raw = readers.read_raw_csv(spark, text, CSV, header=False, record=ingest.BAD_RECORD)
+    sinks.write_parts(raw, parts, rows=1000)
+    for path in (text, parts):
+        sinks.remove_at_end(spark, path)
+    return readers.scan_raw(spark, parts).drop("source_file", "raw_row_id")
+
+
+def csv_quarantine(spark, sf):
+    return ingest.quarantine(csv_records(spark, sf), CSV)
+
+
+def csv_core(spark, sf):
+    return ingest.apply_types(ingest.readable(csv_records(spark, sf)), CSV)
+
+
+def raw_parts(spark, sf):
+    """Raw parts with names in capitals: rows by part, of a given size at most,
+    and their contents under names in lower case."""
+    path = sinks.scratch_path(spark, "raw-parts")
+    part = fixture.table(spark, sf, "part")
+    sinks.write_parts(part.repartition(2, "p_partkey").toDF(*[c.upper() for c in part.columns]), path, rows=300)
+    sinks.remove_at_end(spark, path)
+    scanned = readers.scan_raw(spark, path)
+    sizes = scanned.groupBy("source_file").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.struct((F.max("n") <= 300).alias("fits")).alias("s"))
+    return scanned.withColumn("s", largest.scalar()).select(
+        "p_partkey", "p_name", (F.col("raw_row_id") < 300).alias("row_below_300"), F.col("s.fits").alias("parts_fit")
+    )
+
+
+def replaced_year(spark, sf):
+    """A stage table after a rerun of one of its years."""
+    path = sinks.scratch_path(spark, "replaced")
+    rows = panel(spark, sf).select(*ROW, "year", "prc")
+    sinks.write_panel(rows, path)
+    sinks.remove_at_end(spark, path)
+    sinks.write_panel(rows.filter("year = 1995").withColumn("prc", F.col("prc") * 2), path, keep_others=True)
+    back = readers.scan_panel(spark, path)
+    return rounded(back.groupBy("year").agg(F.count("*").alias("n_rows"), F.sum("prc").alias("sum_prc")), 2)
+
+
+def series(spark, df, name):
+    path = sinks.scratch_path(spark, name)
+    table, seen = sinks.write_series(df, path, buckets=SERIES_BUCKETS)
+    sinks.remove_at_end(spark, path)
+    return table, seen
+
+
+def series_join(spark, sf):
+    """Base and labels dealt out once by security; their join and the history
+    of its rows read them where they lie."""
+    rows, _ = series(spark, universe.ready_rows(panel(spark, sf)).select(*KEY, "prc", "dlyvol", "dlycap", "dlyret"), "base")
+    made, _ = series(spark, label_table(spark, sf), "labels")
+    both = universe.add_history(targets.join_labels(rows, made), PARAMS)
+    return rounded(both.select(*KEY, "adv20", "hist_ret_obs_252", "trading_age_obs", "target_1d_raw", "target_5d_raw_complete_only"), 4)
+
+
+def counts_while_writing(spark, sf):
+    """Rows of stages, and rows that share their key, from the writes themselves."""
+    _, base_seen = series(spark, universe.ready_rows(panel(spark, sf)).select(*KEY, "prc"), "base")
+    path = sinks.scratch_path(spark, "labels")
+    same_day = F.count_if(F.col("fwd_date_1") == F.col("dlycaldt"))
+    labels_seen = sinks.write_panel(label_table(spark, sf).select(*KEY, "year", "fwd_date_1"), path, metrics={"repeated": same_day})
+    sinks.remove_at_end(spark, path)
+    seen = {"base": base_seen, "labels": labels_seen}
+    return spark.createDataFrame([(n, s["rows"], s["repeated"]) for n, s in seen.items()], "table_name string, n long, n_repeated long")
+
+
+def quantiles_from_days(spark, sf):
+    """Yearly quantiles by the sketches of days, stored once."""
+    rows = sinks.stored(panel(spark, sf).select("year", "dlycaldt", "prc"), "prices")
+    days = sinks.stored(ordering.quantile_sketches(rows, ["year", "dlycaldt"], "prc"), "sketches")
+    wanted = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    years = ordering.exact_quantiles(rows, ["year"], "prc", wanted, ordering.merged_sketches(days, ["year"]), few_groups=True)
+    return rounded(years, 4)
+
+
+def distinct_names(spark, sf):
+    """Securities by year and by exchange and year, from the bitmaps of days."""
+    days = distinct.id_bitmaps(panel(spark, sf), ["year", "primaryexch", "dlycaldt"], "permno")
+    by_both = distinct.distinct_ids(days, ["year", "primaryexch"], "n_names")
+    return by_both.unionByName(distinct.distinct_ids(days, ["year"], "n_names").withColumn("primaryexch", F.lit("all")))
+
+
+OWN_RULE = "dlyclose > 0.94 * dlyhigh OR dlyvol >= 48"
+
+
+def abnormal_by_group_own(spark, sf):
+    """By a predicate of the caller over several columns."""
+    return rounded(groups.abnormal_by_group(panel(spark, sf), "dlybid", OWN_RULE, top=None))
+
+
+def sample_abnormal_own(spark, sf):
+    return rounded(examples.abnormal_rows(panel(spark, sf), "dlybid", predicate=OWN_RULE).select(*ROW, "dlybid", "dlyvol"))
+
+
+def abnormal_by_group_universe(spark, sf):
+    """Over the universe, with its rules and a variable that only it has."""
+    uni = in_universe(spark, sf)
+    registered = groups.abnormal_by_group(uni, "disfacpr", top=None, registry=UNIVERSE_RULES)
+    own = groups.abnormal_by_group(uni, "market_cap_rank", "market_cap_rank <= 3 AND adv20_rank > 3", top=None, registry=UNIVERSE_RULES)
+    return rounded(registered.withColumn("variable", F.lit("disfacpr")).unionByName(own.withColumn("variable", F.lit("market_cap_rank"))))
+
+
+def abnormal_examples_universe(spark, sf):
+    return profile.abnormal_examples(sinks.stored(in_universe(spark, sf), "universe"), registry=UNIVERSE_RULES)
+
+
+def sample_matches(spark, sf):
+    """How many rows stand behind the examples."""
+    rows = panel(spark, sf)
+    found = [
+        examples.matches(rows, F.expr(c)).withColumn("condition", F.lit(c))
+        for c in ("disdivamt IS NULL", "disdivamt < 0", "dlyvol > 49 AND dlyret IS NULL AND dlyfacprc < 1")
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def duplicate_rows_wide(spark, sf):
+    """Every column of the rows that share their key."""
+    return rounded(keys.duplicate_rows(panel(spark, sf)), 4)
+
+
+def long_labels(horizon: int) -> Query:
+    return lambda spark, sf: rounded(labels.folded_labels(core_dedup(spark, sf), labels.LabelParams(horizon=horizon)))
+
+
 def raw_scan_with_provenance(spark, sf):
     scanned = readers.scan_raw(spark, f"{sf}/part.parquet")
     return scanned.select("source_file", "raw_row_id", "p_partkey", "p_name")
@@ -152,7 +294,7 @@ def cast_failed_columns(spark, sf):
 
 
 def cast_quarantine(spark, sf):
-    return ingest.quarantine(fixture.raw_text(spark, sf), RAW).drop("s_char")
+    return ingest.quarantine(fixture.raw_text(spark, sf), RAW)
 
 
 def cast_quarantine_sample(spark, sf):
@@ -476,6 +618,22 @@ STEPS = range(1, 6)
 
 QUERIES: dict[str, Query] = {
     "raw_csv_scan": raw_csv_scan,
+    "csv_quarantine": csv_quarantine,
+    "csv_core": csv_core,
+    "raw_parts": raw_parts,
+    "replaced_year": replaced_year,
+    "series_join": series_join,
+    "counts_while_writing": counts_while_writing,
+    "quantiles_from_days": quantiles_from_days,
+    "distinct_names": distinct_names,
+    "abnormal_by_group_own": abnormal_by_group_own,
+    "abnormal_by_group_universe": abnormal_by_group_universe,
+    "abnormal_examples_universe": abnormal_examples_universe,
+    "sample_abnormal_own": sample_abnormal_own,
+    "sample_matches": sample_matches,
+    "duplicate_rows_wide": duplicate_rows_wide,
+    "label_21d": long_labels(21),
+    "label_63d": long_labels(63),
     "raw_scan_with_provenance": raw_scan_with_provenance,
     "partitioned_scan": partitioned_scan,
     "report_csv_roundtrip": report_csv_roundtrip,
@@ -584,6 +742,9 @@ QUERIES: dict[str, Query] = {
     "sample_size_summary": sample_size_summary,
     "stage_row_counts": stage_row_counts,
     "rolling_return": lambda spark, sf: rounded(trailing(spark, sf).select(*KEY, "ret_5d", "ret_21d")),
+    "rolling_return_63d": lambda spark, sf: rounded(
+        returns.add_trailing_returns(core_dedup(spark, sf).select(*KEY, "dlyret"), (63,)).select(*KEY, "ret_63d")
+    ),
     "rolling_volatility": lambda spark, sf: rounded(trailing(spark, sf).select(*KEY, "vol_21d")),
     "ohlc_valid_features": lambda spark, sf: rounded(
         add_ohlc_features(panel(spark, sf)).select(*ROW, "ohlc_usable_flag", "intraday_ret_valid", "intraday_range_valid")

@@ -1,14 +1,13 @@
 """The catalog's queries as plain SQL for an independent engine.
 
 Written from the definitions, over the same derived panel; nothing is shared
-with the Spark side but the two SELECTs of ``sources.fixture``. Where a
-dictionary or registry is needed (profiles, examples) the plain form is spelled
-out: one SELECT per variable and rule.
+with the Spark side but the SELECTs of ``sources.fixture`` and the names and
+types of the dictionary. Rules are written out here by hand; profiles and
+examples are one SELECT per variable and rule.
 """
 
 from __future__ import annotations
 
-from daypanel.functions.rules import CORE_RULES, OHLC_RULE_NAME, UNIVERSE_RULES
 from daypanel.schema import DAILY_STOCK
 from daypanel.sources import fixture
 
@@ -39,6 +38,48 @@ def bit(condition: str) -> str:
     return f"CAST(coalesce({condition}, false) AS INTEGER)"
 
 
+# ---- the rules over one variable ----
+OHLC_RULE_NAME = "price_ohlc_consistency"
+RULES = {
+    "permno": "permno <= 0",
+    "permco": "permco <= 0",
+    "dlycaldt": "dlycaldt < DATE '1900-01-01' OR dlycaldt > DATE '2100-01-01'",
+    "disexdt": "disexdt < DATE '1900-01-01' OR disexdt > DATE '2100-01-01'",
+    "dlyprc": "abs(dlyprc) = 0 OR abs(dlyprc) > 100000",
+    "prc": "prc <= 0 OR prc > 100000",
+    "dlyopen": "dlyopen <= 0 OR dlyopen > 100000",
+    "dlyclose": "dlyclose <= 0 OR dlyclose > 100000",
+    "dlyhigh": "dlyhigh <= 0 OR dlyhigh > 100000",
+    "dlylow": "dlylow <= 0 OR dlylow > 100000",
+    "dlybid": "dlybid < 0 OR dlybid > 100000",
+    "dlyask": "dlyask < 0 OR dlyask > 100000",
+    "dlyvol": "dlyvol < 0",
+    "dlynumtrd": "dlynumtrd < 0",
+    "dlymmcnt": "dlymmcnt < 0",
+    "dlyprcvol": "dlyprcvol < 0",
+    "shrout": "shrout <= 0",
+    "dlycap": "dlycap <= 0",
+    "dlyret": "dlyret < -1 OR dlyret > 20",
+    "dlyretx": "dlyretx < -1 OR dlyretx > 20",
+    "dlyreti": "dlyreti < -1 OR dlyreti > 20",
+    "dlyfacprc": "dlyfacprc <= 0",
+    "disdivamt": "disdivamt < 0",
+    "disfacpr": "disfacpr < 0",
+    "disfacshr": "disfacshr < 0",
+    "primaryexch": "length(primaryexch) > 10",
+    "ticker": "length(ticker) > 20",
+}
+UNIVERSE_RULES = RULES | {
+    "dollar_volume": "dollar_volume <= 0",
+    "dollar_volume_for_universe": "dollar_volume_for_universe <= 0",
+    "adv20": "adv20 <= 0",
+    "avg_volume_20d": "avg_volume_20d <= 0",
+    "market_cap_rank": "market_cap_rank <= 0",
+    "adv20_rank": "adv20_rank <= 0",
+    "trading_age_obs": "trading_age_obs <= 0",
+    "hist_ret_obs_252": "hist_ret_obs_252 < 0",
+}
+
 # ---- the panel and its flags ----
 PANEL = fixture.for_duckdb(fixture.PANEL_SELECT.format(lineitem="lineitem"))
 RAW = fixture.for_duckdb(fixture.RAW_SELECT.format(part="part"))
@@ -51,6 +92,11 @@ PANEL_COLUMNS = [
     "dlymmcnt", "exchangetier", "delactiontype", "shareclass", "securityactiveflg",
 ]
 
+CSV_LINES = """WITH c AS (SELECT p_partkey AS k, replace(p_name, ' ', ', ') AS s_name, p_size,
+  p_partkey || ',"' || replace(p_name, ' ', ', ') || '",' || p_size AS line,
+  CASE WHEN p_partkey % 11 = 4 THEN 'long' WHEN p_partkey % 7 = 3 THEN 'short' WHEN p_partkey % 5 = 0 THEN 'soon'
+       ELSE 'whole' END AS kind FROM part)"""
+
 OHLC_GAP = "dlyopen IS NULL OR dlyhigh IS NULL OR dlylow IS NULL OR dlyclose IS NULL"
 OHLC_BAD = f"""NOT ({OHLC_GAP}) AND (dlyhigh < dlylow OR dlyopen > dlyhigh OR dlyopen < dlylow
   OR dlyclose > dlyhigh OR dlyclose < dlylow)"""
@@ -374,7 +420,7 @@ def profile_line(source, name, kind, rule, missing=True):
 def profile_core() -> str:
     kinds = {n: t for n, t in DAILY_STOCK if n in PANEL_COLUMNS} | {"dlyprc_negative_flag": "bool", "prc": "decimal"}
     lines = [
-        profile_line("panel", n, t, CORE_RULES[n].predicate if n in CORE_RULES else None) for n, t in kinds.items()
+        profile_line("panel", n, t, RULES.get(n)) for n, t in kinds.items()
     ]
     return "\nUNION ALL\n".join(lines)
 
@@ -386,31 +432,29 @@ def profile_universe() -> str:
              "universe_max_market_cap_rank", "universe_max_adv20_rank"]
     names = [*PANEL_COLUMNS, *ALL_FLAGS, *CLEAN, *DERIVED, *added]
     lines = [
-        profile_line("universe", n, None, UNIVERSE_RULES[n].predicate if n in UNIVERSE_RULES else None) for n in names
+        profile_line("universe", n, None, UNIVERSE_RULES.get(n)) for n in names
     ]
     lines.append(profile_line("universe", OHLC_RULE_NAME, None, OHLC_BAD, missing=False))
     return "\nUNION ALL\n".join(lines)
 
 
 DOUBLES = {"dlyprc", "prc", "dlyopen", "dlyhigh", "dlylow", "dlyclose", "dlybid", "dlyask", "dlyvol", "dlycap",
-           "dlyprcvol", "dlyret", "disdivamt", "disfacpr", "disfacshr", "dlyfacprc", "dlyretx", "dlyreti"}
+           "dlyprcvol", "dlyret", "disdivamt", "disfacpr", "disfacshr", "dlyfacprc", "dlyretx", "dlyreti",
+           "dollar_volume", "dollar_volume_for_universe", "adv20", "avg_volume_20d"}
 
 
 def as_text(c: str) -> str:
     return f"CAST(CAST({c} AS DECIMAL(38, 6)) AS VARCHAR)" if c in DOUBLES else f"CAST({c} AS VARCHAR)"
 
 
-def evidence() -> str:
+def evidence(source: str = "panel", rules: dict[str, str] = RULES) -> str:
     parts = []
-    for rule in CORE_RULES.values():
-        if not set(rule.columns) <= set(PANEL_COLUMNS):
-            continue
-        if rule.cross_column:
+    for name, rule in {**rules, OHLC_RULE_NAME: OHLC_BAD}.items():
+        value = as_text(name)
+        if name == OHLC_RULE_NAME:
             value = " || ', ' || ".join(f"'{n}=' || {as_text('dly' + n)}" for n in ("open", "high", "low", "close"))
-        else:
-            value = as_text(rule.variable)
-        parts.append(f"""SELECT '{rule.variable}' AS variable, permno, dlycaldt, ticker, {value} AS value FROM
-          (SELECT * FROM panel WHERE {rule.predicate} ORDER BY dlycaldt, permno, source_file, raw_row_id LIMIT 20)""")
+        parts.append(f"""SELECT '{name}' AS variable, permno, dlycaldt, ticker, {value} AS value FROM
+          (SELECT * FROM {source} WHERE {rule} ORDER BY dlycaldt, permno, source_file, raw_row_id LIMIT 20)""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -431,6 +475,37 @@ SAMPLE_SIZE = f"""(SELECT CAST(floor(524288e0 / avg(bytes)) AS BIGINT)
 SAMPLED = f"SELECT {cols(SAMPLE_COLUMNS)} FROM panel ORDER BY {DRAW} LIMIT {SAMPLE_SIZE}"
 
 
+OWN_RULE = "dlybid IS NOT NULL AND (dlyclose > 0.94e0 * dlyhigh OR dlyvol >= 48)"
+CODES = ["NT", "NS", "MP", "RA", "DM", "GP", "DG", "DP", "NO_FLAG", "NO_FUTURE_ROW"]
+
+
+def long_labels(h: int) -> str:
+    """Labels over the next ``h`` rows from one list of them a row."""
+    zero = "CASE WHEN pos = 1 THEN 0e0 ELSE wealth - 1 END"
+    delisted = "flags[pos] IN ('DM', 'DG', 'DP')"
+    codes = ", ".join(f"'{c}'" for c in CODES)
+    return f"""SELECT permno, dlycaldt, {r('later[1].r', 6, 'target_1d_raw')},
+        {r('CASE WHEN pos IS NULL THEN wealth - 1 END', 6, f'target_{h}d_raw_complete_only')}, {r(zero, 6, f'bt_{h}d_return_zero_after_missing')},
+        {r(f'CASE WHEN {delisted} THEN CASE WHEN pos = 1 THEN -0.3e0 ELSE wealth * 0.7e0 - 1 END ELSE {zero} END', 6, f'bt_{h}d_return_delist_stress_30')},
+        {r(f'CASE WHEN {delisted} THEN -1e0 ELSE {zero} END', 6, f'bt_{h}d_return_delist_stress_100')},
+        (pos IS NOT NULL)::INTEGER AS target_has_missing_return, pos::INTEGER AS target_first_missing_return_pos, flags[pos] AS target_first_missing_return_flag,
+        array_to_string(list_filter([{codes}], lambda c: list_contains(flags, c)), '|') AS target_missing_return_flag_set,
+        list_has_any(flags, ['DM', 'DG', 'DP'])::INTEGER AS target_has_delisting_missing_flag,
+        len(list_filter(flags, lambda f: f IS NULL))::INTEGER AS target_n_valid_forward_returns, CASE WHEN len(later) = {h} THEN later[{h}].day END AS fwd_date_{h}
+      FROM (SELECT *, list_reduce(list_prepend(1e0, list_transform(later[1:coalesce(pos - 1, {h})], lambda x: 1 + x.r)), lambda a, b: a * b) AS wealth
+        FROM (SELECT *, nullif(list_position(list_transform(flags, lambda f: f IS NOT NULL), true), 0) AS pos
+          FROM (SELECT *, list_concat(list_transform(later, lambda x: CASE WHEN x.r IS NULL THEN coalesce(x.f, 'NO_FLAG') END),
+                                      list_transform(range({h} - len(later)), lambda i: 'NO_FUTURE_ROW')) AS flags
+            FROM (SELECT permno, dlycaldt, coalesce(list({{'day': dlycaldt, 'r': dlyret, 'f': dlyretmissflg}})
+                    OVER (PARTITION BY permno ORDER BY dlycaldt ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING), []) AS later FROM core_dedup))))"""
+
+
+def matching(condition: str) -> str:
+    met = tally(condition)
+    return f"""SELECT {met} AS n_matching, count(*) AS n_total, least({met}, 20) AS n_shown, {met} > 20 AS drawn,
+      '{condition}' AS condition FROM panel"""
+
+
 def label_measures() -> str:
     gone = "target_5d_raw_complete_only IS NULL"
     return f"""{tally(gone)} AS n_missing_target_5d_complete, {r(share(gone), 6, 'missing_target_5d_complete_rate')},
@@ -480,7 +555,45 @@ T = "target_5d_raw_complete_only"
 
 ORACLE: dict[str, str] = {
     "raw_csv_scan": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
-                    "c_mktsegment FROM customer",
+                    "CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer",
+    "csv_quarantine": f"""{CSV_LINES} SELECT CAST(k AS VARCHAR) AS raw_key, s_name, CAST(p_size AS VARCHAR) AS s_size,
+        CASE kind WHEN 'long' THEN '2019-01-02' WHEN 'soon' THEN 'soon' END AS s_date,
+        CASE kind WHEN 'long' THEN line || ',2019-01-02,surplus' WHEN 'short' THEN line END AS bad_record,
+        false AS raw_key_cast_failed, false AS s_size_cast_failed, kind = 'soon' AS s_date_cast_failed,
+        CASE kind WHEN 'soon' THEN 's_date' ELSE '' END AS failed_columns,
+        CASE kind WHEN 'long' THEN 'too_many_fields' WHEN 'short' THEN 'too_few_fields' END AS record_fault
+        FROM c WHERE kind <> 'whole'""",
+    "csv_core": f"""{CSV_LINES} SELECT k AS raw_key, s_name, CAST(p_size AS BIGINT) AS s_size,
+        CASE kind WHEN 'whole' THEN DATE '2019-01-02' END AS s_date FROM c WHERE kind <> 'long'""",
+    "replaced_year": over("panel", f"""SELECT year, count(*) AS n_rows,
+        {r('sum(CASE WHEN year = 1995 THEN 2 * prc ELSE prc END)', 2, 'sum_prc')} FROM panel GROUP BY year"""),
+    "series_join": over(["base", "labels"], f"""SELECT permno, dlycaldt,
+        {r('avg(prc * dlyvol) OVER (PARTITION BY permno ORDER BY dlycaldt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)', 4, 'adv20')},
+        count(dlyret) OVER (PARTITION BY permno ORDER BY dlycaldt ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS hist_ret_obs_252,
+        count(*) OVER (PARTITION BY permno ORDER BY dlycaldt) AS trading_age_obs,
+        {r('l.target_1d_raw', 4, 'target_1d_raw')}, {r(f'l.{T}', 4, T)}
+        FROM (SELECT permno, dlycaldt, prc, dlyvol, dlyret FROM base) b LEFT JOIN labels l USING (permno, dlycaldt)""".replace("dlyret)", "b.dlyret)").replace("prc * dlyvol", "b.prc * b.dlyvol")),
+    "counts_while_writing": over(["base", "labels"], """SELECT 'base' AS table_name, count(*) AS n, 0::BIGINT AS n_repeated FROM base
+        UNION ALL SELECT 'labels', count(*), 0::BIGINT FROM labels"""),
+    "quantiles_from_days": over("panel", "SELECT year, " + cols(
+        r(f"quantile_cont(prc, {p / 100})", 4, f"p{p:02d}") for p in (5, 50, 95)) + " FROM panel GROUP BY year"),
+    "distinct_names": over("panel", """SELECT year, primaryexch, count(DISTINCT permno) AS n_names FROM panel GROUP BY ALL
+        UNION ALL SELECT year, 'all', count(DISTINCT permno) FROM panel GROUP BY year"""),
+    "abnormal_by_group_own": over("panel", by_group("panel", OWN_RULE, "abnormal").removesuffix("LIMIT 100")),
+    "abnormal_by_group_universe": over("universe", " UNION ALL ".join(
+        f"SELECT *, '{v}' AS variable FROM ({by_group('universe', c, 'abnormal').removesuffix('LIMIT 100')})"
+        for v, c in (("disfacpr", "disfacpr < 0"), ("market_cap_rank", "market_cap_rank <= 3 AND adv20_rank > 3")))),
+    "abnormal_examples_universe": over("universe", evidence("universe", UNIVERSE_RULES)),
+    "sample_abnormal_own": over("panel", drawn("panel", OWN_RULE, 20, "dlybid").replace(" FROM (SELECT", ", dlyvol FROM (SELECT", 1)),
+    "sample_matches": over("panel", " UNION ALL ".join(
+        map(matching, ("disdivamt IS NULL", "disdivamt < 0", "dlyvol > 49 AND dlyret IS NULL AND dlyfacprc < 1")))),
+    "duplicate_rows_wide": over("panel", f"""SELECT {cols(r(c, 4) if c in DOUBLES else c for c in PANEL_COLUMNS)}
+        FROM (SELECT *, count(*) OVER (PARTITION BY permno, dlycaldt) AS n FROM panel) WHERE n > 1
+        ORDER BY dlycaldt, permno, raw_row_id LIMIT 500"""),
+    "label_21d": over("core_dedup", long_labels(21)),
+    "label_63d": over("core_dedup", long_labels(63)),
+    "rolling_return_63d": over("core_dedup", f"SELECT permno, dlycaldt, {r(trailing(63), 6, 'ret_63d')} {TRAILING}"),
+    "raw_parts": "SELECT p_partkey, p_name, true AS row_below_300, true AS parts_fit FROM part",
     "raw_scan_with_provenance": "SELECT 'part.parquet' AS source_file, row_number() OVER () - 1 AS raw_row_id, p_partkey, "
                                 "p_name FROM part",
     "partitioned_scan": over("panel", f"SELECT year, count(*) AS n_rows, CAST(sum(raw_row_id) AS BIGINT) AS sum_row_id, "
@@ -491,7 +604,7 @@ ORACLE: dict[str, str] = {
         for c, t in CAST_AS.items()) + f", {CLEANED['s_char']} AS s_char FROM raw"),
     "cast_failure_flags": over("raw", f"SELECT raw_row_id, {FAILED_FLAGS} FROM raw"),
     "cast_failed_columns": over("raw", f"SELECT raw_row_id, {FAILED_LIST} AS failed_columns FROM raw"),
-    "cast_quarantine": over("raw", f"SELECT raw_row_id, s_int, s_dec, s_date, {FAILED_FLAGS}, {FAILED_LIST} AS "
+    "cast_quarantine": over("raw", f"SELECT raw_row_id, s_int, s_dec, s_date, s_char, {FAILED_FLAGS}, {FAILED_LIST} AS "
                                    f"failed_columns FROM raw WHERE {ANY_FAILED}"),
     "cast_quarantine_sample": over("raw", f"SELECT raw_row_id, {FAILED_LIST} AS failed_columns FROM raw "
                                           f"WHERE {ANY_FAILED} ORDER BY raw_row_id LIMIT 200"),

@@ -7,9 +7,10 @@ one stage at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from daypanel.functions.quality import any_of
@@ -19,6 +20,10 @@ from daypanel.schema import DAILY_STOCK, DEFAULT_KEY, PanelKey, PanelSchema
 from daypanel.sources import readers, sinks
 
 
+#: stages with one row per security and day, which are read by security
+SERIES = ("base", "core_dedup", "universe", "labels")
+
+
 @dataclass
 class PanelPipeline:
     """Stage tables live under ``root``; reports under ``root/reports``."""
@@ -27,6 +32,8 @@ class PanelPipeline:
     root: str
     schema: PanelSchema = DAILY_STOCK
     key: PanelKey = DEFAULT_KEY
+    #: into how many buckets the tables of series are dealt, None for directories of years
+    buckets: int | None = None
     universe_params: universe.UniverseParams = field(default_factory=universe.UniverseParams)
     label_params: labels.LabelParams = field(default_factory=labels.LabelParams)
 
@@ -35,25 +42,45 @@ class PanelPipeline:
 
     def table(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(self.path(f"schemas/{name}")).schema
+        if self.buckets and name in SERIES:
+            return readers.scan_series(self.spark, self.path(name), schema, self.key, self.buckets)
         return readers.scan_panel(self.spark, self.path(name), schema)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """The schema is kept beside the table: a stage without rows, such as
-        terminal events in a quiet year, has no file to read it from."""
-        sinks.write_panel(df, self.path(name))
+    def save(self, df: DataFrame, name: str, metrics: dict[str, Column] | None = None) -> DataFrame:
+        """The schema and the number of rows are kept beside the table: a stage
+        without rows, such as terminal events in a quiet year, has no file to
+        read the one from, and the other was counted as the rows were written.
+        A stage whose ``repeated`` rows are counted must have none."""
+        if self.buckets and name in SERIES:
+            _, seen = sinks.write_series(df, self.path(name), self.key, self.buckets, metrics)
+        else:
+            seen = sinks.write_panel(df, self.path(name), metrics=metrics)
+        if seen.get("repeated"):
+            raise sinks.RepeatedKeys(f"{name}: {seen['repeated']} rows share {self.key.entity} and {self.key.date} with the next")
         self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(self.path(f"schemas/{name}"))
+        self.count(name, seen["rows"])
         return self.table(name)
 
+    def count(self, name: str, rows: int) -> None:
+        counted = self.spark.createDataFrame([(name, rows)], "table_name string, n long")
+        counted.write.mode("overwrite").parquet(self.path(f"counts/{name}"))
+
+    def counts(self, names: Iterable[str]) -> DataFrame:
+        """Rows of the stages, as counted while they were written."""
+        return self.spark.read.parquet(*[self.path(f"counts/{n}") for n in names])
+
     def report(self, df: DataFrame, name: str, single_file: bool = True) -> None:
         sinks.write_report(df, self.path(f"reports/{name}"), single_file)
 
     def ingest_csv(self, csv_path: str) -> None:
-        sinks.write_parts(readers.read_raw_csv(self.spark, csv_path), self.path("raw"))
+        raw = readers.read_raw_csv(self.spark, csv_path, record=ingest.BAD_RECORD)
+        sinks.write_parts(raw, self.path("raw"))
 
     def build_core(self) -> DataFrame:
-        """Typed table. Rows with unreadable values stay in it, with NULL, and
-        are shown whole in a table of their own; rows without a key belong to
-        no series and move to ``core_without_key``."""
+        """Typed table. Rows with unreadable values stay in it, with NULL, and so
+        do records that end early; both are shown whole in a table of their
+        own, which alone holds records with too many fields. Rows without a key
+        belong to no series and move to ``core_without_key``."""
         raw = readers.scan_raw(self.spark, self.path("raw"))
         failures = ingest.quarantine(raw, self.schema)
         failures.write.mode("overwrite").option("compression", "zstd").parquet(self.path("cast_failures"))
@@ -62,7 +89,10 @@ class PanelPipeline:
         )
         core = ingest.daily_core(raw, self.schema)
         keyless = any_of(F.col(c).isNull() for c in self.key.pair)
-        core.filter(keyless).write.mode("overwrite").parquet(self.path("core_without_key"))
+        seen = Observation()
+        apart = core.filter(keyless).observe(seen, F.count(F.lit(1)).alias("rows"))
+        apart.write.mode("overwrite").parquet(self.path("core_without_key"))
+        self.count("core_without_key", seen.get["rows"])
         return self.save(core.filter(~keyless), "core")
 
     def build_universe(self) -> DataFrame:
@@ -74,7 +104,10 @@ class PanelPipeline:
 
     def build_labels(self) -> DataFrame:
         dedup = self.save(keys.dedup_first(self.table("core"), self.key), "core_dedup")
-        return self.save(labels.forward_labels(dedup, self.label_params, self.key), "labels")
+        made = labels.forward_labels(dedup, self.label_params, self.key)
+        # The next row of a security is of a later day, or its day has two rows.
+        same_day = F.count_if(F.col("fwd_date_1") == F.col(self.key.date))
+        return self.save(made, "labels", None if self.buckets else {"repeated": same_day})
 
     def build_panel(self) -> DataFrame:
         panel = targets.model_panel(self.table("universe"), self.table("labels"), self.label_params, self.key)
@@ -100,9 +133,8 @@ class PanelPipeline:
         """The diagnostics that go with the stages."""
         core, prepared, base = self.table("core"), self.table("prepared"), self.table("base")
         uni, dedup, lab, panel = (self.table(n) for n in ("universe", "core_dedup", "labels", "model_panel"))
-        stages = {n: self.table(n) for n in ("core", "prepared", "base", "terminal_events")}
         # Rows without a key are kept beside the core table, so the counts add up to what was read.
-        stages["core_without_key"] = self.spark.read.parquet(self.path("core_without_key"))
+        stages = ("core", "core_without_key", "prepared", "base", "terminal_events", "core_dedup", "universe", "labels", "model_panel")
         joined = targets.join_labels(uni, lab, self.label_params, self.key)
         p = self.label_params
         small = {
@@ -118,7 +150,7 @@ class PanelPipeline:
             "missing_return_status_with_flag": summaries.missing_return_status(dedup, True),
             "missing_return_status_without_flag": summaries.missing_return_status(dedup, False),
             "missing_return_flags": summaries.missing_return_flags(dedup),
-            "stage_rows": summaries.stage_row_counts(stages),
+            "stage_rows": self.counts(stages),
             "base_latest": summaries.latest_rows(base, summaries.BASE_PREVIEW, 20, self.key.entity),
             "universe_profile": profile.profile(uni, registry=UNIVERSE_RULES),
             "universe_abnormal_examples": profile.abnormal_examples(uni, registry=UNIVERSE_RULES, key=self.key),
@@ -128,7 +160,6 @@ class PanelPipeline:
             "universe_ohlc_by_price_flag": examples.ohlc_missing_by_price_flag(uni),
             "universe_ohlc_missing": examples.ohlc_missing_sample(uni),
             "universe_spread_reasons": examples.spread_missing_reasons(uni),
-            "universe_invalid_quotes": examples.invalid_quote_rows(uni, None),
             "universe_return_flags": summaries.retained_return_flags(uni),
             "labels": summaries.label_summary(lab, p, self.key),
             "labels_yearly": summaries.label_yearly_summary(lab, p),
@@ -152,6 +183,7 @@ class PanelPipeline:
             "missing_return_without_flag_rows": examples.listing(dedup, examples.return_without_flag()),
             "universe_open_only_missing": examples.listing(uni, examples.open_only_missing()),
             "universe_ohlc_inconsistent": examples.ohlc_inconsistent_rows(uni),
+            "universe_invalid_quotes": examples.invalid_quote_rows(uni, None),
             "universe_quote_missing": examples.listing(uni, examples.quote_missing()),
             "universe_return_flag_rows": summaries.retained_return_flag_rows(uni),
         }

@@ -7,8 +7,11 @@ from pyspark.sql import SparkSession
 # The JIT does not compile methods above 8,000 bytes of bytecode. A projection
 # of a hundred flags exceeds that as one fused method; below this limit Spark
 # splits it into small methods instead.
+# Tables dealt out by security serve joins by security and day as well; by
+# default Spark deals both sides of such a join again, by both columns.
 WIDE_PANEL_SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

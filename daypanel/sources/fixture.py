@@ -86,6 +86,19 @@ SELECT
 FROM {part}
 """
 
+# Lines of a CSV file without a header: every eleventh has a field too many, every seventh of the others lacks its last
+# one. The name holds the separator, within quotes.
+CSV_SELECT = """
+SELECT
+  concat(CAST(p_partkey AS STRING), ',"', replace(p_name, ' ', ', '), '",', CAST(p_size AS STRING), CASE
+    WHEN p_partkey % 11 = 4 THEN ',2019-01-02,surplus'
+    WHEN p_partkey % 7 = 3 THEN ''
+    WHEN p_partkey % 5 = 0 THEN ',soon'
+    ELSE ',2019/1/2' END) AS value
+FROM {part}
+"""
+CSV_VARIABLES = "raw_key:int s_name:char s_size:int s_date:date"
+
 RAW_VARIABLES = "s_int:int s_dec:decimal s_date:date s_char:char"
 
 
@@ -102,5 +115,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PANEL_SELECT, lineitem=table(spark, sf_dir, "lineitem"))
 
 
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CSV_SELECT, part=table(spark, sf_dir, "part"))
+
+
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_SELECT, part=table(spark, sf_dir, "part"))

@@ -4,25 +4,37 @@ from __future__ import annotations
 
 import posixpath
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from daypanel.operators.ingest import normalise_names
-from daypanel.schema import PanelSchema
+from daypanel.schema import PanelKey, PanelSchema
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: PanelSchema | None = None, multi_line: bool = False
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: PanelSchema | None = None,
+    multi_line: bool = False,
+    header: bool = True,
+    record: str | None = None,
 ) -> DataFrame:
     """Every column as text: inference would damage identifiers. With a schema
-    the header is not even read to find the names. A quote within quotes is
-    doubled and a backslash is a character like any other. ``multi_line`` lets
-    quoted values hold line breaks; each file is then read by one task."""
+    the header is not even read to find the names, and files may have none. A
+    quote within quotes is doubled and a backslash is a character like any
+    other. ``multi_line`` lets quoted values hold line breaks; each file is then
+    read by one task.
+
+    ``record`` names a column for the whole text of records whose number of
+    fields is not that of the table, NULL for all others. Without it such
+    records pass unnoticed, filled with NULL or cut.
+    """
     reader = (
-        spark.read.option("header", True)
+        spark.read.option("header", header)
         .option("inferSchema", False)
         .option("quote", '"')
         .option("escape", '"')
@@ -30,9 +42,20 @@ def read_raw_csv(
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )
+    paths = path if isinstance(path, str) else list(path)
     if schema is not None:
-        reader = reader.schema(schema.raw_struct()).option("enforceSchema", False)
-    return reader.csv(path if isinstance(path, str) else list(path))
+        columns = schema.raw_struct()
+        reader = reader.option("enforceSchema", False)
+    elif record is not None:
+        columns = reader.csv(paths).schema
+    else:
+        return reader.csv(paths)
+    if record is None:
+        return reader.schema(columns).csv(paths)
+    if record in columns.names:
+        raise ValueError(f"the table has a column {record} already")
+    declared = StructType([*columns.fields, StructField(record, StringType())])
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record).schema(declared).csv(paths)
 
 
 def scan_raw(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -62,3 +85,14 @@ def scan_panel(spark: SparkSession, path: str, schema: StructType | None = None)
     """A stage table; ``year`` comes from the directories and prunes them."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
+
+
+def scan_series(spark: SparkSession, path: str, schema: StructType, key: PanelKey, buckets: int) -> DataFrame:
+    """A table that ``write_series`` dealt out, in another session."""
+    name = f"series_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key.entity}`) "
+        f"SORTED BY (`{key.entity}`, `{key.date}`) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from daypanel.schema import DEFAULT_KEY, PanelKey
+
 PART_ROWS = 300_000
+SERIES_BUCKETS = 200
+#: the directory of rows without a year
+NO_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_parts(df: DataFrame, path: str, rows: int = PART_ROWS) -> None:
@@ -15,21 +21,95 @@ def write_parts(df: DataFrame, path: str, rows: int = PART_ROWS) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
 
 
-def write_panel(df: DataFrame, path: str, by: str = "year", rows_per_file: int = 0) -> None:
-    """Replace a stage table, one directory per year.
+class RepeatedKeys(ValueError):
+    """A stage that should have one row per (entity, date) has more."""
+
+
+def write_panel(
+    df: DataFrame,
+    path: str,
+    by: str = "year",
+    rows_per_file: int = 0,
+    keep_others: bool = False,
+    metrics: Mapping[str, Column] | None = None,
+) -> dict:
+    """Replace a stage table, one directory per year, and return what was seen
+    on the way: ``rows`` and the given aggregates, counted as rows are written.
 
     REBALANCE gathers a year's rows for few files, yet lets the adaptive
     planner split a year that is large and merge years that are small; a plain
     repartition would write a large year from one task.
+
+    Years are staged and moved into place when all of them are written, so a
+    write that fails leaves the table as it was. With ``keep_others`` only the
+    years of ``df`` are replaced and no file of another one is touched; else
+    years that ``df`` does not have are removed at the end.
     """
+    seen = Observation()
+    rows = df.hint("rebalance", F.col(by)).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.collect_set(F.col(by).cast("string")).alias("_years"),
+        F.count_if(F.col(by).isNull()).alias("_no_year"), *[c.alias(n) for n, c in (metrics or {}).items()],
+    )
     (
-        df.hint("rebalance", F.col(by))
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(by)
         .option("compression", "zstd")
         .option("maxRecordsPerFile", rows_per_file)
         .parquet(path)
     )
+    found = dict(seen.get)
+    years = {f"{by}={y}" for y in found.pop("_years")} | ({f"{by}={NO_PARTITION}"} if found.pop("_no_year") else set())
+    if not keep_others:
+        _remove_others(df.sparkSession, path, by, years)
+    return found
+
+
+def _remove_others(spark: SparkSession, path: str, by: str, kept: set[str]) -> None:
+    """Directories of years that are not among ``kept``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return
+    for entry in files.listStatus(folder):
+        name = entry.getPath().getName()
+        if name.startswith(f"{by}=") and name not in kept:
+            files.delete(entry.getPath(), True)
+
+
+def write_series(
+    df: DataFrame, path: str, key: PanelKey = DEFAULT_KEY, buckets: int = SERIES_BUCKETS, metrics: Mapping[str, Column] | None = None
+) -> tuple[DataFrame, dict]:
+    """Deal a stage table out once: every security's rows lie in one of
+    ``buckets`` files, by day. Whatever reads the table by security, or by
+    security and day, finds them there and shuffles nothing: windows, first
+    rows, joins with other tables dealt into as many buckets (with the settings
+    of ``session.tune``).
+
+    Returns the table and what was seen while it was written. A security has at
+    most one row a day, which bounds a bucket; the write compares each row with
+    the one before it and raises ``RepeatedKeys`` where two share their day.
+    """
+    key.check_date(df)
+    seen, series = Observation(), Window.partitionBy(key.entity).orderBy(key.date)
+    dealt = df.repartition(buckets, F.col(key.entity)).withColumn("_before", F.lag(key.date).over(series))
+    watched = dealt.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_before") == F.col(key.date)).alias("repeated"),
+        *[c.alias(n) for n, c in (metrics or {}).items()],
+    ).drop("_before")
+    name = f"series_{uuid.uuid4().hex}"
+    (
+        watched.write.mode("overwrite")
+        .bucketBy(buckets, key.entity)
+        .sortBy(key.entity, key.date)
+        .option("compression", "zstd")
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    found = dict(seen.get)
+    if found["repeated"]:
+        raise RepeatedKeys(f"{path}: {found['repeated']} of {found['rows']} rows share {key.entity} and {key.date} with another")
+    return df.sparkSession.table(name), found
 
 
 def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from daypanel.functions.casting import typed
-from daypanel.operators import profile, sampling, summaries
+from daypanel.operators import ingest, profile, sampling, summaries
 from daypanel.operators.labels import LabelParams
+from daypanel.schema import PanelSchema
 from daypanel.sources import readers, sinks
 
 DAY = datetime.date(2019, 1, 2)
@@ -76,3 +77,30 @@ def test_every_year_stays(spark):
     got = {r.year: (r.n_rows, r.median_target_5d_raw) for r in summaries.panel_yearly_summary(panel).collect()}
     assert got == {2019: (2, 0.1), 2020: (1, None), None: (1, 0.2)}
     assert {r.year for r in summaries.universe_yearly_summary(panel.withColumn("x", F.lit(1))).collect()} == {2019, 2020, None}
+
+
+LINES = 'id,note,day\n1,a,2019-01-02\n4,5\n6,7,8,9\n10,"x, ""y"", z",2019-01-03\n11,"p, q",2019-01-04,"r, s"\n12,,\n'
+
+
+def test_records_of_a_wrong_length_are_kept_whole(spark, tmp_path):
+    (tmp_path / "x.csv").write_text(LINES)
+    schema = PanelSchema.parse("id:int note:char day:date")
+    plain = readers.read_raw_csv(spark, str(tmp_path / "x.csv"))
+    assert plain.columns == ["id", "note", "day"] and plain.count() == 6  # cut and filled, without a word
+    for declared in (None, schema):
+        raw = readers.read_raw_csv(spark, str(tmp_path / "x.csv"), declared, record=ingest.BAD_RECORD)
+        sinks.write_parts(raw, str(tmp_path / "raw"))
+        scanned = readers.scan_raw(spark, str(tmp_path / "raw"))
+        bad = {r.bad_record: (r.id, r.note, r.day, r.failed_columns, r.record_fault) for r in ingest.quarantine(scanned, schema).collect()}
+        assert bad == {
+            "4,5": ("4", "5", None, "", "too_few_fields"),
+            "6,7,8,9": ("6", "7", "8", "day", "too_many_fields"),
+            '11,"p, q",2019-01-04,"r, s"': ("11", "p, q", "2019-01-04", "", "too_many_fields"),
+        }
+        core = ingest.apply_types(ingest.readable(scanned), schema)
+        assert core.columns == ["source_file", "raw_row_id", "id", "note", "day"]
+        assert sorted((r.id, r.note) for r in core.collect()) == [(1, "a"), (4, "5"), (10, 'x, "y", z'), (12, None)]
+    with pytest.raises(ValueError, match="already"):
+        readers.read_raw_csv(spark, str(tmp_path / "x.csv"), record="note")
+    sample = ingest.quarantine_sample(ingest.quarantine(scanned, schema))
+    assert sample.columns == ["source_file", "raw_row_id", "failed_columns", "record_fault"]

@@ -9,7 +9,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from daypanel.operators import ordering
-from daypanel.operators.ordering import add_row_number, exact_quantiles, keep_top, table_quantiles
+from daypanel.operators.ordering import (
+    add_row_number,
+    exact_quantiles,
+    keep_top,
+    merged_sketches,
+    quantile_sketches,
+    table_quantiles,
+)
 
 SLOW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -27,32 +34,44 @@ def skewed(spark, n=6000, seed=1):
 
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 500, 5])
-def test_quantiles_equal_percentile(spark, accuracy):
+@pytest.mark.parametrize(("k", "few"), [(4096, True), (64, False), (8, True)])
+def test_quantiles_equal_percentile(spark, k, few):
     infinite = spark.createDataFrame(
-        [(g, v, 0) for g, own in ((None, [1.0, 2.0, 5.0]), (90, [1.0] + [float("inf")] * 3), (91, [float("-inf"), 3.0]), (92, [4.0] * 9), (93, [None])) for v in own],
+        [(g, v, 0) for g, own in ((None, [1.0, 2.0, 5.0]), (90, [1.0] + [float("inf")] * 3), (91, [float("-inf"), 3.0]), (92, [4.0] * 9), (93, [None]), (94, [float("nan")] * 3), (95, [1.0, 2.0, float("nan"), float("nan")])) for v in own],
         "g int, v double, id long",
     )
     df = skewed(spark).unionByName(infinite)
     wanted = {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", wanted, accuracy).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", wanted, k=k, few_groups=few).collect()}
     plain = df.filter("v IS NOT NULL").groupBy("g").agg(F.percentile("v", list(wanted.values())).alias("q")).collect()
     assert len(got) == len(plain)
     for r in plain:
-        assert [got[r.g][n] for n in wanted] == r.q
+        assert repr([got[r.g][n] for n in wanted]) == repr(r.q)
 
 
-def test_a_bracket_that_misses_is_replaced(spark, monkeypatch):
-    astray = [F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.array(F.lit(-1e9), F.lit(-1e8)).alias("_ends")]
-    monkeypatch.setattr(ordering, "_sketch", lambda quantiles, accuracy: astray)
+@pytest.mark.parametrize("ends", [(-1e9, -1e8), (1e8, 1e9), (0.001, 0.002), (7.5, 7.0)])
+def test_a_bracket_that_misses_is_replaced(spark, monkeypatch, ends):
+    monkeypatch.setattr(ordering, "_brackets", lambda quantiles, k: F.array(*map(F.lit, ends)))
     df = skewed(spark)
     plain = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("q")).collect()}
     assert {r.g: r.m for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()} == plain
 
 
+def test_sketches_of_days_serve_years_and_the_table(spark):
+    df = skewed(spark).withColumn("year", F.col("g") % 5)
+    days = quantile_sketches(df, ["year", "g"], "v").cache()
+    for by in (["year", "g"], ["year"]):
+        got = exact_quantiles(df, by, "v", {"a": 0.3, "b": 0.9}, merged_sketches(days, by))
+        plain = df.filter("v IS NOT NULL").groupBy(*by).agg(F.percentile("v", [0.3, 0.9]).alias("q"))
+        want = {tuple(r[c] for c in by): r.q for r in plain.collect()}
+        assert {tuple(r[c] for c in by): [r.a, r.b] for r in got.collect()} == want
+    whole = merged_sketches(days, []).first()
+    assert whole._n == df.filter("v IS NOT NULL").count()
+
+
 def test_quantiles_of_a_whole_table(spark):
     df = skewed(spark)
-    row = table_quantiles(df, "v", {"p50": 0.5, "p95": 0.95}, accuracy=200).first()
+    row = table_quantiles(df, "v", {"p50": 0.5, "p95": 0.95}, k=64).first()
     assert [row.p50, row.p95] == df.agg(F.percentile("v", [0.5, 0.95]).alias("q")).first().q
     assert table_quantiles(df.filter("false"), "v", {"p50": 0.5}).count() == 0
 

@@ -1,12 +1,27 @@
 """Keys, universe, labels, targets and reports on small panels."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from daypanel.operators import examples, groups, keys, labels, profile, returns, sampling, summaries, targets, universe
+from daypanel.functions import rules
+from daypanel.operators import (
+    distinct,
+    examples,
+    groups,
+    keys,
+    labels,
+    ordering,
+    profile,
+    returns,
+    sampling,
+    summaries,
+    targets,
+    universe,
+)
 from daypanel.schema import PanelKey
 
 DAY = dt.date(2020, 1, 1)
@@ -212,12 +227,21 @@ def test_model_panel_matches_general_form(spark):
 
 def test_profile_counts(spark):
     df = spark.createDataFrame([(0, None, "x"), (5, -1.0, None), (7, 200_000.0, "y" * 25)], "permno long, prc double, ticker string")
-    for per_pass in (1, 2, 16):
-        got = {r.variable: r for r in profile.profile(df, per_pass=per_pass).collect()}
-        assert {k: (r.missing_count, r.abnormal_count) for k, r in got.items()} == {
-            "permno": (0, 1), "prc": (1, 2), "ticker": (1, 1)
-        }
-    assert profile.profile(df.limit(0)).first().missing_pct is None
+    got = {r.variable: r for r in profile.profile(df).collect()}
+    assert {k: (r.missing_count, r.abnormal_count) for k, r in got.items()} == {"permno": (0, 1), "prc": (1, 2), "ticker": (1, 1)}
+    none = profile.profile(df.limit(0)).first()
+    assert none.missing_pct is None and none.n_total == 0
+
+
+def test_profile_of_more_variables_than_a_long_has_bits(spark):
+    rng = random.Random(4)
+    rows = [[None if rng.random() < k / 200 else k for k in range(150)] for _ in range(300)]
+    df = spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"c{k} long" for k in range(150)))
+    registry = {f"c{k}": rules.Rule(f"c{k}", f"c{k} % 3 = 1", (f"c{k}",)) for k in range(0, 150, 2)}
+    got = {r.variable: (r.missing_count, r.abnormal_count, r.n_total) for r in profile.profile(df, registry=registry).collect()}
+    for k in range(150):
+        there = sum(r[k] is not None for r in rows)
+        assert got[f"c{k}"] == (300 - there, there if k % 2 == 0 and k % 3 == 1 else 0, 300)
 
 
 def test_histogram_edges(spark):
@@ -283,3 +307,86 @@ def test_other_key_names(spark):
 def test_stage_counts(spark):
     df = spark.range(3)
     assert {r.table_name: r.n for r in summaries.stage_row_counts({"a": df, "b": df.limit(1)}).collect()} == {"a": 3, "b": 1}
+
+
+def test_folded_labels_equal_the_stepwise_ones(spark):
+    """To the last bit, with series that end, codes in and outside the list, and missing returns anywhere."""
+    rng = random.Random(8)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(60)]
+    flags_seen = [None, "DM", "NT", "DG", "ZZ"]
+    rows = [
+        (e, d, None if rng.random() < 0.08 else rng.gauss(0, 0.05), rng.choice(flags_seen)) for e in range(9) for d in days if rng.random() < 0.9 or e == 0
+    ] + [(99, days[0], 0.5, None)]
+    core = spark.createDataFrame(rows, "permno long, dlycaldt date, dlyret double, dlyretmissflg string")
+    for params in (labels.LabelParams(), labels.LabelParams(horizon=1), labels.LabelParams(horizon=12, penalties=(0.3, 1.0, 0.55))):
+        folded = labels.folded_labels(core, params)
+        names = folded.columns
+        want = sorted(map(repr, labels.forward_labels(core, params).select(*names).collect()))
+        assert sorted(map(repr, folded.collect())) == want
+
+
+def test_trailing_returns_over_any_number_of_rows(spark):
+    rng = random.Random(2)
+    s = [(rng.gauss(0, 0.02), None) for _ in range(80)]
+    got = returns.add_trailing_returns(series(spark, s), (5, 63)).orderBy("dlycaldt").collect()
+    for k, r in enumerate(got):
+        for n, v in ((5, r.ret_5d), (63, r.ret_63d)):
+            want = None if k + 1 < n else math.prod(1 + x for x, _ in s[k + 1 - n : k + 1]) - 1
+            assert v == want
+
+
+def test_bitmaps_count_distinct_ids(spark):
+    rng = random.Random(5)
+    ids = [None, 0, -1, 1, 32767, 32768, 32769, -32768, 2**40, -(2**40), *range(100, 160)]
+    rows = [(rng.choice([2019, 2020, None]), rng.choice([1, 2, 3, None]), rng.choice(ids)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "year int, day int, id long")
+    days = distinct.id_bitmaps(df, ["year", "day"], "id", n=F.count("*"))
+    assert days.agg(F.sum("n")).first()[0] == 3000
+    for by in (["year", "day"], ["year"], []):
+        got = {tuple(r)[:-1]: r.n for r in distinct.distinct_ids(days, by, "n").collect()}
+        want = {tuple(r)[:-1]: r.n for r in df.groupBy(*by).agg(F.count_distinct("id").alias("n")).collect()}
+        assert got == want
+    pairs = spark.range(1).select(distinct.distinct_pairs(days, ["year", "day"])).first()[0]
+    assert pairs == df.agg(F.count_distinct("year", "day", "id")).first()[0]
+    assert distinct.distinct_ids(distinct.id_bitmaps(df.limit(0), ["year"], "id"), ["year"], "n").count() == 0
+    assert not distinct.has_bitmaps(spark.createDataFrame([("x",)], "id string"), "id")
+
+
+def test_the_kth_hash(spark, monkeypatch):
+    """Digits of one letter put many hashes into a bin, and some are equal."""
+    rng = random.Random(6)
+    hashes = sorted(f"{rng.randrange(2**20):032x}"[::-1] for _ in range(400)) * 2
+    draws = spark.createDataFrame([(h,) for h in hashes], "_draw string")
+    for digit, levels in ((4, 2), (1, 2), (1, 0)):
+        monkeypatch.setattr(sampling, "DIGIT", digit)
+        monkeypatch.setattr(sampling, "LEVELS", levels)
+        for k in (-1, 0, 1, 2, 399, 800, 801, None):
+            got = spark.range(1).select(sampling.kth_draw(draws, F.lit(k).cast("bigint"))).first()[0]
+            assert got == (sorted(hashes)[k - 1] if k and 0 < k <= 800 else None)
+
+
+def test_rules_of_a_caller_are_analysed(spark):
+    df = copies(spark).withColumn("other", F.col("prc") + 1)
+    assert rules.predicate_columns(df, "other > 1 AND abs(prc) < 3 OR ticker IN ('a', 'b')") == [c for c in df.columns if c in ("other", "prc", "ticker")]
+    assert rules.column_rule("prc", "prc < other", df=df).columns == ("prc", "other")
+    wrong = {
+        "nothing > 1": "nothing", "prc >": "", "prc + 1": "", "sum(prc) > 1": "aggregate", "prc > (SELECT 1)": "subquery", "prc IN (SELECT 1.0)": "subquery",
+        "rand() < 0.5": "again", "rand() < prc": "again", "1 = 1": "column", "row_number() OVER (ORDER BY prc) = 1": "", "explode(array(prc)) > 1": "", "no_such(prc)": "",
+    }
+    for predicate, reason in wrong.items():
+        for use in (groups.abnormal_by_group, examples.abnormal_rows):
+            with pytest.raises(ValueError, match=f"(?is){reason}"):
+                use(df, "prc", predicate=predicate)
+    assert examples.abnormal_rows(df, "prc", n=5, predicate="other > prc").count() == 5
+    seen = examples.matches(df, F.expr("other > prc"), 5).first()
+    assert seen.n_matching == df.filter("other > prc").count() and seen.n_total == df.count() and seen.n_shown == 5 and seen.drawn
+
+
+def test_quantiles_of_several_columns(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, None]), rng.gauss(0, 1), rng.choice([None, 1.0, 2.0]), rng.randrange(9), None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c int, d double")
+    wanted = {"x": ("a", 0.5), "y": ("b", 0.1), "z": ("c", 0.5), "w": ("a", 0.9), "none": ("d", 0.5)}
+    got = {r.g: tuple(r)[1:] for r in ordering.column_quantiles(df, ["g"], wanted).collect()}
+    plain = df.groupBy("g").agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()]).collect()
+    assert got == {r.g: tuple(r)[1:] for r in plain}

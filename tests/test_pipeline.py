@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from daypanel.operators import keys, labels, universe
 from daypanel.operators.universe import UniverseParams
 from daypanel.plans.pipeline import PanelPipeline
 from daypanel.schema import DAILY_STOCK
@@ -97,3 +98,58 @@ def test_scratch_folder_comes_from_the_session():
 def test_stored_reads_back(spark, name):
     df = spark.range(5).withColumn("v", F.col("id") / 2)
     assert sorted(map(tuple, sinks.stored(df, name).collect())) == sorted(map(tuple, df.collect()))
+
+
+def years_of(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_one_year_is_replaced_and_the_others_stay(spark, tmp_path):
+    path = tmp_path / "panel"
+    rows = spark.range(90).select("id", (F.col("id") % 3 + 2000).cast("int").alias("year"))
+    seen = sinks.write_panel(rows, str(path), metrics={"largest": F.max("id")})
+    assert seen == {"rows": 90, "largest": 89}
+    before = years_of(path)
+    sinks.write_panel(rows.filter("year = 2001").withColumn("id", F.col("id") + 1000), str(path), keep_others=True)
+    after = years_of(path)
+    assert {f.parent.name for f in set(before) & set(after)} == {"year=2000", "year=2002"}
+    assert all(before[f] == after[f] for f in set(before) & set(after))
+    back = readers.scan_panel(spark, str(path))
+    assert back.filter("id >= 1000").count() == 30 and back.count() == 90
+    odd = rows.withColumn("year", F.when(F.col("id") < 10, F.lit(None)).otherwise(F.lit(2005)).cast("int"))
+    sinks.write_panel(odd, str(path))  # the whole table: old years go, rows without a year stay
+    assert {r.year: r.n for r in readers.scan_panel(spark, str(path)).groupBy("year").agg(F.count("*").alias("n")).collect()} == {None: 10, 2005: 80}
+
+
+def test_a_write_that_fails_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    rows = spark.range(60).select("id", (F.col("id") % 3 + 2000).cast("int").alias("year"))
+    sinks.write_panel(rows, path)
+    broken = rows.withColumn("id", F.when(F.col("id") == 59, F.raise_error(F.lit("no"))).otherwise(F.col("id") + 500).cast("long"))
+    for keep_others in (False, True):
+        with pytest.raises(Exception, match="no"):
+            sinks.write_panel(broken, path, keep_others=keep_others)
+        assert sorted(r.id for r in readers.scan_panel(spark, path).collect()) == list(range(60))
+
+
+def test_pipeline_of_series_dealt_once(spark, tmp_path):
+    raw_file(tmp_path / "raw.csv", n_days=15, names=4)
+    dealt = PanelPipeline(spark, str(tmp_path / "dealt"), buckets=3)
+    dealt.ingest_csv(str(tmp_path / "raw.csv"))
+    core = dealt.build_core()
+    unique = keys.dedup_first(core)
+    dealt.save(universe.ready_rows(core), "base")
+    dealt.build_labels()
+    for name, plain in (("base", universe.ready_rows(core)), ("core_dedup", unique), ("labels", labels.forward_labels(unique))):
+        assert sorted(map(repr, dealt.table(name).select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    stages = ("core", "base", "labels")
+    assert sorted(map(tuple, dealt.counts(stages).collect())) == sorted((n, dealt.table(n).count()) for n in stages)
+
+
+def test_a_stage_with_repeated_keys_stops(spark, tmp_path):
+    day = dt.date(2020, 1, 1)
+    rows = spark.createDataFrame([(1, day, 2020, 0.1), (1, day, 2020, 0.2), (2, day, 2020, 0.1)], "permno long, dlycaldt date, year int, dlyret double")
+    for buckets in (None, 2):
+        pipe = PanelPipeline(spark, str(tmp_path / f"p{buckets}"), buckets=buckets)
+        with pytest.raises(sinks.RepeatedKeys):
+            pipe.save(rows.withColumn("fwd_date_1", F.col("dlycaldt")), "labels", None if buckets else {"repeated": F.count_if(F.col("fwd_date_1") == F.col("dlycaldt"))})

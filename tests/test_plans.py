@@ -4,9 +4,10 @@ import re
 
 import pytest
 
-from daypanel.operators import universe
+from daypanel.operators import examples, keys, labels, ordering, profile, sampling, targets, universe
 from daypanel.plans.catalog import PARAMS, QUERIES, panel
-from daypanel.sources import sinks
+from daypanel.session import WIDE_PANEL_SETTINGS
+from daypanel.sources import readers, sinks
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -45,3 +46,86 @@ def test_daily_ranks_are_split_by_part_first(spark):
     plan = plan_of(universe.daily_universe(base, PARAMS))
     assert re.search(r"hashpartitioning\(dlycaldt#\d+, _part#\d+", plan)
     assert "SinglePartition" not in plan
+
+
+@pytest.fixture
+def tuned(spark):
+    before = {k: spark.conf.get(k) for k in WIDE_PANEL_SETTINGS}
+    for k, v in WIDE_PANEL_SETTINGS.items():
+        spark.conf.set(k, v)
+    # Small tables are joined by broadcast whatever their layout.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_tables_dealt_once_are_not_dealt_again(tuned, tmp_path):
+    """First rows, leads, the label join and the history of a security read its rows where they lie."""
+    spark = tuned
+    rows = keys.dedup_first(panel(spark, SF_DIR))
+    dealt, seen = sinks.write_series(rows, str(tmp_path / "core"), buckets=4)
+    assert seen["rows"] == dealt.count() and seen["repeated"] == 0
+    made, _ = sinks.write_series(labels.forward_labels(dealt), str(tmp_path / "labels"), buckets=4)
+    again = readers.scan_series(spark, str(tmp_path / "core"), rows.schema, universe.DEFAULT_KEY, 4)
+    for source in (dealt, again):
+        first = keys.dedup_first(source, count_as="n")
+        led = labels.add_leads(source.select("permno", "dlycaldt", "dlyret", "dlyretmissflg", "tradingstatusflg", "dlydelflg"))
+        joined = targets.join_labels(source.select("permno", "dlycaldt", "prc", "dlyvol", "dlycap", "dlyret"), made)
+        history = universe.add_history(joined, PARAMS)
+        for step in (first, led, joined, history):
+            plan = plan_of(step)
+            assert "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+        for step, plain in ((first, keys.dedup_first(rows, count_as="n")), (led.select("permno", "dlycaldt", "fwd_date_5", "ret_3"), None)):
+            assert step.count() == rows.count()
+            assert plain is None or sorted(map(repr, step.collect())) == sorted(map(repr, plain.collect()))
+        assert history.count() == rows.count()
+
+
+def test_a_series_with_repeated_days_stops(spark, tmp_path):
+    rows = panel(spark, SF_DIR).select("permno", "dlycaldt", "prc")
+    with pytest.raises(sinks.RepeatedKeys, match="share permno and dlycaldt"):
+        sinks.write_series(rows, str(tmp_path / "twice"), buckets=3)
+
+
+def test_profile_is_one_scan(spark):
+    stored = sinks.stored(panel(spark, SF_DIR), "plan-profile")
+    plan = plan_of(profile.profile(stored))
+    assert plan.count("Scan parquet") == 1 or plan.count("FileScan parquet") == 1
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_quantiles_read_their_input_twice(spark, few):
+    """For the sketches and for the values; the branch for groups whose sketch failed is dropped before it runs."""
+    stored = sinks.stored(panel(spark, SF_DIR).select("dlycaldt", "prc"), "plan-prices")
+    found = ordering.exact_quantiles(stored, ["dlycaldt"], "prc", {"m": 0.5}, few_groups=few)
+    found.collect()
+    final = plan_of(found)
+    assert "isFinalPlan=true" in final
+    ran = final.split("+- == Initial Plan ==")[0]
+    assert ran.count("FileScan parquet") <= 2
+
+
+def test_samples_are_found_by_counting(spark):
+    stored = sinks.stored(panel(spark, SF_DIR), "plan-sample")
+    plan = plan_of(sampling.sample_to_size(stored, 0.1))
+    assert "Window" not in plan and "TakeOrdered" not in plan and "Sort [" not in plan
+
+
+def test_examples_are_planned_in_a_second(spark):
+    """Neither the number of rules nor what the table is made of may show in the time the optimizer takes."""
+    import time
+
+    df = panel(spark, SF_DIR)
+    plan_of(profile.abnormal_examples(df))  # classes are loaded
+    start = time.perf_counter()
+    plan_of(profile.abnormal_examples(panel(spark, SF_DIR)))
+    assert time.perf_counter() - start < 3
+    assert plan_of(examples.abnormal_rows(df, "prc"))
+
+
+def test_long_horizons_have_no_longer_plans(spark):
+    core = sinks.stored(keys.dedup_first(panel(spark, SF_DIR)), "plan-labels")
+    sizes = [len(plan_of(labels.folded_labels(core, labels.LabelParams(horizon=h)))) for h in (5, 63)]
+    assert abs(sizes[0] - sizes[1]) < 300
