@@ -49,26 +49,32 @@ def _canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), {_text(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
     for pattern, plain in licences.EQUIVALENT:
         out = f"regexp_replace({out}, {_text(pattern)}, {_text(plain)}, 'g')"
-    return f"sha256(trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g')))"
+    return f"trim(regexp_replace(regexp_replace({out}, '[^a-z0-9\\n]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
 
 
 def _licences() -> str:
+    """Each known text is looked for in every text, as a regular expression of its words."""
     known = ", ".join(f"({_text(name)}, {_text(body)})" for name, body in licences.KNOWN)
-    may = "'(?i)licen[sc]e|permission'"
+    headings = ", ".join(f"({_text(name)}, {_text(heading)})" for name, heading in licences.HEADINGS)
     return f"""
-    WITH known AS (SELECT DISTINCT licence, {_canonical("body")} AS digest FROM (VALUES {known}) v(licence, body)),
-    d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
-    p AS (
-        SELECT r, unnest(list_filter(list_concat(
-            string_split_regex(t, '\\r?\\n'),
-            list_filter(string_split_regex(t, '\\r?\\n[ \\t]*\\r?\\n'), lambda x: contains(x, chr(10)))
-        ), lambda x: regexp_matches(x, {may}))) AS piece FROM d
+    WITH known AS (SELECT DISTINCT licence, replace({_canonical("body")}, chr(10), ' ') AS form FROM (VALUES {known}) v(licence, body)),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical("coalesce(text, '')")} AS t FROM documents),
+    found AS (
+        SELECT r, form, list(licence) AS names, any_value(len(regexp_extract_all(
+            chr(10) || replace(t, chr(10), chr(10) || chr(10)) || chr(10), chr(10) || replace(form, ' ', '(?: |\\n\\n)') || chr(10)))) AS n
+        FROM d JOIN known ON contains(replace(t, chr(10), ' '), form) GROUP BY r, form
     ),
-    hit AS (SELECT r, list(DISTINCT licence) AS names, count(*) AS n FROM p JOIN known ON {_canonical("piece")} = digest GROUP BY r),
-    entire AS (SELECT r, licence FROM d JOIN known ON {_canonical("t")} = digest WHERE regexp_matches(t, {may}))
+    hit AS (SELECT r, list_distinct(flatten(list(names))) AS names, sum(n)::BIGINT AS n FROM found WHERE n > 0 GROUP BY r),
+    entire AS (
+        SELECT form, min(licence) AS licence FROM (
+            SELECT licence, form FROM known
+            UNION ALL SELECT licence, replace({_canonical("heading")}, chr(10), ' ') || ' ' || form FROM known JOIN (VALUES {headings}) h(licence, heading) USING (licence)
+            WHERE length(form) > 200
+        ) GROUP BY form
+    )
     SELECT doc_id, entire.licence AS whole_licence, coalesce(n, 0) AS n_notices,
            array_to_string(list_sort(list_distinct(list_concat(coalesce(names, []), CASE WHEN entire.licence IS NULL THEN [] ELSE [entire.licence] END))), ',') AS licences
-    FROM d LEFT JOIN hit USING (r) LEFT JOIN entire USING (r)
+    FROM d LEFT JOIN hit USING (r) LEFT JOIN entire ON replace(d.t, chr(10), ' ') = entire.form
     """
 
 
