@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from daypanel.llm import bpe, decontaminate, exact_dedup, near_join, toxicity
 from daypanel.llm.common import read, shared_folder
 from daypanel.llm.queries import vocabulary_path
+from daypanel.sources import sinks
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. Each stage before it is written to the shared folder and its input removed, so one
-    table of documents stays there while the result is in use."""
+    table of documents stays there while the result is in use; it goes with the session."""
     docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
@@ -63,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k:
             old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    sinks.remove_at_end(spark, folder)
     return STAGES[-1][1](spark, docs, sf_dir)
