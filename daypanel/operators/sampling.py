@@ -70,6 +70,18 @@ def average_row_bytes(df: DataFrame, n: int = ESTIMATE_ROWS, seed: int = SEED, k
     return drawn.filter(F.col("_draw") <= cut).agg(F.avg("_bytes").alias("avg_bytes_per_row"))
 
 
+def size_estimate(
+    df: DataFrame, megabytes: float, seed: int = SEED, estimate_rows: int = ESTIMATE_ROWS, key: PanelKey = DEFAULT_KEY
+) -> DataFrame:
+    """One row: the mean row size that fixes a sample and the number of rows that
+    are wanted; the sample has fewer where the table does."""
+    return average_row_bytes(df, estimate_rows, seed, key).select(
+        F.lit(float(megabytes)).alias("target_size_mb"),
+        "avg_bytes_per_row",
+        F.floor(F.lit(megabytes * MEGABYTE) / F.col("avg_bytes_per_row")).cast("bigint").alias("n_wanted"),
+    )
+
+
 def sample_to_size(
     df: DataFrame,
     megabytes: float,
@@ -82,9 +94,7 @@ def sample_to_size(
     Rows are taken in the order of a hash of their key. The last hash to take
     is found by counting, so the sample itself is a filter, whatever its size.
     """
-    wanted = average_row_bytes(df, estimate_rows, seed, key).select(
-        F.floor(F.lit(megabytes * MEGABYTE) / F.col("avg_bytes_per_row")).cast("bigint")
-    )
+    wanted = size_estimate(df, megabytes, seed, estimate_rows, key).select("n_wanted")
     last = kth_draw(df.select(draw_order(key, seed).alias("_draw")), wanted.scalar())
     # Without such a row the sample is the whole table, or nothing.
     everything = F.when(wanted.scalar() > 0, ABOVE_ALL_DRAWS)

@@ -43,6 +43,7 @@ class UniverseParams:
     max_adv20_rank: int = 4000
     average_rows: int = 20
     history_rows: int = 252
+    adv_digits: int | None = None
 
     def stamp(self) -> dict:
         """The parameters as constant columns of the result."""
@@ -149,18 +150,23 @@ def add_history(
     )
 
 
-def adv_order():
-    # Rounded so that the order of equal averages does not hang on float noise.
-    return F.round("adv20", 4)
+def adv_order(params: UniverseParams = DEFAULT_PARAMS) -> Column:
+    """Average volumes as they are ranked: as they are, or to a number of
+    digits, so that the order of equal averages does not hang on float noise."""
+    return F.col("adv20") if params.adv_digits is None else F.round("adv20", params.adv_digits)
 
 
 def add_ranks(
-    history: DataFrame, key: PanelKey = DEFAULT_KEY, names: Names = STANDARD_NAMES, hot_rows: int = HOT_ROWS
+    history: DataFrame,
+    key: PanelKey = DEFAULT_KEY,
+    names: Names = STANDARD_NAMES,
+    hot_rows: int = HOT_ROWS,
+    params: UniverseParams = DEFAULT_PARAMS,
 ) -> DataFrame:
     """Both cross-sectional ranks of every row and the size of its day."""
     key.check_date(history)
     sizes = history.groupBy(key.date).agg(F.count("*").alias("_n"))  # at most one row per calendar day
-    with_orders = history.withColumns({"_cap": names("dlycap"), "_adv": adv_order()})
+    with_orders = history.withColumns({"_cap": names("dlycap"), "_adv": adv_order(params)})
     by_cap = add_row_number(with_orders, key.date, "_cap", key.entity, "market_cap_rank", hot_rows, sizes=sizes)
     by_adv = add_row_number(by_cap, key.date, "_adv", key.entity, "adv20_rank", hot_rows, sizes=sizes)
     counted = by_adv.drop("_cap", "_adv").join(F.broadcast(sizes), key.date)
@@ -182,7 +188,7 @@ def universe_keys(
         key.date,
         {
             "market_cap_rank": (names("dlycap"), params.max_market_cap_rank),
-            "adv20_rank": (adv_order(), params.max_adv20_rank),
+            "adv20_rank": (adv_order(params), params.max_adv20_rank),
         },
         key.entity,
         count_as="n_common_equity_candidates",

@@ -42,9 +42,10 @@ KEY = ["permno", "dlycaldt"]
 ROW = [*KEY, "source_file", "raw_row_id"]
 RAW = PanelSchema.parse(fixture.RAW_VARIABLES)
 CSV = PanelSchema.parse(fixture.CSV_VARIABLES)
-# Limits that most candidates pass; one query has tight ones, where cutting is what it shows.
+# Limits that most candidates pass; one query has tight ones, where cutting is what it shows. Averages are ranked by
+# four digits, since two engines differ in the last bits of an average.
 PARAMS = universe.UniverseParams(
-    min_price=500.0, min_adv20=40_000.0, min_history_obs=126, max_market_cap_rank=3000, max_adv20_rank=4000
+    min_price=500.0, min_adv20=40_000.0, min_history_obs=126, max_market_cap_rank=3000, max_adv20_rank=4000, adv_digits=4
 )
 TIGHT = replace(PARAMS, max_market_cap_rank=6, max_adv20_rank=7)
 SAMPLE_MB = 0.5
@@ -510,7 +511,7 @@ def rolling_history(spark, sf):
 def cross_section_ranks(spark, sf):
     # Read more than once, so written once, as the pipeline does.
     stored = sinks.stored(history(spark, sf).select(*KEY, "dlycap", "adv20"), "history")
-    ranked = universe.add_ranks(stored)
+    ranked = universe.add_ranks(stored, params=PARAMS)
     return ranked.select(*KEY, "market_cap_rank", "adv20_rank", "n_common_equity_candidates")
 
 
@@ -593,6 +594,12 @@ def sample_size_summary(spark, sf):
     return rounded(sampling.sample_summary(sampled(spark, sf), SAMPLE_MB))
 
 
+def sample_estimate(spark, sf):
+    """What fixed the size of the sample: the mean of ten thousand rows, and the rows that make the size."""
+    rows = panel(spark, sf).select(*ROW, "ticker", "dlyprcflg", "dlyvol", "shrout")
+    return rounded(sampling.size_estimate(rows, SAMPLE_MB))
+
+
 def stage_row_counts(spark, sf):
     return summaries.stage_row_counts(
         {
@@ -740,6 +747,7 @@ QUERIES: dict[str, Query] = {
     "sample_ohlc_missing": sample_ohlc_missing,
     "size_targeted_sample": lambda spark, sf: sampled(spark, sf).select(*ROW),
     "sample_size_summary": sample_size_summary,
+    "sample_estimate": sample_estimate,
     "stage_row_counts": stage_row_counts,
     "rolling_return": lambda spark, sf: rounded(trailing(spark, sf).select(*KEY, "ret_5d", "ret_21d")),
     "rolling_return_63d": lambda spark, sf: rounded(

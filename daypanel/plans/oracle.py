@@ -786,6 +786,8 @@ ORACLE: dict[str, str] = {
         count(*) AS n_rows, {r('avg(bytes)', 6, 'avg_bytes_per_row')}, min(dlycaldt) AS min_date, max(dlycaldt) AS max_date,
         count(DISTINCT dlycaldt) AS n_unique_dates, count(DISTINCT permno) AS n_unique_permnos
         FROM (SELECT *, {LINE_BYTES} AS bytes FROM ({SAMPLED}))"""),
+    "sample_estimate": over("panel", f"""SELECT 0.5e0 AS target_size_mb, {r('avg(bytes)', 6, 'avg_bytes_per_row')}, {SAMPLE_SIZE} AS n_wanted
+        FROM (SELECT {LINE_BYTES} AS bytes FROM panel ORDER BY {DRAW} LIMIT 10000)"""),
     "stage_row_counts": over("base", """SELECT 'daily_core' AS table_name, count(*) AS n FROM panel
         UNION ALL SELECT 'daily_universe_prepare_all', count(*) FROM prepared
         UNION ALL SELECT 'daily_universe_ready_base', count(*) FROM base

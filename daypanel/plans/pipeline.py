@@ -119,6 +119,7 @@ class PanelPipeline:
         stored = self.spark.read.parquet(self.path("sample"))
         self.report(stored, "sample", single_file=False)
         self.report(sampling.sample_summary(stored, megabytes, self.key), "sample_summary")
+        self.report(sampling.size_estimate(self.table("model_panel"), megabytes, key=self.key), "sample_estimate")
         return stored
 
     def run(self, csv_path: str, sample_megabytes: float = 100.0) -> DataFrame:

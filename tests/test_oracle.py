@@ -41,9 +41,16 @@ def test_both_sides_name_the_same_queries():
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
+def no_pairs_and_no_python(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
+        assert operator not in plan
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, engine, name):
     df = QUERIES[name](spark, SF_DIR)
+    no_pairs_and_no_python(df)
     cursor = engine.execute(ORACLE[name])
     names = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(names)
