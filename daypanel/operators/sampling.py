@@ -32,34 +32,40 @@ def csv_bytes(df: DataFrame) -> Column:
     return sum(lengths, F.lit(len(lengths)))
 
 
+def _bin_holding(bins: DataFrame, wanted: Column) -> Column:
+    """Of ``(bin, n)``, a bounded number of them, the bin that holds the
+    ``wanted``-th row and how many rows of it are wanted, as a scalar."""
+    listed = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins")).select("bins", wanted.alias("left"))
+    start = F.struct(F.lit(None).cast("string").alias("bin"), F.col("left").alias("left"))
+
+    def step(found: Column, one: Column) -> Column:
+        # Rows are counted off bin by bin until one holds those that are left.
+        holds = found["bin"].isNull() & (found["left"] <= one["n"]) & (found["left"] > 0)
+        passed = F.when(found["bin"].isNull() & ~holds, found["left"] - one["n"]).otherwise(found["left"])
+        return F.struct(F.when(holds, one["bin"]).otherwise(found["bin"]).alias("bin"), passed.alias("left"))
+
+    return listed.select(F.aggregate("bins", start, step).alias("found")).scalar()
+
+
 def kth_draw(draws: DataFrame, wanted: Column) -> Column:
     """The ``wanted``-th smallest of the ``_draw`` hashes, equal ones counted one
     by one, as a scalar; NULL where there are fewer, or none is wanted.
 
     Found digit by digit: counts of the first 16 bits tell in which of 65,536
-    bins it lies, counts of the next 16 bits of that bin's rows where in it, and
-    so on for ``LEVELS`` digits. What is left, one row in four thousand million
-    after two, is counted by whole hash. Each step is an aggregate whose result
-    is one row; nothing is sorted or gathered but its counts.
+    bins it lies. The hashes of that bin are counted one by one, dealt out as
+    they are, and the next 16 bits of them lead to a bin of one row in four
+    thousand million, and so on for ``LEVELS`` digits; what is left is listed.
+    Two reads; nothing is sorted or gathered but counts.
     """
-    prefix, rest = F.lit(""), wanted
-    for level in range(LEVELS + 1):
-        last = level == LEVELS
-        width = DIGIT * (level + 1)
-        rows = draws if level == 0 else draws.filter(F.startswith(F.col("_draw"), prefix))
-        bins = rows.groupBy((F.col("_draw") if last else F.substring("_draw", 1, width)).alias("bin")).agg(F.count("*").alias("n"))
-        listed = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins")).select("bins", rest.alias("left"))
-        start = F.struct(F.lit(None).cast("string").alias("bin"), F.col("left").alias("left"))
-
-        def step(found: Column, one: Column) -> Column:
-            # Rows are counted off bin by bin until one holds those that are left.
-            holds = found["bin"].isNull() & (found["left"] <= one["n"]) & (found["left"] > 0)
-            passed = F.when(found["bin"].isNull() & ~holds, found["left"] - one["n"]).otherwise(found["left"])
-            return F.struct(F.when(holds, one["bin"]).otherwise(found["bin"]).alias("bin"), passed.alias("left"))
-
-        found = listed.select(F.aggregate("bins", start, step).alias("found")).scalar()
-        prefix, rest = found["bin"], found["left"]
-    return prefix
+    first = draws.groupBy(F.substring("_draw", 1, DIGIT).alias("bin")).agg(F.count("*").alias("n"))
+    found = _bin_holding(first, wanted)
+    inside = draws.filter(F.startswith(F.col("_draw"), found["bin"])).groupBy("_draw").agg(F.count("*").alias("n"))
+    for level in range(1, LEVELS):
+        part = inside.filter(F.startswith(F.col("_draw"), found["bin"]))
+        bins = part.groupBy(F.substring("_draw", 1, DIGIT * (level + 1)).alias("bin")).agg(F.sum("n").alias("n"))
+        found = _bin_holding(bins, found["left"])
+    last = inside.filter(F.startswith(F.col("_draw"), found["bin"])).select(F.col("_draw").alias("bin"), "n")
+    return _bin_holding(last, found["left"])["bin"]
 
 
 def average_row_bytes(df: DataFrame, n: int = ESTIMATE_ROWS, seed: int = SEED, key: PanelKey = DEFAULT_KEY):

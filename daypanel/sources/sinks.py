@@ -47,8 +47,8 @@ def write_panel(
     """
     seen = Observation()
     rows = df.hint("rebalance", F.col(by)).observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.collect_set(F.col(by).cast("string")).alias("_years"),
-        F.count_if(F.col(by).isNull()).alias("_no_year"), *[c.alias(n) for n, c in (metrics or {}).items()],
+        seen, F.count(F.lit(1)).alias("rows"), F.collect_set(F.coalesce(F.col(by).cast("string"), F.lit(""))).alias("_years"),
+        *[c.alias(n) for n, c in (metrics or {}).items()],
     )
     (
         rows.write.mode("overwrite")
@@ -59,21 +59,23 @@ def write_panel(
         .parquet(path)
     )
     found = dict(seen.get)
-    years = {f"{by}={y}" for y in found.pop("_years")} | ({f"{by}={NO_PARTITION}"} if found.pop("_no_year") else set())
+    years = found.pop("_years")
     if not keep_others:
         _remove_others(df.sparkSession, path, by, years)
     return found
 
 
-def _remove_others(spark: SparkSession, path: str, by: str, kept: set[str]) -> None:
-    """Directories of years that are not among ``kept``."""
+def _remove_others(spark: SparkSession, path: str, by: str, years: list[str]) -> None:
+    """Directories of years that are not among ``years``, with names as Spark spells them."""
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    kept = {f"{named(by)}={named(y) if y else NO_PARTITION}" for y in years}
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
         return
     for entry in files.listStatus(folder):
         name = entry.getPath().getName()
-        if name.startswith(f"{by}=") and name not in kept:
+        if name.startswith(f"{named(by)}=") and name not in kept:
             files.delete(entry.getPath(), True)
 
 

@@ -80,7 +80,7 @@ def test_numbers_and_verdicts_against_brute_force(table):
         assert r.kept == (not r.base_failed and r.quality >= 0.5)
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text("ab \n", max_size=120), min_size=1, max_size=30))
 def test_repeats_of_any_text(table, texts):
     rows = list(enumerate(texts))

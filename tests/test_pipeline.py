@@ -121,6 +121,17 @@ def test_one_year_is_replaced_and_the_others_stay(spark, tmp_path):
     assert {r.year: r.n for r in readers.scan_panel(spark, str(path)).groupBy("year").agg(F.count("*").alias("n")).collect()} == {None: 10, 2005: 80}
 
 
+def test_directories_of_any_name(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    names = ["a/b", "x=y", "50 %", "ü:", "", None, "plain"]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names * 2)], "id long, part string")
+    sinks.write_panel(rows, path, by="part")
+    sinks.write_panel(rows.filter("part IS NULL OR part <> 'plain'"), path, by="part")
+    back = readers.scan_panel(spark, path, rows.schema).collect()
+    assert sorted((r.id, r.part) for r in back if r.part) == sorted((k, n) for k, n in enumerate(names * 2) if n and n != "plain")
+    assert sum(not r.part for r in back) == 4
+
+
 def test_a_write_that_fails_leaves_the_table(spark, tmp_path):
     path = str(tmp_path / "panel")
     rows = spark.range(60).select("id", (F.col("id") % 3 + 2000).cast("int").alias("year"))
