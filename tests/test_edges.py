@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from daypanel.functions.casting import typed
 from daypanel.operators import ingest, profile, sampling, summaries
 from daypanel.operators.labels import LabelParams
+from daypanel.plans import catalog
 from daypanel.schema import PanelSchema
 from daypanel.sources import readers, sinks
 
@@ -104,3 +105,12 @@ def test_records_of_a_wrong_length_are_kept_whole(spark, tmp_path):
         readers.read_raw_csv(spark, str(tmp_path / "x.csv"), record="note")
     sample = ingest.quarantine_sample(ingest.quarantine(scanned, schema))
     assert sample.columns == ["source_file", "raw_row_id", "failed_columns", "record_fault"]
+
+
+def test_totals_of_ids_beyond_a_long(spark):
+    """Parts of a sum may leave the longs that the whole comes back to; a total without a long is NULL, not an error."""
+    top = 2**63 - 1
+    rows = [(1, top, 1.0, None), (1, 5, 1.0, 1.0), (1, -9, 1.0, 1.0), (2, top, 2.0, 1.0), (2, 1, 2.0, 1.0), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "year int, raw_row_id long, prc double, dlyret double").coalesce(1)
+    got = {r.year: (r.n_rows, r.sum_row_id, r.sum_prc, r.n_ret) for r in catalog.yearly_totals(df).collect()}
+    assert got == {1: (3, top - 4, 3.0, 2), 2: (2, None, 4.0, 2), 3: (1, None, None, 0)}
