@@ -8,10 +8,9 @@ many, in the order of the hash, as have ``Settings.sample_chars`` characters tog
 batches. A response of a filter is a sum of one table row per word and place, so the tables are multiplied out once a
 worker and scoring only looks up and adds.
 
-A fifth of the labelled rows, by another hash, is not drawn from. These rows and all that the sample had no room for are
-scored in Spark, whole, and counted by language, label and score in ``BINS`` steps. Where that fifth has fewer than
-``Settings.least_held`` toxic rows, all labelled rows may be drawn, and each drawn row is scored instead by a model that
-was trained without the fold it is in. Either way the rows of a class count for as many as the labels have of it, so
+Every labelled row calibrates, scored by a model that has not learnt from it: a row of the sample by one that was trained
+without the fold it is in, all that the sample had no room for by the model itself, whole and in Spark. They are counted
+by language, label and score in ``BINS`` steps; the rows of a class count for as many as the labels have of it, so
 thresholds see toxic texts as often as they really are. On the counts the score is shifted so that its best cut lies at
 ``Settings.cut``, and each language with enough rows gets a threshold of its own that would rather pass a toxic text than
 reject a clean one. Language, source and id are no inputs of the score.
@@ -52,8 +51,7 @@ class Settings:
     rate: float = 0.05
     cut: float = 0.7
     beta: float = 0.5  # weight of recall in the thresholds
-    least_held: int = 100  # toxic rows that must have been set aside; with fewer, folds calibrate
-    folds: int = 4
+    folds: int = 4  # of the sample, that calibrate each other
     per_language: int = 50  # rows of a language that its own threshold needs
     seed: int = 20
 
@@ -257,11 +255,10 @@ BINS, BIN_END = 8_000, 40.0
 
 
 def known_labels(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
-    """``(_id, _y, _held)`` of the labelled ids: 1 for toxic, and whether the row is kept from the sample."""
+    """``(_id, _y)`` of the labelled ids: 1 for toxic."""
     id_type = docs.schema["doc_id"].dataType
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_y")).filter(usable)
-    held = F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id").cast("string")), F.lit(5)) == 0
-    return known.select(F.col("doc_id").cast(id_type).alias("_id"), (F.col("_y") >= 1).cast("int").alias("_y"), held.alias("_held")).filter(F.col("_id").isNotNull())
+    return known.select(F.col("doc_id").cast(id_type).alias("_id"), (F.col("_y") >= 1).cast("int").alias("_y")).filter(F.col("_id").isNotNull())
 
 
 def _drawn(own: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
@@ -269,7 +266,7 @@ def _drawn(own: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     that they may have together allow; a class has at least one."""
     drawn = None
     for y in (0, 1):
-        mine = known.filter((F.col("_y") == y) & ~F.col("_held")).orderBy(F.xxhash64("_id"), "_id").limit(s.sample)
+        mine = known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(s.sample)
         drawn = mine if drawn is None else drawn.unionByName(mine)
     drawn = saved(drawn.select("_id", "_y"))
     sizes = own.join(F.broadcast(drawn), F.col("_d") == F.col("_id")).groupBy("_id", "_y").agg(F.sum(F.char_length("t")).alias("n"))
@@ -297,20 +294,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, s: Set
     """``usable``: a condition on ``doc_id`` for labels that may be learnt from. ``docs`` has ``doc_id``, ``text`` and, for
     thresholds by language, ``lang``."""
     known = saved(known_labels(docs, labels, F.lit(True) if usable is None else usable))
-    few = known.filter("_held AND _y = 1").count() < s.least_held
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col("doc_id").alias("_d"), whole("text").alias("t"), lang.alias("l"))
-    drawn = _drawn(own, known.withColumn("_held", F.lit(False)) if few else known, s)
+    drawn = _drawn(own, known, s)
     rows, langs = _hashed(own.join(F.broadcast(drawn), F.col("_d") == F.col("_id")).select(F.col("_id").cast("string"), "t", "_y", "l"), s)
     model = train(rows, s)
     if model is None:
         return None
-    if few:
-        crossed = [(x, int(_bins(np.array([raw]))[0]), y) for x, raw, (_, y) in zip(langs, crossed_scores(rows, s), rows, strict=True)]
-        scored = docs.sparkSession.createDataFrame(crossed, "l string, at int, _y int")
-    else:
-        scored = _unseen_scores(model, own, known, drawn)
-    _calibrate(model, scored, known)
+    crossed = [(x, int(_bins(np.array([raw]))[0]), y) for x, raw, (_, y) in zip(langs, crossed_scores(rows, s), rows, strict=True)]
+    learnt = docs.sparkSession.createDataFrame(crossed, "l string, at int, _y int")
+    _calibrate(model, learnt.unionByName(_unseen_scores(model, own, known, drawn)), known)
     return model
 
 

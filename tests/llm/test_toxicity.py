@@ -140,3 +140,14 @@ def test_ids_of_text(spark):
     labels = spark.createDataFrame([(f"d{k}", int(k % 4 == 0)) for k in range(100)], "doc_id string, toxic int")
     scored = tx.score(docs, tx.fit(docs, labels)).collect()
     assert {r.doc_id for r in scored if r.is_toxic} == {f"d{k}" for k in range(0, 120, 4)}
+
+
+def test_every_labelled_row_calibrates_at_any_size(table, spark, monkeypatch):
+    """Few toxic rows or many, all in the sample or not: the same rows are counted in the same way."""
+    seen = []
+    monkeypatch.setattr(tx, "_calibrate", lambda model, scored, known: seen.append(scored.groupBy("_y").count().collect()))
+    for n, sample in ((60, 4000), (1300, 4000), (1300, 200)):
+        rows, toxic = corpus(n, 7)
+        labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+        tx.fit(table(rows), labels, s=tx.Settings(sample=sample, epochs=1))
+        assert {r._y: r["count"] for r in seen.pop()} == {1: sum(toxic), 0: n - sum(toxic)}
