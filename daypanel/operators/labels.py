@@ -192,28 +192,50 @@ def folded_labels(
     """The labels of ``forward_labels`` without a column per step, for horizons
     of any length.
 
-    One frame holds the next rows of the security and one fold each makes a
-    label of them, so the plan is the same at 5 rows and at 63, and so are the
-    results, to the last bit. ``fwd_date_<horizon>`` is the day of the last row.
+    The series is read backwards, so that the next rows of a day are behind it:
+    the next missing return, the next row of each code and the number of missing
+    returns are running values, at the same work a row for any horizon. Only the
+    returns before the first missing one are folded, in their order. So the plan
+    is the same at 5 rows and at 63, and so are the results, to the last bit.
+    ``fwd_date_<horizon>`` is the day of the last row.
     """
     key.check_date(core)
-    h, series = params.horizon, Window.partitionBy(key.entity).orderBy(key.date)
-    row = F.struct(F.col(key.date).alias("day"), F.col("dlyret").alias("r"), F.col("dlyretmissflg").alias("flag"))
+    h, back = params.horizon, Window.partitionBy(key.entity).orderBy(F.desc(key.date))
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
     source = core.select(*dict.fromkeys([*key.pair, *[c for c in context if c in core.columns], "dlyret", "dlyretmissflg"]))
-    later = F.col("_later")
-    seen = source.withColumn("_later", F.collect_list(row).over(series.rowsBetween(1, h)))
-
-    # Why the return of each step is missing, NULL where it is there.
-    gone = F.transform(later, lambda x: F.when(x["r"].isNull(), F.coalesce(x["flag"], F.lit(NO_FLAG))))
-    ended = F.array_repeat(F.lit(NO_ROW), F.lit(h) - F.size(later))
-    flagged = seen.withColumn("_flags", F.concat(gone, ended))
-    flags = F.col("_flags")
-    at = F.array_min(F.transform(flags, lambda f, i: F.when(f.isNotNull(), i + 1)))
-    placed = flagged.withColumn("_at", at)
-    position = F.col("_at")
-    before = F.slice(later, F.lit(1), F.coalesce(position - 1, F.size(later)))
-    grown = placed.withColumn("_wealth", F.aggregate(before, F.lit(1.0), lambda whole, x: whole * (1 + x["r"])))
-    wealth, first = F.col("_wealth"), F.element_at(flags, position)
+    reason = F.when(F.col("dlyret").isNull(), F.coalesce("dlyretmissflg", F.lit(NO_FLAG)))
+    placed = source.withColumns(
+        {
+            "_nth": F.row_number().over(back),
+            "_flag": reason,
+            "_next": F.lag("dlyret", 1).over(back),
+            "_end": F.lag(key.date, h).over(back),
+            "_returns": F.collect_list("dlyret").over(back.rowsBetween(-h, -1)),
+        }
+    )
+    named = list(dict.fromkeys([*params.flag_codes, *params.delisting_codes]))
+    seen = placed.withColumns(
+        {
+            "_gone": F.last(F.when(F.col("_flag").isNotNull(), F.struct("_nth", "_flag")), ignorenulls=True).over(later),
+            "_missing": F.count("_flag").over(later),
+            **{f"_code_{i}": F.max(F.when(F.col("_flag") == c, F.col("_nth"))).over(later) for i, c in enumerate(named)},
+        }
+    )
+    nth = F.col("_nth")
+    seen = seen.withColumn("_missing", F.col("_missing") - F.lag("_missing", h, 0).over(back))
+    # A row that is not there is missing, too: the first such step is the number of the row from the end.
+    ahead, short = nth - F.col("_gone._nth"), nth <= h
+    within = F.coalesce(ahead <= h, F.lit(False))
+    seen = seen.withColumn("_at", F.when(within, ahead).when(short, nth))
+    position, first = F.col("_at"), F.when(within, F.col("_gone._flag")).when(short, NO_ROW)
+    held = {
+        c: F.coalesce(nth - F.col(f"_code_{i}") <= h, F.lit(False)) | (short if c == NO_ROW else F.lit(False)) for i, c in enumerate(named)
+    }
+    # The returns stand from the last to the next one, without the missing ones.
+    n, kept = F.coalesce(position - 1, F.lit(h)), F.col("_returns")
+    before = F.reverse(F.slice(kept, F.size(kept) - n + 1, n))
+    grown = seen.withColumn("_wealth", F.aggregate(before, F.lit(1.0), lambda whole, r: whole * (1 + r)))
+    wealth = F.col("_wealth")
     zero_after = F.when(position == 1, 0.0).otherwise(wealth - 1)
     delisted = first.isin(*params.delisting_codes)
 
@@ -221,18 +243,17 @@ def folded_labels(
         loss = F.lit(-1.0) if penalty == 1.0 else F.when(position == 1, F.lit(-penalty)).otherwise(wealth * (1 - penalty) - 1)
         return F.when(delisted, loss).otherwise(zero_after)
 
-    codes = F.array(*[F.lit(code) for code in params.flag_codes])
     made = {
-        "target_1d_raw": F.when(F.size(later) > 0, later[0]["r"]),
+        "target_1d_raw": F.col("_next"),
         params.complete: F.when(position.isNull(), wealth - 1),
         params.zero_after: zero_after,
         **{params.stressed(p): stressed(p) for p in params.penalties},
         "target_has_missing_return": flag(position.isNotNull()),
         "target_first_missing_return_pos": position,
         "target_first_missing_return_flag": first,
-        "target_missing_return_flag_set": F.array_join(F.array_intersect(codes, flags), "|"),
-        "target_has_delisting_missing_flag": flag(F.exists(flags, lambda f: f.isin(*params.delisting_codes))),
-        "target_n_valid_forward_returns": F.size(F.filter(flags, lambda f: f.isNull())),
-        f"fwd_date_{h}": F.when(F.size(later) == h, later[h - 1]["day"]),
+        "target_missing_return_flag_set": F.concat_ws("|", *[F.when(held[c], c) for c in dict.fromkeys(params.flag_codes)]),
+        "target_has_delisting_missing_flag": flag(any_of(held[c] for c in params.delisting_codes)),
+        "target_n_valid_forward_returns": (F.least(nth - 1, F.lit(h)) - F.col("_missing")).cast("int"),
+        f"fwd_date_{h}": F.col("_end"),
     }
     return grown.select(*key.pair, *[c for c in context if c in core.columns], *[c.alias(n) for n, c in made.items()])

@@ -122,3 +122,11 @@ def test_long_horizons_have_no_longer_plans(spark):
     core = sinks.stored(keys.dedup_first(panel(spark, SF_DIR)), "plan-labels")
     sizes = [len(plan_of(labels.folded_labels(core, labels.LabelParams(horizon=h)))) for h in (5, 63)]
     assert abs(sizes[0] - sizes[1]) < 300
+
+
+def test_long_labels_walk_no_list_of_steps(spark):
+    """Of the functions that step through an array for each row only the fold of the returns is left."""
+    plan = plan_of(labels.folded_labels(keys.dedup_first(panel(spark, SF_DIR)), labels.LabelParams(horizon=63)))
+    assert "lambdafunction" in plan
+    for step in ("transform(", "exists(", "filter(", "array_intersect(", "array_repeat("):
+        assert step not in plan
