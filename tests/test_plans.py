@@ -5,6 +5,7 @@ import re
 import pytest
 
 from daypanel.operators import examples, keys, labels, ordering, profile, sampling, targets, universe
+from daypanel.plans import catalog
 from daypanel.plans.catalog import PARAMS, panel
 from daypanel.session import WIDE_PANEL_SETTINGS
 from daypanel.sources import readers, sinks
@@ -130,3 +131,10 @@ def test_long_labels_walk_no_list_of_steps(spark):
     assert "lambdafunction" in plan
     for step in ("transform(", "exists(", "filter(", "array_intersect(", "array_repeat("):
         assert step not in plan
+
+
+def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    assert [sinks.series_buckets(n) for n in (0, 600_000, 2_000_001, 216_000_000)] == [8, 8, 9, 864]
+    monkeypatch.setattr(sinks.series_buckets, "__defaults__", (8, 500))
+    plan = plan_of(catalog.series_join(spark, SF_DIR))
+    assert "SelectedBucketsCount: 12 out of 12" in plan  # 6,000 rows, 500 a bucket
