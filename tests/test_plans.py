@@ -138,3 +138,14 @@ def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks.series_buckets, "__defaults__", (8, 500))
     plan = plan_of(catalog.series_join(spark, SF_DIR))
     assert "SelectedBucketsCount: 12 out of 12" in plan  # 6,000 rows, 500 a bucket
+
+
+def test_values_of_repeated_keys_are_not_dealt_again(spark):
+    """Rows are dealt once by key, and once to find large keys; their values go nowhere."""
+    stored = sinks.stored(panel(spark, SF_DIR), "plan-differences")
+    for report in (keys.duplicate_field_differences, keys.duplicate_event_digest):
+        found = report(stored)
+        found.collect()
+        plan = plan_of(found).split("Initial Plan")[0]
+        shuffles = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning", line)]
+        assert len(shuffles) <= 2
