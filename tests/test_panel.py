@@ -390,3 +390,31 @@ def test_quantiles_of_several_columns(spark):
     got = {r.g: tuple(r)[1:] for r in ordering.column_quantiles(df, ["g"], wanted).collect()}
     plain = df.groupBy("g").agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()]).collect()
     assert got == {r.g: tuple(r)[1:] for r in plain}
+
+
+def test_universe_of_rows_is_that_of_the_first_rows(spark):
+    """Keys have several rows, alike in their order, of other kinds, too cheap, or not ready."""
+    rng = random.Random(12)
+    base = random_base(spark).drop("n_rows_same_stock_day")
+    rows = []
+    for r in base.collect():
+        for k in range(rng.choice([1, 1, 2, 4])):
+            x = r.asDict() | {"source_file": rng.choice(["a", "b", None]), "raw_row_id": rng.choice([1, 2, None]) if k else 3}
+            x |= rng.choice([{}, {}, {"prc": 1.0}, {"sharetype": "AD"}, {"usincflg": None}, {"dlyret": None}])
+            rows.append((*x.values(), "A", None, 5))
+    names = [*x, "tradingstatusflg", "dlydelflg", "shrout"]
+    types = {f.name: f.dataType.simpleString() for f in base.schema}
+    more = {"source_file": "string", "raw_row_id": "long", "tradingstatusflg": "string", "dlydelflg": "string", "shrout": "long"}
+    core = spark.createDataFrame(rows, ", ".join(f"{n} {(types | more)[n]}" for n in names))
+    decisive = PanelKey(order=("source_file", "raw_row_id", "prc", "dlyvol", "dlycap", "dlyret", "_common"))
+    common = F.coalesce(universe.common_equity_condition(SMALL), F.lit(False))
+    ready = keys.dedup_first(core.withColumn("_common", common).filter(universe.is_ready()), decisive, count_as="n_rows_same_stock_day")
+    want = universe.daily_universe(ready.drop("_common"), SMALL)
+    shown = ["permno", "dlycaldt", "source_file", "raw_row_id", "prc", "n_rows_same_stock_day", "adv20", "hist_ret_obs_252",
+             "market_cap_rank", "adv20_rank", "n_common_equity_candidates", "in_universe_flag"]
+    got = universe.universe_of_rows(core, SMALL)
+    assert set(got.columns) == set(want.columns)
+    a, b = (sorted(map(repr, d.select(*shown).collect())) for d in (got, want))
+    assert a == b and len(a) > 30
+    assert universe.universe_of_rows(core, SMALL, count_as=None).count() == len(a)
+
