@@ -418,3 +418,12 @@ def test_universe_of_rows_is_that_of_the_first_rows(spark):
     assert a == b and len(a) > 30
     assert universe.universe_of_rows(core, SMALL, count_as=None).count() == len(a)
 
+
+def test_queries_on_days_read_the_universe_once(spark):
+    """The table is scanned for the few columns of first rows and for whole rows, not for each report on days."""
+    from daypanel.plans import catalog
+
+    plan = catalog.QUERIES["universe_daily_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
+    plan = catalog.uncounted_universe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
