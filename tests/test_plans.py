@@ -149,3 +149,15 @@ def test_values_of_repeated_keys_are_not_dealt_again(spark):
         plan = plan_of(found).split("Initial Plan")[0]
         shuffles = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning", line)]
         assert len(shuffles) <= 2
+
+
+@pytest.mark.parametrize("given, then", [("65535", "8000"), ("4000", "4000")])
+def test_queries_split_what_the_compiler_would_not_take(spark, given, then):
+    """Labels and flags are projections of more bytecode than a method may have to be compiled; a chosen limit stays."""
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", given)
+        catalog.QUERIES["label_layout"](spark, SF_DIR)
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == then
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
