@@ -4,7 +4,8 @@ A vocabulary file in the format of the public tokenizers library (word-end BPE w
 the driver; its text, of a fixed size, goes to the tasks. A task cuts its texts into words, and all words that it has
 not met lately are merged together: every adjacent pair with a rank is indexed with all its places, ranks are taken in
 ascending order from a heap, each merges all its places, and the pairs that this makes join the index. A word of n
-bytes costs O(n log n), whatever its length.
+bytes costs O(n log n), whatever its length. A worker holds the words of one block of texts and those that it remembers,
+both bounded by bytes, so that its memory does not grow with the corpus; only a text longer than a block counts whole.
 
 Defined cases: null and empty texts have no tokens; the control strings of the vocabulary in a text become their own
 ids, as in the library; repeated rows are encoded alike; other columns can be kept by naming them.
@@ -17,17 +18,21 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daypanel.llm.common import chunks, map_arrow, ship, whole
+from daypanel.llm.common import blocks, map_arrow, ship, whole
 
-#: words whose ids a worker keeps; memory only, results do not depend on it
-REMEMBERED = 300_000
+#: bytes of each of the two generations of words that a worker keeps, about, and of a word besides what it says
+REMEMBERED, WORD_BYTES = 24_000_000, 150
+#: bytes of the texts that are encoded at once, or one text. Results depend on neither.
+BLOCK = 400_000
 # Fixed values of the vocabulary's own text rules: what counts as white space, and how texts are cut into words.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -180,28 +185,48 @@ class WordBpe:
 
 
 class Encoder:
-    """Encodes texts, remembering words: for each its ids and its decoded tokens, as text with spaces between them."""
+    """Encodes texts, remembering words: for each its ids and its decoded tokens, as text with spaces between them; if
+    ``packed``, its ids alone, as bytes. When the words met lately are too many, they become the older ones: those that are
+    met again come back, the others go with the next change."""
+
+    def __init__(self, bpe: WordBpe, packed: bool = False):
+        self.bpe, self.packed = bpe, packed
+        self.ids: dict[str | int, str | bytes] = {}
+        self.tokens: dict[str | int, str] = {}
+        self.grow_old()
+
+    def grow_old(self) -> None:
+        """The words met lately become the older ones."""
+        self.older = self.ids, self.tokens
+        self.ids, self.tokens, self.held = {}, {}, 0
+        self.silent: set[str | int] = set()  # words without a token
+        for i in self.bpe.special.values():
+            self._keep(i, *self._forms([i]))
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
-        self.forget()
+    def _forms(self, ids: list[int]) -> tuple[str | bytes, str]:
+        return (array("i", ids).tobytes(), "") if self.packed else (" ".join(map(str, ids)), self.bpe.decode(ids))
 
-    def forget(self) -> None:
-        special = self.bpe.special.values()
-        self.ids: dict[str | int, str] = {i: str(i) for i in special}
-        self.tokens: dict[str | int, str] = {i: self.bpe.decode([i]) for i in special}
-        self.silent: set[str | int] = set()  # words without a token
+    def _keep(self, word: str | int, ids: str | bytes, tokens: str) -> None:
+        self.ids[word] = ids
+        self.held += WORD_BYTES + len(ids) + len(tokens)
+        if not self.packed:
+            self.tokens[word] = tokens
+            if not ids:
+                self.silent.add(word)
 
     def learn(self, texts: list[list[str | int]]) -> None:
         """Encodes the words of ``texts`` that are not known."""
-        if len(self.ids) > REMEMBERED:
-            self.forget()
-        new = list(set().union(*texts).difference(self.ids))
-        for word, ids in zip(new, self.bpe.encode_words(new), strict=True):
-            if not ids:
-                self.silent.add(word)
-            self.ids[word] = " ".join(map(str, ids))
-            self.tokens[word] = self.bpe.decode(ids)
+        if self.held > REMEMBERED:
+            self.grow_old()
+        (ids, tokens), new = self.older, []
+        for word in set().union(*texts).difference(self.ids):
+            self.held += len(word)
+            if word in ids:
+                self._keep(word, ids[word], tokens.get(word, ""))
+            else:
+                new.append(word)
+        for word, own in zip(new, self.bpe.encode_words(new), strict=True):
+            self._keep(word, *self._forms(own))
 
     def written(self, words: list[str | int]) -> tuple[str, str]:
         """The ids of a text and its decoding; all words are known."""
@@ -209,15 +234,21 @@ class Encoder:
             words = [w for w in words if w not in self.silent]
         return " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.tokens.__getitem__, words))
 
+    def arrays(self, texts: list[list[str | int]]) -> pa.ListArray:
+        """The ids of each text; all words are known, and the encoder is ``packed``."""
+        packed = [b"".join(map(self.ids.__getitem__, words)) for words in texts]
+        ends = np.cumsum([0, *map(len, packed)]) // array("i").itemsize
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(spec: str) -> Encoder:
-    key = hashlib.sha256(spec.encode()).hexdigest()
+def _encoder(spec: str, packed: bool = False) -> Encoder:
+    key = hashlib.sha256(spec.encode()).hexdigest(), packed
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(WordBpe(spec))
+        _ENCODERS[key] = Encoder(WordBpe(spec), packed)
     return _ENCODERS[key]
 
 
@@ -263,17 +294,18 @@ def _mapped(docs: DataFrame, path: str, text_col: str, keep: tuple[str, ...], di
         return hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
-        for batch in chunks(batches, 1024):
-            texts = [encoder.bpe.pieces(t) for t in batch.column(len(keep)).to_pylist()]
+        encoder = _encoder(spec.value, packed=not digests)
+        for block in blocks(batches, len(keep), BLOCK):
+            texts = [encoder.bpe.pieces(t) for t in block.column(len(keep)).to_pylist()]
             encoder.learn(texts)
-            rows = [encoder.written(words) for words in texts]
-            n = pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in rows], pa.int64())
             if digests:
+                rows = [encoder.written(words) for words in texts]
+                n = pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in rows], pa.int64())
                 more = [pa.array([sha(r[i]) for r in rows], pa.string()) for i in (0, 1)]
             else:
-                more = [pa.array([[int(i) for i in ids.split()] for ids, _ in rows], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n, *more], [name for name, _ in schema])
+                more = [encoder.arrays(texts)]
+                n = more[0].value_lengths().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*block.columns[: len(keep)], n, *more], [name for name, _ in schema])
 
     mapped = map_arrow(own, run, ", ".join(f"{name} {kind}" for name, kind in schema))
     return mapped.toDF(*keep, *(name for name, _ in schema[len(keep) :]))
