@@ -1,12 +1,16 @@
 """Shapes that plans must have at any scale."""
 
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from daypanel import session
 from daypanel.operators import examples, keys, labels, ordering, profile, sampling, targets, universe
 from daypanel.plans import catalog
 from daypanel.plans.catalog import PARAMS, panel
+from daypanel.schema import DEFAULT_KEY
 from daypanel.session import WIDE_PANEL_SETTINGS
 from daypanel.sources import readers, sinks
 
@@ -140,6 +144,76 @@ def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
     assert "SelectedBucketsCount: 12 out of 12" in plan  # 6,000 rows, 500 a bucket
 
 
+def test_series_are_joined_where_they_lie(spark, monkeypatch):
+    """In a session with Spark's own settings, which it keeps."""
+    monkeypatch.setattr(sinks.series_rounds, "__defaults__", (2_500, 8))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = dict(spark.conf.getAll)
+    try:
+        found = catalog.series_join(spark, SF_DIR)
+        plan = plan_of(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SelectedBucketsCount: 9 out of 9" in plan  # 6,000 rows, three rounds
+    assert before["spark.sql.autoBroadcastJoinThreshold"] == found.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert {k: v for k, v in spark.conf.getAll.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1"} == before
+    assert spark.conf.get(session.CO_PARTITION) == "true"
+
+
+def test_labels_are_made_after_their_rows_are_dealt(spark):
+    """Two shuffles, for first rows and by security, of the columns that labels are made from."""
+    core = sinks.stored(panel(spark, SF_DIR), "plan-dealt")
+    plan = plan_of(sinks.dealt(keys.dedup_first(core), DEFAULT_KEY, 6, labels.forward_labels, rounds=3, k=1))
+    lines = plan.split("Initial Plan")[0].splitlines()
+    shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and "hashpartitioning(permno" in lines[shuffles[0]] and ", 2)" in lines[shuffles[0]]
+    below = "\n".join(lines[shuffles[0] :])
+    assert "fwd_date_1" not in below and "disdivamt" not in below
+    # Rows of other rounds are left out where they are read.
+    assert any("pmod(hash(permno" in line for line in lines[shuffles[1] :])
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 6])
+def test_rounds_make_one_table(spark, tmp_path, rounds):
+    rows = keys.dedup_first(panel(spark, SF_DIR)).withColumn("permno", F.when(F.col("permno") > 0, F.col("permno")))
+    rows = keys.dedup_first(rows)  # a security without a name is one like any other
+    table, seen = sinks.write_series(rows, str(tmp_path / "t"), buckets=6, then=labels.forward_labels, rounds=rounds)
+    plain = labels.forward_labels(rows)
+    assert seen == {"rows": plain.count(), "repeated": 0}
+    assert sorted(map(repr, table.collect())) == sorted(map(repr, plain.collect()))
+    files = [f.name for f in (tmp_path / "t").glob("part-*")]
+    assert len(files) == len({re.search(r"_(\d{5})\.", f)[1] for f in files}) <= 6  # a bucket is in one round
+
+
+def test_rounds_see_repeated_days(spark, tmp_path):
+    rows = panel(spark, SF_DIR).select("permno", "dlycaldt", "prc")
+    n, days = rows.count(), rows.distinct().select("permno", "dlycaldt").distinct().count()
+    with pytest.raises(sinks.RepeatedKeys, match=f"{n - days} of {n} rows share permno"):
+        sinks.write_series(rows, str(tmp_path / "twice"), buckets=4, rounds=2)
+    for wrong in ({"buckets": 5}, {"buckets": 4, "metrics": {"n": F.count("*")}}):
+        with pytest.raises(ValueError):
+            sinks.write_series(rows, str(tmp_path / "not"), rounds=2, **wrong)
+
+
+def test_rounds_grow_with_the_rows():
+    assert [sinks.series_rounds(n) for n in (0, 600_000, 4_000_001, 36_000_000, 216_000_000)] == [1, 1, 2, 8, 8]
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return set(re.findall(r"shuffle_(\d+)_", disk.getAllFiles().mkString(" ")))
+
+    before = shuffled()
+    sinks.write_series(keys.dedup_first(panel(spark, SF_DIR)), str(tmp_path / "t"), buckets=4, then=labels.forward_labels, rounds=2)
+    until = time.time() + 10
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(*session.SHUFFLES_GO) == "false"
+
+
 def test_values_of_repeated_keys_are_not_dealt_again(spark):
     """Rows are dealt once by key, and once to find large keys; their values go nowhere."""
     stored = sinks.stored(panel(spark, SF_DIR), "plan-differences")
